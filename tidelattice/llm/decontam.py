@@ -257,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     With several blocks of a large benchmark the found spans of each pass are merged by key, which must then be unique. key may be a
     struct of other columns; carry_text keeps the text beside it."""
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("__key", kind)]).add("n_words", "bigint").add("span_starts", "array<bigint>").add("span_ends", "array<bigint>").add("items", "array<string>")
+    schema = T.StructType([T.StructField("__key", kind)]).add("n_words", T.LongType()).add("span_starts", T.ArrayType(T.LongType())).add("span_ends", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
     if carry_text:
         schema = schema.add("text", "string")
     rows = docs.select(F.col(key).alias("__key"), "text")

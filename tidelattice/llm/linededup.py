@@ -130,5 +130,5 @@ def dedup_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
     later = join_by_size(found, repeated, ["h1", "h2"], "__n", found.count()).filter("__first != doc_id")
     drop = later.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__drop"))
     ready = rows.join(drop, "doc_id", "left").select("text", "__drop", "doc_id")
-    schema = T.StructType([docs.schema["doc_id"]]).add("n_units", "bigint").add("removed", "array<struct<start:bigint,end:bigint>>").add("clean_text", "string")
+    schema = T.StructType([docs.schema["doc_id"]]).add("n_units", T.LongType()).add("removed", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("clean_text", T.StringType())
     return ready.mapInArrow(_remove(least, ["doc_id"]), schema)
