@@ -1,8 +1,9 @@
-"""Substring duplicates by hashing normalised units: lines, and the sentences of a line.
+"""Substring duplicates by hashing normalised units: lines, the sentences of a line, and pieces of very long sentences.
 
 A unit is normalised to its lower-cased words (letters, digits, non-ASCII) and digested to 128 bits. A unit of fewer than
 `least` words is digested with the words before it, `least` in all, so that a short phrase alone is never taken for a
-repeat; at the start of a text, where there are too few, it stays. Digests are grouped globally; the
+repeat; at the start of a text, where there are too few, it stays. A sentence of more than LONG words is cut after words
+that their hash selects (one in CUT), so that a passage without full stops is cut alike wherever it stands. Digests are grouped globally; the
 occurrence in the smallest doc_id, and there the first, is kept, and all others are removed with their original
 offsets retained (code points, end exclusive; white space that follows a removed unit goes with it).
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from .store import join_by_size, materialise
 from .text import ALNUM, LOWER, SPACES, _powers, blocks, mix, span_hashes, string_bytes, word_bounds
 
-LEAST = 8
+LEAST, LONG, CUT = 8, 24, 8
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -50,6 +51,16 @@ def units(raw: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndar
     h = span_hashes(low, ws, we)
     a = np.searchsorted(ws, starts)
     b = np.searchsorted(ws, ends)
+    long = np.flatnonzero(b - a > LONG)
+    if len(long):
+        inside = np.zeros(len(h) + 1, np.int8)
+        np.add.at(inside, a[long] + 1, 1)
+        np.add.at(inside, b[long], -1)
+        cuts = ws[np.flatnonzero((np.cumsum(inside[1:-1]) > 0) & (h[:-1] % np.uint64(CUT) == 0)) + 1]
+        starts = np.union1d(starts, cuts)
+        doc = np.searchsorted(off, starts, side="right") - 1
+        ends = np.concatenate([starts[1:], [n]])
+        a, b = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
     size = b - a
     wide = np.where(size >= least, a, b - least)
     ok = (size > 0) & (wide >= first[doc])
