@@ -8,9 +8,11 @@
    rows, by b-bit sketches inside the task; a larger one is cut at its next minhash, and what is
    still larger at full depth is cut into runs of REGION rows by its order. Large families therefore need long
    prefixes, and members of any family meet in many trees and orders.
-4. From pairs whose sketches agree, the best for each class are confirmed on full sets and joined to components;
-   the others are confirmed afterwards where they would still connect two components (all of them, without a cap).
-A pair of similarity 0.8 misses all trees with probability (1 - 0.8 ** LEAST) ** TREES = 1.0e-5.
+4. A region with few pairs of agreeing sketches emits them. In a dense one their number would grow with its square: there all
+   pairs are compared exactly, on full sets, inside one bounded task, and a spanning forest of the true links is emitted.
+5. Of the emitted pairs, the best for each class are confirmed on full sets and joined to components; the others are
+   confirmed afterwards where they would still connect two components (all of them, without a cap).
+A pair of similarity 0.8 misses all trees with probability (1 - 0.8 ** LEAST) ** TREES = 3e-6 where regions are not split.
 
 Null and empty texts have no set, belong to no class and are linked with nothing. Texts shorter than a shingle are one
 shingle. Rows with a null doc_id are returned unlinked; rows that repeat a doc_id share its component.
@@ -31,7 +33,7 @@ from .graph import components
 from .store import join_by_size, materialise
 from .text import LOWER, NOT_SPACE, blocks, shingle_hashes, span_hashes, string_bytes, word_bounds
 
-TREES, DEPTH, LEAST, REGION = 16, 8, 3, 1024
+TREES, DEPTH, LEAST, REGION = 24, 8, 4, 1024
 SKETCH = 64
 #: Rows sorted and compared together in a task.
 CHUNK = 1 << 17
@@ -148,9 +150,9 @@ def _pairs_of(sketch: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _compare(need: int):
-    """Map over sorted members: candidate pairs (a, b, agree)."""
+    """Map over sorted members: candidate pairs (a, b, agree), and the members of dense regions as (region, id, -1)."""
 
-    def chunk(rows: pa.Table) -> pa.RecordBatch | None:
+    def chunk(rows: pa.Table, region: int) -> tuple[pa.RecordBatch, int]:
         n = rows.num_rows
         tree = rows.column(0).to_numpy()
         key = np.frombuffer(b"".join(rows.column(1).to_pylist()), ">u2").reshape(n, DEPTH)
@@ -159,9 +161,10 @@ def _compare(need: int):
         same = (tree[1:] == tree[:-1]) & (key[1:, :LEAST] == key[:-1, :LEAST]).all(1)
         cut = np.flatnonzero(~same) + 1
         lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
-        a, b, s = [], [], []
-        small = (hi - lo <= 16) & (hi - lo > 1)
+        none = np.zeros(0, np.int64)
+        a, b, s = [none], [none], [none]
         end = np.zeros(n, np.int64)
+        small = (hi - lo <= 16) & (hi - lo > 1)
         for x, y in zip(lo[small], hi[small], strict=True):
             end[x:y] = y
         for o in range(1, 16):
@@ -170,82 +173,99 @@ def _compare(need: int):
                 break
             agree = (sketch[i] == sketch[i + o]).sum(1)
             ok = agree >= need
-            a.append(i[ok])
-            b.append(i[ok] + o)
+            a.append(np.minimum(ids[i[ok]], ids[i[ok] + o]))
+            b.append(np.maximum(ids[i[ok]], ids[i[ok] + o]))
             s.append(agree[ok])
         for x, y in zip(lo[hi - lo > 16], hi[hi - lo > 16], strict=True):
             for p, q in _regions(key, int(x), int(y), LEAST):
                 i, j, agree = _pairs_of(sketch[p:q], need)
-                i, j, agree = _thin(q - p, i, j, agree)
-                a.append(i + p)
-                b.append(j + p)
-                s.append(agree)
-        if not a:
-            return None
-        x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(s).astype(np.int32))], ["a", "b", "agree"])
+                if len(i) <= DENSE * (q - p):
+                    a.append(np.minimum(ids[i + p], ids[j + p]))
+                    b.append(np.maximum(ids[i + p], ids[j + p]))
+                    s.append(agree)
+                else:
+                    inside = np.unique(np.concatenate([i, j])) + p
+                    a.append(np.full(len(inside), region))
+                    b.append(ids[inside])
+                    s.append(np.full(len(inside), -1))
+                    region += 1
+        columns = [np.concatenate(a), np.concatenate(b), np.concatenate(s).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "agree"]), region
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        region = TaskContext.get().partitionId() << 33
         held, n = [], 0
         for b in batches:
             held.append(b)
             n += b.num_rows
             if n >= CHUNK:
-                if (out := chunk(pa.Table.from_batches(held))) is not None:
-                    yield out
+                out, region = chunk(pa.Table.from_batches(held), region)
+                yield out
                 held, n = [], 0
-        if held and (out := chunk(pa.Table.from_batches(held))) is not None:
-            yield out
+        if n:
+            yield chunk(pa.Table.from_batches(held), region)[0]
 
     return run
 
 
-#: Pairs per row of a region up to which all are kept.
+#: Pairs per row of a region up to which its pairs are emitted.
 DENSE = 16
+#: Shingles of a dense region that are counted at once.
+COLUMNS = 4096
+
+
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (100 * intersection >= percent * union) between sets, all pairs compared."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = np.bincount(column, minlength=len(values)) > 1
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        x, y = np.searchsorted(column, (lo, lo + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[x:y], column[x:y] - lo] = 1
+        both += m @ m.T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(linked, False)
+    a, b, left = [], [], np.ones(n, bool)
+    while left.any():
+        todo = [int(np.argmax(left))]
+        left[todo[0]] = False
+        while todo:
+            x = todo.pop()
+            near = np.flatnonzero(linked[x] & left)
+            left[near] = False
+            a += [ids[x]] * len(near)
+            b += ids[near].tolist()
+            todo += near.tolist()
+    return np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+
+
+def _dense(percent: int):
+    """One region of (region, id, s): its links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table.column("id").to_numpy()
+        a, b = exact_links(ids, [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")], percent)
+        return pa.table({"a": a, "b": b})
 
-
-def _thin(n: int, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of a sparse region; of a dense one, those of spanning forests laid one after the other.
-
-    Each forest connects whatever the remaining pairs connect, strongest pairs first. DENSE // 2 forests are kept: for a
-    true link to be lost, every one of that many independent chains of stronger candidates between its ends must be broken, in
-    this and in all other trees where both meet."""
-    if len(i) <= DENSE * n:
-        return i, j, agree
-    order = np.argsort(-agree.astype(np.int32), kind="stable")
-    i, j, agree = i[order], j[order], agree[order]
-    rest, kept = np.arange(len(i)), []
-    for _ in range(DENSE // 2):
-        parent = list(range(n))
-
-        def root(x: int, parent=parent) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        taken = np.zeros(len(rest), bool)
-        left = n - 1
-        for at, (x, y) in enumerate(zip(i[rest].tolist(), j[rest].tolist(), strict=True)):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[p] = q
-                taken[at] = True
-                left -= 1
-                if not left:
-                    break
-        kept.append(rest[taken])
-        rest = rest[~taken]
-        if not len(rest):
-            break
-    k = np.concatenate(kept)
-    return i[k], j[k], agree[k]
+    return run
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], ["id", "s"])
+            sets = [s.tobytes() for s in shingle_sets(b.column(1), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary())], ["id", "s", "__set"])
 
     return run
 
@@ -287,15 +307,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     # 0.8 less four standard deviations of a sketch's agreement
     need = int(SKETCH * (percent / 100 - 4 * ((percent / 100) * (1 - percent / 100) / SKETCH) ** 0.5))
     found = ordered.mapInArrow(_compare(need), "a long, b long, agree int")
-    pairs = materialise(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    found = materialise(found, "near-found")
+    members = found.filter("agree < 0").select(F.col("a").alias("region"), F.col("b").alias("id"))
+    pairs = materialise(found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("id")).distinct()
     # several rows may repeat an id: the class's own text is one whose set is the class's
-    of_class = described.filter("__set is not null").select("doc_id", "__set").join(classes.select(F.col("id").alias("doc_id"), "__set"), ["doc_id", "__set"]).select("doc_id").distinct().join(ids, "doc_id")
-    sets = materialise(docs.select("doc_id", "text").join(of_class, "doc_id").mapInArrow(_sets(shingle), "id long, s binary").dropDuplicates(["id"]), "near-sets")
+    of_class = described.filter("__set is not null").select("doc_id", "__set").join(classes.select(F.col("id").alias("doc_id"), "__set"), ["doc_id", "__set"]).select("doc_id", "__set").distinct().join(ids, "doc_id")
+    sets = materialise(docs.select("doc_id", "text").join(of_class.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(shingle), "id long, s binary, __set binary").join(of_class.select(F.col("doc_id").alias("id"), "__set"), ["id", "__set"], "left_semi").drop("__set").dropDuplicates(["id"]), "near-sets")
+    dense = members.join(sets, "id").groupBy("region").applyInArrow(_dense(percent), "a long, b long")
+    dense = materialise(dense.distinct(), "near-dense")
     by = lambda c: Window.partitionBy(c).orderBy(F.desc("agree"), "a", "b")
     ranked = pairs.withColumn("ra", F.row_number().over(by("a"))).withColumn("rb", F.row_number().over(by("b")))
     ranked = materialise(ranked.withColumn("first", (F.col("ra") <= best) | (F.col("rb") <= best)).drop("ra", "rb"), "near-ranked")
-    links = materialise(_confirmed(ranked.filter("first").select("a", "b"), sets, percent), "near-links")
+    links = materialise(dense.unionByName(_confirmed(ranked.filter("first").select("a", "b"), sets, percent)), "near-links")
     joined = components(links)
     at = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = ranked.filter("not first").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
