@@ -33,13 +33,18 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+def _g(name: str) -> Column:
+    """An aggregate of the window; labels may have any name."""
+    return F.col(f"__a_{name}")
+
+
 def _simple(make: Callable[[Column], Column], **more) -> RangeFunction:
-    return RangeFunction(lambda w, a: {"x": make(_c(VALUE))}, lambda b, a, c: _c("x"), **more)
+    return RangeFunction(lambda w, a: {"x": make(_c(VALUE))}, lambda b, a, c: _g("x"), **more)
 
 
 def _last(stale: bool) -> RangeFunction:
     """The last sample; on raw data a NaN there marks the series as ended and gives nothing."""
-    return RangeFunction(lambda w, a: {"x": F.max_by(VALUE, TS)}, lambda b, a, c: _c("x"), keeps_nan=stale, histogram=True)
+    return RangeFunction(lambda w, a: {"x": F.max_by(VALUE, TS)}, lambda b, a, c: _g("x"), keeps_nan=stale, histogram=True)
 
 
 def _drops(df: DataFrame) -> DataFrame:
@@ -57,25 +62,25 @@ def _extrapolated(rate: bool, counter: bool) -> RangeFunction:
         return out
 
     def finish(b: dict, a: tuple, c: bool | None) -> Column:
-        span = (_c("t2") - _c("t1")) / 1000.0
-        delta = _c("v2") - _c("v1") + (_c("fix") if counter else 0.0)
-        mean = span / (_c("n") - 1)
-        to_start, to_end = (_c("t1") - b["start"]) / 1000.0, (b["end"] - _c("t2")) / 1000.0
+        span = (_g("t2") - _g("t1")) / 1000.0
+        delta = _g("v2") - _g("v1") + (_g("fix") if counter else 0.0)
+        mean = span / (_g("n") - 1)
+        to_start, to_end = (_g("t1") - b["start"]) / 1000.0, (b["end"] - _g("t2")) / 1000.0
         if counter:  # a counter cannot have been below zero
-            zero = F.when((delta > 0) & (_c("v1") >= 0), span * _c("v1") / F.when(delta != 0, delta))
+            zero = F.when((delta > 0) & (_g("v1") >= 0), span * _g("v1") / F.when(delta != 0, delta))
             to_start = F.when(zero.isNotNull(), F.least(to_start, zero)).otherwise(to_start)
         near = mean * 1.1
         reach = span + F.when(to_start < near, to_start).otherwise(mean / 2) + F.when(to_end < near, to_end).otherwise(mean / 2)
         got = delta * reach / span
         if rate:
             got = got / b["window"] * 1000.0 if b["window"] else got
-        return F.when((_c("n") > 1) & (_c("t2") > _c("t1")), got)
+        return F.when((_g("n") > 1) & (_g("t2") > _g("t1")), got)
 
     return RangeFunction(aggregates, finish, previous=counter, keeps_nan=counter, prepare=_drops if counter else None, histogram=True)
 
 
 def _delta_rate() -> RangeFunction:
-    return RangeFunction(lambda w, a: {"x": F.sum(VALUE)}, lambda b, a, c: _c("x") / b["window"] * 1000.0, histogram=True)
+    return RangeFunction(lambda w, a: {"x": F.sum(VALUE)}, lambda b, a, c: _g("x") / b["window"] * 1000.0, histogram=True)
 
 
 def _last_two(finish: Callable[[dict], Column], histogram: bool = False) -> RangeFunction:
@@ -84,12 +89,12 @@ def _last_two(finish: Callable[[dict], Column], histogram: bool = False) -> Rang
     def pair() -> Column:
         return F.struct(_c(TS).alias("t"), _c(VALUE).alias("v"), _c("__pts").alias("pt"), _c("__pv").alias("pv"))
 
-    return RangeFunction(lambda w, a: {"p": F.max_by(pair(), TS), "first": F.min(TS)}, lambda b, a, c: F.when(_c("p.pt") >= _c("first"), finish(b)), previous=True, histogram=histogram)
+    return RangeFunction(lambda w, a: {"p": F.max_by(pair(), TS), "first": F.min(TS)}, lambda b, a, c: F.when(_g("p.pt") >= _g("first"), finish(b)), previous=True, histogram=histogram)
 
 
 def _irate(b: dict) -> Column:
-    gap = (_c("p.t") - _c("p.pt")) / 1000.0
-    return F.when(gap != 0, F.when(_c("p.v") < _c("p.pv"), _c("p.v")).otherwise(_c("p.v") - _c("p.pv")) / gap)
+    gap = (_g("p.t") - _g("p.pt")) / 1000.0
+    return F.when(gap != 0, F.when(_g("p.v") < _g("p.pv"), _g("p.v")).otherwise(_g("p.v") - _g("p.pv")) / gap)
 
 
 def _irate_delta() -> RangeFunction:
@@ -98,19 +103,20 @@ def _irate_delta() -> RangeFunction:
 
     def finish(b: dict, a: tuple, c: bool | None) -> Column:
         # a single sample is taken to span 60 (in milliseconds, as the fixed rule has it)
-        gap = F.when(_c("p.pt") >= _c("first"), _c("p.t") - _c("p.pt")).otherwise(F.lit(60))
-        return F.when(gap != 0, _c("p.v") / gap * 1000.0)
+        gap = F.when(_g("p.pt") >= _g("first"), _g("p.t") - _g("p.pt")).otherwise(F.lit(60))
+        return F.when(gap != 0, _g("p.v") / gap * 1000.0)
 
     return RangeFunction(lambda w, a: {"p": F.max_by(pair(), TS), "first": F.min(TS)}, finish, previous=True, histogram=True)
 
 
 def _steps(test: Callable[[Column, Column], Column]) -> RangeFunction:
-    """How often test(previous, value) holds between consecutive samples of the window."""
+    """How often test(previous, value) holds between consecutive samples of the window; not across a NaN."""
 
     def prepare(df: DataFrame) -> DataFrame:
-        return df.withColumn("__step", F.when(_c("__pv").isNotNull() & test(_c("__pv"), _c(VALUE)), 1.0).otherwise(0.0))
+        real = _c("__pv").isNotNull() & ~F.isnan("__pv") & ~F.isnan(VALUE)
+        return df.withColumn("__step", F.when(real & test(_c("__pv"), _c(VALUE)), 1.0).otherwise(0.0))
 
-    return RangeFunction(lambda w, a: {"x": F.sum("__step") - F.min_by("__step", TS)}, lambda b, a, c: _c("x"), previous=True, prepare=prepare)
+    return RangeFunction(lambda w, a: {"x": F.sum("__step") - F.min_by("__step", TS)}, lambda b, a, c: _g("x"), previous=True, keeps_nan=True, prepare=prepare)
 
 
 def _seconds() -> Column:
@@ -125,7 +131,7 @@ def _regression(predict: bool) -> RangeFunction:
             out["intercept"] = F.regr_intercept(VALUE, _seconds())
         return out
 
-    return RangeFunction(aggregates, lambda b, a, c: F.when(_c("n") > 1, _c("slope") * a[0] + _c("intercept") if predict else _c("slope")))
+    return RangeFunction(aggregates, lambda b, a, c: F.when(_g("n") > 1, _g("slope") * a[0] + _g("intercept") if predict else _g("slope")))
 
 
 def quantile_bounds(q: float, inside: Column) -> Column:
@@ -135,7 +141,7 @@ def quantile_bounds(q: float, inside: Column) -> Column:
 
 
 def _quantile() -> RangeFunction:
-    return RangeFunction(lambda w, a: {"x": F.percentile(VALUE, float(min(1.0, max(0.0, a[0] if a[0] == a[0] else 0.0))))}, lambda b, a, c: quantile_bounds(a[0], _c("x")))
+    return RangeFunction(lambda w, a: {"x": F.percentile(VALUE, float(min(1.0, max(0.0, a[0] if a[0] == a[0] else 0.0))))}, lambda b, a, c: quantile_bounds(a[0], _g("x")))
 
 
 def _middle(sorted_values: Column) -> Column:
@@ -149,7 +155,7 @@ def _deviations(w: int, a: tuple) -> dict[str, Column]:
 
 
 def _mad_of() -> Column:
-    return _middle(F.array_sort(F.transform("all", lambda v: F.abs(v - _c("mid")))))
+    return _middle(F.array_sort(F.transform(_g("all"), lambda v: F.abs(v - _g("mid")))))
 
 
 def _mad() -> RangeFunction:
@@ -164,8 +170,8 @@ def _outlier() -> RangeFunction:
         mad = _mad_of()
         if tolerance <= 0 or bounds not in (0, 1, 2):
             raise QueryError("an outlier test needs a tolerance over 0 and bounds 0, 1 or 2")
-        low, high = _c("last") < _c("mid") - mad * tolerance, _c("last") > _c("mid") + mad * tolerance
-        return F.when((low, low | high, high)[int(bounds)], _c("last"))
+        low, high = _g("last") < _g("mid") - mad * tolerance, _g("last") > _g("mid") + mad * tolerance
+        return F.when((low, low | high, high)[int(bounds)], _g("last"))
 
     return RangeFunction(_deviations, finish)
 
@@ -175,7 +181,7 @@ def _holt_winters() -> RangeFunction:
         sf, tf = a
         if not (0 < sf < 1 and 0 < tf < 1):
             raise QueryError("smoothing factors lie between 0 and 1")
-        xs = F.transform(F.array_sort("all"), lambda p: p["v"])
+        xs = F.transform(F.array_sort(_g("all")), lambda p: p["v"])
         first, second = F.get(xs, F.lit(0)), F.get(xs, F.lit(1))
         start = F.struct(first.alias("s"), (second - first).alias("b"))
 
@@ -199,7 +205,7 @@ RANGE: dict[str, RangeFunction] = {
     "increase_of_deltas": _simple(F.sum, histogram=True),
     "irate": _last_two(_irate, True),
     "irate_of_deltas": _irate_delta(),
-    "idelta": _last_two(lambda b: _c("p.v") - _c("p.pv")),
+    "idelta": _last_two(lambda b: _g("p.v") - _g("p.pv")),
     "deriv": _regression(False),
     "predict_linear": _regression(True),
     "resets": _steps(lambda p, v: v < p),
@@ -214,8 +220,8 @@ RANGE: dict[str, RangeFunction] = {
     "quantile_over_time": _quantile(),
     "mad_over_time": _mad(),
     "last_over_time_is_mad_outlier": _outlier(),
-    "z_score": RangeFunction(lambda w, a: {"last": F.max_by(VALUE, TS), "mean": F.avg(VALUE), "sd": F.stddev_pop(VALUE)}, lambda b, a, c: F.when(_c("sd") != 0, (_c("last") - _c("mean")) / F.when(_c("sd") != 0, _c("sd"))), subquery=False),
+    "z_score": RangeFunction(lambda w, a: {"last": F.max_by(VALUE, TS), "mean": F.avg(VALUE), "sd": F.stddev_pop(VALUE)}, lambda b, a, c: F.when(_g("sd") != 0, (_g("last") - _g("mean")) / F.when(_g("sd") != 0, _g("sd"))), subquery=False),
     "holt_winters": _holt_winters(),
-    "timestamp": RangeFunction(lambda w, a: {"x": F.max(TS)}, lambda b, a, c: _c("x") / 1000.0),
+    "timestamp": RangeFunction(lambda w, a: {"x": F.max(TS)}, lambda b, a, c: _g("x") / 1000.0),
     "present_over_time": _simple(lambda v: F.max(F.lit(1.0)), subquery=False),
 }

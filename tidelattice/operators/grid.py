@@ -4,9 +4,6 @@ A sample at t belongs to the instants in [t, t + window], which is a range of gr
 is (series, instant), so a long series is spread over tasks, and sums, extremes and
 counts are combined before the shuffle. Functions that need the preceding sample take it from one window over the series first; its hash
 partitioning by series serves the grouping too, so the plan has a single exchange.
-
-With more than EXPLODE_LIMIT windows per step a sample would be copied too often; then sums, counts and extremes go through
-per-step buckets first (buckets()), when windows are multiples of the step.
 """
 
 from __future__ import annotations
@@ -49,13 +46,13 @@ def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, i
 
     An offset evaluates the grid earlier and reports the results at the original instants. Empty windows give no row."""
     at = grid.shifted(-offset)
-    df = with_previous(v) if function.previous else v.df
-    if not function.keeps_nan:
-        df = df.filter(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
+    df = v.df if function.keeps_nan else v.df.filter(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
+    if function.previous:
+        df = with_previous(v.with_df(df))
     if function.prepare is not None:
         df = function.prepare(df)
     rows = assign(df, at, window, inclusive)
-    grouped = rows.groupBy(*v.keys, I).agg(*[c.alias(n) for n, c in function.aggregates(window, args).items()])
+    grouped = rows.groupBy(*v.keys, I).agg(*[c.alias(f"__a_{n}") for n, c in function.aggregates(window, args).items()])
     # bounds of the window, for extrapolation
     t = F.col(I) * at.each + at.start
     out = function.finish({"start": t - window, "end": t, "window": window}, args, counter)
