@@ -121,11 +121,16 @@ class LanguageModel:
         return top, best_pi[np.arange(len(c)), top]
 
 
-def train(docs: DataFrame, per_language: int = 2000, features: int = 2000) -> LanguageModel:
-    """Fit on rows (doc_id, text, lang); the driver gets at most 2^24 counts a language, in sums made by Spark."""
-    rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = rows.select("doc_id", "lang", "text").withColumn("__r", rank).filter(F.col("__r") <= per_language)
+def train(docs: DataFrame, per_language: int = 2000, features: int = 2000, languages: int = 256) -> LanguageModel:
+    """Fit on rows (doc_id, text, lang), for the `languages` most frequent; the driver gets at most 2^24 counts a language, in sums made by Spark."""
+    rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    keys = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("__h", F.xxhash64("doc_id"))
+    # least hashes of each language: first within 64 parts, so that a common language is spread over tasks
+    for part in (["lang", F.pmod("__h", F.lit(64))], ["lang"]):
+        keys = keys.withColumn("__r", F.row_number().over(Window.partitionBy(*part).orderBy("__h", "doc_id"))).filter(F.col("__r") <= per_language).drop("__r")
+    # at most languages * per_language pairs: a proven bound for the broadcast
+    sample = rows.join(F.broadcast(keys.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     sums = sample.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 2")
     t = sums.toArrow()
     langs = sorted(set(t.column("lang").to_pylist()))
