@@ -158,3 +158,26 @@ def test_computed_columns(spark):
     for bad in (":nope s", ":round i"):
         with pytest.raises(QueryError):
             f(bad)
+
+
+def test_store(spark, tmp_path, capsys):
+    from tidelattice.__main__ import main
+    from tidelattice.api import Engine
+    from tidelattice.sources import store
+
+    day = 86_400_000
+    rows = [("m", "a", t * day + 5, float(t)) for t in range(3)] + [("n", "b", 5, 9.0)]
+    df = spark.createDataFrame(rows, "metric string, s string, ts long, value double")
+    store.write_samples(df, str(tmp_path), ["s"])
+    e = Engine(spark)
+    e.register_store(str(tmp_path))
+    assert set(e.tables) == {"m", "n"} and [r["value"] for r in e.query("sum_over_time(m[1d])", 2 * day).collect()] == [1.0]
+    plan = e.explain("sum_over_time(m[1d])", 2 * day, 2 * day, 0)
+    assert "PartitionFilters" in plan and "day" in plan[plan.index("PartitionFilters") : plan.index("PartitionFilters") + 300]
+    first = store.merged_series(None, df, ["s"])
+    both = store.merged_series(first, df.withColumn("ts", F.col("ts") + day), ["s"])
+    assert {(r["metric"], r["start_ts"], r["end_ts"]) for r in both.collect()} == {("m", 5, 3 * day + 5), ("n", 5, day + 5)}
+    main([str(tmp_path), "list"])
+    main([str(tmp_path), "query", "m", "--start", "6"])
+    main([str(tmp_path), "cardinality", "s", "m", "--start", "6"])
+    assert "0.0" in capsys.readouterr().out

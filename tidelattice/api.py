@@ -46,6 +46,13 @@ class Engine:
         for m in [r[0] for r in df.select(metric).distinct().collect()]:
             self.register(m, wide.filter(F.col(metric) == m), names, schema=schema)
 
+    def register_store(self, path: str) -> None:
+        """Every metric of a store that sources.store has written. Metrics and days are folders, so other ones are not read."""
+        from .sources import store
+
+        for table in store.tables(self.spark, path):
+            self.tables.setdefault(table.name, []).append(table)
+
     def rule(self, metric: str, aggregated: str, kept: Iterable[str]) -> None:
         """`aggregated` holds `metric` summed to the kept labels; used within optimize_with_agg()."""
         self.rules.append(AggregationRule(metric, aggregated, frozenset(kept)))

@@ -97,13 +97,12 @@ def _irate(b: dict) -> Column:
     return F.when(gap != 0, F.when(_g("p.v") < _g("p.pv"), _g("p.v")).otherwise(_g("p.v") - _g("p.pv")) / gap)
 
 
-def _irate_delta() -> RangeFunction:
+def _irate_delta(alone: int) -> RangeFunction:
     def pair() -> Column:
         return F.struct(_c(TS).alias("t"), _c(VALUE).alias("v"), _c("__pts").alias("pt"))
 
     def finish(b: dict, a: tuple, c: bool | None) -> Column:
-        # a single sample is taken to span 60 (in milliseconds, as the fixed rule has it)
-        gap = F.when(_g("p.pt") >= _g("first"), _g("p.t") - _g("p.pt")).otherwise(F.lit(60))
+        gap = F.when(_g("p.pt") >= _g("first"), _g("p.t") - _g("p.pt")).otherwise(F.lit(alone))
         return F.when(gap != 0, _g("p.v") / gap * 1000.0)
 
     return RangeFunction(lambda w, a: {"p": F.max_by(pair(), TS), "first": F.min(TS)}, finish, previous=True, histogram=True)
@@ -204,7 +203,9 @@ RANGE: dict[str, RangeFunction] = {
     "rate_of_deltas": _delta_rate(),
     "increase_of_deltas": _simple(F.sum, histogram=True),
     "irate": _last_two(_irate, True),
-    "irate_of_deltas": _irate_delta(),
+    # fixed values: milliseconds that a single sample is taken to span
+    "irate_of_deltas": _irate_delta(60),
+    "irate_of_histogram_deltas": _irate_delta(60_000),
     "idelta": _last_two(lambda b: _g("p.v") - _g("p.pv")),
     "deriv": _regression(False),
     "predict_linear": _regression(True),

@@ -145,6 +145,7 @@ class MetricTable:
     time: str = TS
     schema: str = "gauge"
     columns: Mapping[str, str] = field(default_factory=dict)  # schema column -> table column
+    day: str | None = None  # a date column that the files are partitioned by
 
     def source(self, column: str) -> str:
         return self.columns.get(column, column)

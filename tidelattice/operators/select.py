@@ -99,13 +99,24 @@ def between(df: DataFrame, column: str, start: int | None, end: int | None) -> D
     return df
 
 
+def in_range(table: MetricTable, matchers: Iterable[Matcher], start: int | None, end: int | None) -> DataFrame:
+    """The table's rows that match, in the time range; whole days of a partitioned table are skipped by their folder."""
+    df = table.df
+    if table.day is not None:
+        if start is not None:
+            df = df.filter(F.col(table.day) >= F.to_date(F.timestamp_millis(F.lit(start))))
+        if end is not None:
+            df = df.filter(F.col(table.day) <= F.to_date(F.timestamp_millis(F.lit(end))))
+    return between(filtered(df, table.labels, matchers), table.time, start, end)
+
+
 def raw(table: MetricTable, matchers: Iterable[Matcher] = (), start: int | None = None, end: int | None = None, column: str | None = None, extra: Iterable[str] = ()) -> Vector:
     """Samples of a metric: (labels, ts, value), histograms as one row per bucket."""
     from ..model import SCHEMAS
 
     schema = SCHEMAS[table.schema]
     chosen = schema.column(column or schema.value_column)
-    df = between(filtered(table.df, table.labels, matchers), table.time, start, end)
+    df = in_range(table, matchers, start, end)
     keep = [F.lit(table.name).alias(METRIC), *[F.col(c) for c in table.labels], epoch_ms(df, table.time).alias(TS)]
     keep += [F.col(table.source(c)).cast("double").alias(f"__{c}") for c in extra]
     labels = (METRIC, *table.labels)

@@ -121,7 +121,7 @@ class Compiler:
             if name == "avg_over_time" and table.schema == "ds-gauge" and n.column is None:
                 a = resample(self.read(replace(s, column="sum"), table, inner.start - window - n.offset, inner.end - n.offset), inner, window, RANGE["sum_over_time"], offset=n.offset, inclusive=inclusive)
                 b = resample(self.read(replace(s, column="count"), table, inner.start - window - n.offset, inner.end - n.offset), inner, window, RANGE["sum_over_time"], offset=n.offset, inclusive=inclusive)
-                parts.append(join.combine(a, b, "/").with_df(join.combine(a, b, "/").df))
+                parts.append(join.combine(a, b, "/"))
                 continue
             parts.append(resample(v, inner, window, used, offset=n.offset, inclusive=inclusive, args=args))
         if not parts:
@@ -135,7 +135,7 @@ class Compiler:
         column = schema.column(s.column or schema.value_column)
         delta = column.params.get("delta") == "true"
         if delta and name in ("rate", "increase", "irate"):
-            name = f"{name}_of_deltas"
+            name = f"{name}_of_deltas" if name != "irate" or not v.histogram else "irate_of_histogram_deltas"
         if table.schema == "ds-gauge" and name == "count_over_time" and s.column is None:
             name = "sum_over_time"
         used = RANGE[name]
