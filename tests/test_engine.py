@@ -99,7 +99,9 @@ def test_histograms(spark):
     assert values(e.query("histogram_quantile(2, h)", T), "x")[("a",)] == INF
     assert values(e.query("histogram_bucket(2, sum(h))", T)) == {(): 3.0}
     assert values(e.query("histogram_fraction(0, 2, sum(h))", T)) == {(): 0.3}
-    assert values(e.query("histogram_max_quantile(0.9, h)", T), "x")[("a",)] == pytest.approx(4 + (5.4 - 4) / 2)
+    assert values(e.query("histogram_max_quantile(0.9, h)", T), "x")[("a",)] == pytest.approx(4 + (5 - 4) * 1.4 / 2)
+    assert values(e.query("histogram_fraction(2, 1, sum(h))", T)) == {(): 0.0} and values(e.query("histogram_fraction(1, 3, sum(h))", T)) == {(): pytest.approx((5.5 - 1) / 10)}
+    assert values(e.query('histogram_max_quantile_even(0.9, "x", h)', T), "x")[("a",)] == pytest.approx(4 + (5 - 4) * 1.4 / 3)
     assert values(e.query('hist_to_prom_vectors(h{x="a"})', T), "_metric_", "le") == {("h_bucket", "1"): 0.0, ("h_bucket", "2"): 2.0, ("h_bucket", "4"): 4.0, ("h_bucket", "+Inf"): 6.0}
     assert values(e.query('h_bucket{le="2"}', T), "x") == {("a",): 2.0, ("b",): 1.0} and values(e.query("sum(h_sum)", T)) == {(): 20.0}
     assert values(e.query("count(h)", T)) == {(): 2.0}
@@ -152,6 +154,10 @@ def test_response_and_metadata(e):
     assert e.series("m").count() == 4 and e.read("m", 0, T).count() == 4
     with pytest.raises(QueryError):
         e.query_range("m", 0, T, 1)
+    e.config = model.Config(sample_limit=2)
+    with pytest.raises(QueryError):
+        e.checked(e.query("m", T))
+    assert e.checked(e.query("sum(m)", T)).count() == 1
 
 
 def test_label_maps_become_columns(spark):

@@ -77,6 +77,12 @@ class Engine:
         """Results at one instant; a range selector or subquery gives its samples."""
         return self._rows(self.evaluate(text, time, 0, time), Grid(time, 0, time))
 
+    def checked(self, df: DataFrame) -> DataFrame:
+        """The result, or an error if it has more rows than a client should get. This runs the query up to the limit."""
+        if df.limit(self.config.sample_limit + 1).count() > self.config.sample_limit:
+            raise QueryError(f"the result has more than {self.config.sample_limit} samples")
+        return df
+
     def _rows(self, got: Vector | Scalar, grid: Grid) -> DataFrame:
         if isinstance(got, Scalar):
             return self.compiler().frame(got.value, grid)

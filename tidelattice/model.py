@@ -127,8 +127,6 @@ class Config:
     inclusive_range: bool = True
     min_step_ms: int = 5_000
     sample_limit: int = 1_000_000
-    join_limit: int = 25_000
-    group_limit: int = 1_000
     regex_limit: int = 1_000
     regex_or_limit: int = 10_000
     count_values_limit: int = 1_000

@@ -45,20 +45,18 @@ def rising(b: Column) -> Column:
 
 
 def quantile_of(b: Column, q: Column, exponential: bool = False, top_bound: Column | None = None, need_inf: bool = False, even: bool = False) -> Column:
-    """The q-quantile of a bucket array. top_bound bounds the last bucket; even counts ranks as of count + 1 samples."""
+    """The q-quantile of a bucket array. top_bound is the upper bound in the bucket that holds it; even spreads a bucket's samples evenly inside it."""
     n = F.size(b)
     total = F.get(b, n - 1)["v"]
-    rank = q * total if not even else q * (total + 1)
+    rank = q * total
     at = F.array_position(F.transform(b, lambda x: x["v"] >= rank), True).cast("int") - 1
     at = F.when(at < 0, n - 1).otherwise(at)
     hi, lo = F.get(b, at)["le"], F.when(at > 0, F.get(b, at - 1)["le"]).otherwise(0.0)
     if top_bound is not None:
-        hi = F.when((hi == INF) | (hi > top_bound), top_bound).otherwise(hi)
+        hi = F.when((top_bound > lo) & (top_bound <= hi), top_bound).otherwise(hi)
     low_count = F.when(at > 0, F.get(b, at - 1)["v"]).otherwise(0.0)
     inside = F.get(b, at)["v"] - low_count
-    share = F.when(inside > 0, (rank - low_count) / F.when(inside > 0, inside)).otherwise(0.0)
-    if even:
-        share = F.least(share, F.lit(1.0))
+    share = (rank - low_count) / (inside + 1) if even else F.when(inside > 0, (rank - low_count) / F.when(inside > 0, inside)).otherwise(0.0)
     linear = lo + (hi - lo) * share
     if exponential:
         positive = (lo > 0) & (hi > 0)
@@ -86,15 +84,19 @@ def histogram_max_quantile(q: float, v: Vector, maxima: Vector, even: bool = Fal
     return _result(df, labels, quantile_of(F.col("b"), double(q), v.exponential, F.col("__max"), even=even))
 
 
-def count_below(b: Column, x: float) -> Column:
-    """Observations up to x, linear inside its bucket."""
+def count_below(b: Column, x: float, exponential: bool = False) -> Column:
+    """Observations up to x, linear inside its bucket, or linear in log2 for exponential buckets but the first."""
     if x == INF:
         return F.get(b, F.size(b) - 1)["v"]
     at = F.array_position(F.transform(b, lambda y: y["le"] >= x), True).cast("int") - 1
     lo, low = F.when(at > 0, F.get(b, at - 1)["le"]).otherwise(0.0), F.when(at > 0, F.get(b, at - 1)["v"]).otherwise(0.0)
     hi, high = F.get(b, at)["le"], F.get(b, at)["v"]
     width = hi - lo
-    inside = F.when(hi == INF, low).when(width > 0, low + (high - low) * ((F.lit(float(x)) - lo) / F.when(width > 0, width))).otherwise(high)
+    share = (F.lit(float(x)) - lo) / F.when(width > 0, width)
+    if exponential and x > 0:
+        log = lambda c: F.log2(F.when(c > 0, c))
+        share = F.when((at > 0) & (lo > 0), (log(F.lit(float(x))) - log(lo)) / F.when(log(hi) > log(lo), log(hi) - log(lo))).otherwise(share)
+    inside = F.when(hi == INF, F.when(F.lit(float(x)) == INF, high).otherwise(low)).when(width > 0, low + (high - low) * share).otherwise(high)
     return F.when(at < 0, F.get(b, F.size(b) - 1)["v"]).otherwise(inside)
 
 
@@ -105,7 +107,12 @@ def histogram_fraction(lower: float, upper: float, v: Vector) -> Vector:
     df, labels = buckets(v)
     b = F.col("b")
     total = F.get(b, F.size(b) - 1)["v"]
-    part = F.get(b, F.lit(0))["v"] if lower == upper == 0 else count_below(b, upper) - (count_below(b, lower) if lower > 0 else F.lit(0.0))
+    if lower == upper == 0:
+        part = F.get(b, F.lit(0))["v"]
+    elif lower >= upper:
+        part = F.lit(0.0)
+    else:
+        part = count_below(b, upper, v.exponential) - (count_below(b, lower, v.exponential) if lower > 0 else F.lit(0.0))
     return _result(df, labels, F.when(total > 0, divide(part, total)).otherwise(double(NAN)))
 
 
