@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidelattice.llm import chat, decontam, exactdup, langid, linededup, mixing, neardup, quality, secretscan, sharding, text
+from tidelattice.llm import chat, decontam, langid, linededup, membership, mixing, neardup, quality, secretscan, sharding, text
 
 TEXTS = ["", "a", "  Alpha beta\tGAMMA\n", None, "é è È ñ", "x" * 3000, "one two three four five six", "0-9 a_b", "\x1f\x7f tail"]
 
@@ -204,7 +204,7 @@ def test_units_cover_the_text_and_agree_wherever_a_passage_stands():
 
 
 def test_filter_size_is_bounded():
-    assert exactdup.filter_bits(10**12) == 1 << 29 and exactdup.filter_bits(0) == 1 << 16
+    assert membership.filter_bits(10**12) == 1 << 29 and membership.filter_bits(0) == 1 << 16
 
 
 def test_exact_links_of_a_dense_region():

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidelattice.llm import chat, decontam, exactdup, graph, langid, linededup, mixing, neardup, quality, queries, secretscan, sharding
+from tidelattice.llm import chat, decontam, exactdup, graph, langid, linededup, membership, mixing, neardup, quality, queries, secretscan, sharding
 from tidelattice.llm.store import join_by_size
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __sig string, component_id string"
@@ -116,6 +116,15 @@ def test_join_by_size_keeps_all_rows(spark):
     assert got.count() == 3002 and got.filter("n is null").count() == 1 and got.filter("n = 3000").count() == 3000
 
 
+def test_membership_has_no_false_negatives(spark):
+    ids = spark.range(0, 30000, 3)
+    table = membership.member_filter(ids, "id", ids.count())
+    rows = spark.range(30000).select("id", *membership.hashes("id")).toArrow()
+    got = membership.maybe_members(table, rows.column(1).to_numpy(), rows.column(2).to_numpy())
+    member = rows.column(0).to_numpy() % 3 == 0
+    assert got[member].all() and got[~member].mean() < 0.05
+
+
 def test_contamination(docs, spark):
     item = " ".join(f"p{i}" for i in range(10, 40))
     items = spark.createDataFrame([(1, item), (2, None), (3, "a b"), (10, _words(3, 20)), (1, item), (4, "")], "item_id long, text string")
@@ -183,7 +192,9 @@ def test_mixing(docs, empty):
     expected, total = sum(r["probability"] * r["n_tokens"] for r in got), sum(r["n_tokens"] for r in got)
     assert abs(expected - 0.5 * total) < 1e-3 * total or all(r["probability"] == 1 for r in got if r["weight"] > 0)
     assert got and {r["sampled"] for r in got if r["probability"] == 1} <= {True}
-    assert mixing.mix_sources(empty).count() == 0
+    kept = mixing.Mix(docs, share=0.5).sample(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["sampled"])
+    assert mixing.mix_sources(empty).count() == 0 and mixing.Mix(empty).sample(empty).count() == 0
 
 
 def test_languages(spark, docs, empty):

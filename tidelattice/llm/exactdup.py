@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .membership import MAX_BITS, bitmap, filter_bits, words_of
 from .store import join_by_size, materialise
 
 HASHES = 3
@@ -43,11 +44,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests, _DIGESTS)
 
 
-def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 29) -> int:
-    """A power of two: about bits_per_row for each row, within [2^16, max_bits]."""
-    return min(max_bits, 1 << max(16, (max(1, rows) * bits_per_row - 1).bit_length()))
-
-
 def _positions(digest_col, bits: int):
     """HASHES disjoint parts of the digest as positions."""
     return [F.conv(F.hex(F.substring(digest_col, 1 + 7 * k, 7)), 16, 10).cast("long") % bits for k in range(HASHES)]
@@ -55,21 +51,11 @@ def _positions(digest_col, bits: int):
 
 def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
     """The bits that at least two digests set; counted by Spark, sent as at most bits/8 bytes."""
-    words = (
-        digests.select(F.explode(F.array(*_positions(F.col("__digest"), bits))).alias("p"))
-        .groupBy("p")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    )
-    out = np.zeros(bits // 64, np.uint64)
-    for part in words.toLocalIterator():
-        out[part["w"]] = np.uint64(part["b"] & ((1 << 64) - 1))
-    return out
-
-
-def exact_duplicates(docs: DataFrame, max_bits: int = 1 << 29) -> DataFrame:
+    twice = digests.select(F.explode(F.array(*_positions(F.col("__digest"), bits))).alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
+    return bitmap(words_of(twice), bits)
+
+
+def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex)."""
     digests = materialise(digest(docs), "exact-digests")
     rows = digests.count()
