@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .graph import components
+from .membership import hashes, maybe_members, member_filter
 from .store import join_by_size, materialise
 from .text import LOWER, NOT_SPACE, blocks, shingle_hashes, span_hashes, string_bytes, word_bounds
 
@@ -261,9 +262,12 @@ def _dense(percent: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, held):
+    """Map over (id, text, __h1, __h2): the shingle sets of texts whose id the filter may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(maybe_members(held.value, b.column(2).to_numpy(), b.column(3).to_numpy())))
             sets = [s.tobytes() for s in shingle_sets(b.column(1), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary())], ["id", "s", "__set"])
 
@@ -310,10 +314,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     found = materialise(found, "near-found")
     members = found.filter("agree < 0").select(F.col("a").alias("region"), F.col("b").alias("id"))
     pairs = materialise(found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct()
     # several rows may repeat an id: the class's own text is one whose set is the class's
-    of_class = described.filter("__set is not null").select("doc_id", "__set").join(classes.select(F.col("id").alias("doc_id"), "__set"), ["doc_id", "__set"]).select("doc_id", "__set").distinct().join(ids, "doc_id")
-    sets = materialise(docs.select("doc_id", "text").join(of_class.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(shingle), "id long, s binary, __set binary").join(of_class.select(F.col("doc_id").alias("id"), "__set"), ["id", "__set"], "left_semi").drop("__set").dropDuplicates(["id"]), "near-sets")
+    wanted = materialise(classes.select("id", "__set").join(ids, "id"), "near-wanted")
+    held = spark.sparkContext.broadcast(member_filter(wanted, "id", wanted.count()))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", *hashes("id"))
+    # only sets that may be wanted leave their task
+    sets = texts.mapInArrow(_sets(shingle, held), "id long, s binary, __set binary").join(wanted, ["id", "__set"], "left_semi").drop("__set").dropDuplicates(["id"])
+    sets = materialise(sets, "near-sets")
     dense = members.join(sets, "id").groupBy("region").applyInArrow(_dense(percent), "a long, b long")
     dense = materialise(dense.distinct(), "near-dense")
     by = lambda c: Window.partitionBy(c).orderBy(F.desc("agree"), "a", "b")
