@@ -39,8 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample four fifths of the tokens, with flatter shares of sources, languages and topics."""
-    drawn = mixing.mix_sources(docs, share=0.8, power=0.7)
-    return docs.join(drawn.filter("not sampled").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return mixing.Mix(docs, share=0.8, power=0.7).sample(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

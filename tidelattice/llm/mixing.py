@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import materialise
 from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_bounds
@@ -98,24 +99,26 @@ def calibrate(tokens: np.ndarray, w: np.ndarray, budget: float) -> np.ndarray:
     return np.minimum(1, hi * w)
 
 
-def _describe(centres: np.ndarray):
+def _describe(centres: np.ndarray, text: int, names: list[str]):
+    """Map over rows with a text column: the other columns, topic and number of words; with the text as well if names has it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, off = string_bytes(b.column(3))
+            raw, off = string_bytes(b.column(text))
             topic, tokens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for i, j in blocks(off):
                 x, n = word_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 topic.append(np.argmax(x @ centres.T, 1).astype(np.int32))
                 tokens.append(n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.concatenate(topic)), pa.array(np.concatenate(tokens))], ["doc_id", "source", "lang", "topic", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c in names], pa.array(np.concatenate(topic)), pa.array(np.concatenate(tokens))], [*names, "__topic", "__tokens"])
 
     return run
 
 
 def _named(rows: DataFrame, column: str, most: int):
     """The column with null as NONE and all but the `most` values of most tokens as OTHER."""
-    value = F.coalesce(column, F.lit(NONE))
-    top = [r[0] for r in rows.groupBy(value).agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t"), value).limit(most).collect()]
+    value = F.coalesce(F.col(column).cast("string"), F.lit(NONE))
+    top = [r[0] for r in rows.groupBy(value).agg(F.sum("__tokens").alias("t")).orderBy(F.desc("t"), value).limit(most).collect()]
     return F.when(value.isin(top), value).otherwise(OTHER)
 
 
@@ -125,28 +128,47 @@ def flattened(shares: dict, power: float) -> dict:
     return {k: v / sum(p.values()) for k, v in p.items()} if p else {}
 
 
-def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.5, targets: dict[str, dict] | None = None, topics: int = TOPICS, seed: int = 1) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled.
-
-    share: the expected part of all tokens in the sample. targets: shares by category for source, lang and topic; a marginal that is
-    not given gets its present shares flattened by `power`."""
-    spark = docs.sparkSession
-    fields = "doc_id {}, source string, lang string, topic int, n_tokens long".format(docs.schema["doc_id"].dataType.simpleString())
-    rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(_describe(fit_topics(docs, topics)), fields)
-    rows = materialise(rows, "mix-described")
-    rows = rows.withColumn("__source", _named(rows, "source", 63)).withColumn("__lang", _named(rows, "lang", 31))
-    cells = rows.groupBy("__source", "__lang", "topic").agg(F.sum("n_tokens").alias("t")).orderBy("__source", "__lang", "topic").collect()
-    tokens = np.array([c["t"] for c in cells], np.float64)
-    axes, wanted = [], []
-    for k, name in ((0, "source"), (1, "lang"), (2, "topic")):
-        values = sorted({c[k] for c in cells})
-        at = np.array([values.index(c[k]) for c in cells], np.int64)
-        have = np.bincount(at, tokens, minlength=len(values)) / max(tokens.sum(), 1)
-        goal = (targets or {}).get(name) or flattened(dict(zip(values, have, strict=True)), power)
-        axes.append(at)
-        wanted.append(np.array([goal.get(v, 0.0) for v in values]))
-    w = rake(tokens, axes, wanted) if len(cells) and tokens.sum() else np.ones(len(cells))
-    p = calibrate(tokens, w, share * float(tokens.sum()))
-    table = spark.createDataFrame([(c[0], c[1], c[2], float(x), float(y)) for c, x, y in zip(cells, w, p, strict=True)], "__source string, __lang string, topic int, weight double, probability double")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") / float(1 << 53)
-    return rows.join(F.broadcast(table), ["__source", "__lang", "topic"]).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
+class Mix:
+    """A fitted mix: topic centroids, the marginal categories as columns, and weight and probability of each cell."""
+
+    def __init__(self, docs: DataFrame, share: float = 0.5, power: float = 0.5, targets: dict[str, dict] | None = None, topics: int = TOPICS, seed: int = 1):
+        """share: the expected part of all tokens in the sample. targets: shares by category for source, lang and topic; a marginal that is
+        not given gets its present shares flattened by `power`."""
+        self.seed, self.centres = seed, fit_topics(docs, topics)
+        narrow = docs.select("doc_id", "source", "lang", "text")
+        fields = T.StructType([narrow.schema[c] for c in ("doc_id", "source", "lang")]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
+        self.rows = materialise(narrow.mapInArrow(_describe(self.centres, 3, ["doc_id", "source", "lang"]), fields), "mix-described")
+        self.source, self.lang = _named(self.rows, "source", 63), _named(self.rows, "lang", 31)
+        cells = self.rows.groupBy(self.source.alias("s"), self.lang.alias("l"), "__topic").agg(F.sum("__tokens").alias("t")).orderBy("s", "l", "__topic").collect()
+        tokens = np.array([c["t"] for c in cells], np.float64)
+        axes, wanted = [], []
+        for k, name in ((0, "source"), (1, "lang"), (2, "topic")):
+            values = sorted({c[k] for c in cells})
+            at = np.array([values.index(c[k]) for c in cells], np.int64)
+            have = np.bincount(at, tokens, minlength=len(values)) / max(tokens.sum(), 1)
+            goal = (targets or {}).get(name) or flattened(dict(zip(values, have, strict=True)), power)
+            axes.append(at)
+            wanted.append(np.array([goal.get(v, 0.0) for v in values]))
+        w = rake(tokens, axes, wanted) if len(cells) and tokens.sum() else np.ones(len(cells))
+        p = calibrate(tokens, w, share * float(tokens.sum()))
+        table = [(c[0], c[1], c[2], float(x), float(y)) for c, x, y in zip(cells, w, p, strict=True)]
+        self.table = docs.sparkSession.createDataFrame(table, "__s string, __l string, __topic int, __weight double, __probability double")
+
+    def drawn(self, rows: DataFrame) -> DataFrame:
+        """Rows with doc_id, source, lang and __topic, and what their cell and the hash of their id say."""
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), "doc_id"), 11).cast("double") / float(1 << 53)
+        joined = rows.withColumns({"__s": self.source, "__l": self.lang}).join(F.broadcast(self.table), ["__s", "__l", "__topic"])
+        return joined.withColumn("__sampled", draw < F.col("__probability")).drop("__s", "__l")
+
+    def sample(self, docs: DataFrame) -> DataFrame:
+        """The sampled documents with all their columns. No text is shuffled: topics are found again in a map over the documents."""
+        fields = T.StructType([*docs.schema.fields]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
+        rows = docs.mapInArrow(_describe(self.centres, docs.columns.index("text"), docs.columns), fields)
+        return self.drawn(rows).filter("__sampled").select(*docs.columns)
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled. Options as those of Mix."""
+    mix = Mix(docs, **options)
+    names = {"__topic": "topic", "__tokens": "n_tokens", "__weight": "weight", "__probability": "probability", "__sampled": "sampled"}
+    return mix.drawn(mix.rows).select("doc_id", "source", "lang", *[F.col(k).alias(v) for k, v in names.items()])
