@@ -163,6 +163,22 @@ def test_instant_rates(spark):
     check(spark, "delta-counter", "count", "irate(m[W])", 45_000, lambda x, ws, we: x[-1][1] / (x[-1][0] - x[-2][0] if len(x) > 1 else 60) * 1000, False)
 
 
+@pytest.mark.parametrize("query", [*COUNTERS, "irate(m[W])"])
+def test_stretches_change_nothing(spark, query, monkeypatch):
+    from tidelattice.operators import grid
+
+    e = Engine(spark)
+    rows = [(f"s{k}", t, v) for k in range(3) for t, v in make(k, True, k == 1)]
+    e.register("m", spark.createDataFrame(rows, "s string, ts long, count double"), ["s"], schema="prom-counter")
+    results = []
+    for stretch in (10**6, 2):
+        monkeypatch.setattr(grid, "STRETCH", stretch)
+        df = e.query_range(query.replace("W", "30s"), START, END, 10_000)
+        assert ("__stretch" in df._jdf.queryExecution().optimizedPlan().toString()) == (stretch == 2)
+        results.append(sorted(map(str, df.collect())))
+    assert results[0] == results[1] and results[0]
+
+
 def test_open_windows(spark):
     data = [("a", 0, 1.0), ("a", 60_000, 2.0)]
     e = Engine(spark, Config(inclusive_range=False))

@@ -2,8 +2,9 @@
 
 A sample at t belongs to the instants in [t, t + window], which is a range of grid indexes: an explode, not a join. The grouping key
 is (series, instant), so a long series is spread over tasks, and sums, extremes and
-counts are combined before the shuffle. Functions that need the preceding sample take it from one window over the series first; its hash
-partitioning by series serves the grouping too, so the plan has a single exchange.
+counts are combined before the shuffle. Functions that need the preceding sample take it from one window over the series first; over a
+short range its hash partitioning by series serves the grouping too, so the plan has a single exchange, and over a long
+range series are cut into stretches of time.
 """
 
 from __future__ import annotations
@@ -35,10 +36,27 @@ def assign(df: DataFrame, grid: Grid, window: int, inclusive: bool = True) -> Da
     return rows.withColumn(AT, F.col(I) * step + start).drop("__lo", "__hi")
 
 
-def with_previous(v: Vector) -> DataFrame:
-    """Samples with the previous one of their series: __pts, __pv."""
-    w = Window.partitionBy(*v.keys).orderBy(TS)
-    return v.df.withColumn("__pts", F.lag(TS).over(w)).withColumn("__pv", F.lag(VALUE).over(w))
+#: A series is split into stretches of so many windows, where a query covers at least two of them.
+STRETCH = 16
+
+
+def with_previous(v: Vector, grid: Grid, window: int) -> DataFrame:
+    """Samples with the previous one of their series: __pts, __pv.
+
+    A predecessor matters only if some window holds both samples, so a long series is cut into stretches of time, each with the last
+    window of the one before it as context: one hot series is then sorted by many tasks."""
+    first, size = grid.start - window, STRETCH * window
+    df, keys = v.df, list(v.keys)
+    split = window > 0 and grid.end - first >= 2 * size
+    if split:
+        own = F.expr(f"({TS} - {first}L) div {size}L")
+        near_end = F.expr(f"({TS} - {first}L) % {size}L >= {size - window}L")
+        df = df.filter(F.col(TS).between(first, grid.end)).withColumn("__own", own)
+        df = df.withColumn("__stretch", F.explode(F.when(near_end, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+        keys.append("__stretch")
+    w = Window.partitionBy(*keys).orderBy(TS)
+    df = df.withColumn("__pts", F.lag(TS).over(w)).withColumn("__pv", F.lag(VALUE).over(w))
+    return df.filter("__own = __stretch").drop("__own", "__stretch") if split else df
 
 
 def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, inclusive: bool = True, args: tuple[float, ...] = (), counter: bool | None = None) -> Vector:
@@ -48,7 +66,7 @@ def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, i
     at = grid.shifted(-offset)
     df = v.df if function.keeps_nan else v.df.filter(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
     if function.previous:
-        df = with_previous(v.with_df(df))
+        df = with_previous(v.with_df(df), at, window)
     if function.prepare is not None:
         df = function.prepare(df)
     rows = assign(df, at, window, inclusive)
