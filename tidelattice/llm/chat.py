@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import string_bytes
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -97,7 +98,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Pieces of formatted conversations: conv_id, piece (in order), formatted, loss_starts, loss_ends (bytes of the piece)."""
     n = max(8, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     ordered = rows.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(_format, "conv_id long, piece long, formatted string, loss_starts array<long>, loss_ends array<long>")
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import small_batches
 from .text import ALNUM, string_bytes, word_bounds
 
 WINDOW = 13
@@ -260,7 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     schema = T.StructType([T.StructField("__key", kind)]).add("n_words", T.LongType()).add("span_starts", T.ArrayType(T.LongType())).add("span_ends", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
     if carry_text:
         schema = schema.add("text", "string")
-    rows = docs.select(F.col(key).alias("__key"), "text")
+    rows = small_batches(docs).select(F.col(key).alias("__key"), "text")
     got = [rows.mapInArrow(_scan(Windows(items, window), carry_text), schema) for items in benchmark_blocks(benchmark, block_bytes)]
     found = got[0]
     if len(got) > 1:

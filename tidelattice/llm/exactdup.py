@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .membership import MAX_BITS, bitmap, filter_bits, words_of
-from .store import join_by_size, materialise
+from .store import join_by_size, materialise, small_batches
 
 HASHES = 3
 _DIGESTS = "doc_id long, __digest binary, __points long"
@@ -41,7 +41,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, sha256 of the text without white space, and code points of the original text."""
-    return docs.select("doc_id", "text").mapInArrow(_digests, _DIGESTS)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_digests, _DIGESTS)
 
 
 def _positions(digest_col, bits: int):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .store import small_batches
 from .text import LOWER, blocks, string_bytes
 
 UND = "und"
@@ -42,16 +43,15 @@ def has_letter(text: str) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over (lang, text): trigram counts per language, summed over the task."""
-    total: dict[str, np.ndarray] = {}
+    """Map over (lang, text): trigram counts per language and batch."""
     for b in batches:
         raw, off = string_bytes(b.column(1))
+        parts: dict[str, list[np.ndarray]] = {}
         for i, lang in enumerate(b.column(0).to_pylist()):
-            got = total.setdefault(lang, np.zeros(1 << 24, np.int32))
-            np.add.at(got, trigrams(raw[off[i] : off[i + 1]]), 1)
-    for lang, got in total.items():
-        at = np.flatnonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))], ["lang", "gram", "n"])
+            parts.setdefault(lang, []).append(trigrams(raw[off[i] : off[i + 1]]))
+        for lang, found in parts.items():
+            grams, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
 class LanguageModel:
@@ -123,7 +123,7 @@ class LanguageModel:
 
 def train(docs: DataFrame, per_language: int = 2000, features: int = 2000, languages: int = 256) -> LanguageModel:
     """Fit on rows (doc_id, text, lang), for the `languages` most frequent; the driver gets at most 2^24 counts a language, in sums made by Spark."""
-    rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
+    rows = small_batches(docs).select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     keys = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("__h", F.xxhash64("doc_id"))
     # least hashes of each language: first within 64 parts, so that a common language is spread over tasks
@@ -151,7 +151,7 @@ def train(docs: DataFrame, per_language: int = 2000, features: int = 2000, langu
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The documents with two more columns, lang_pred and lang_score (all else as it was)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import join_by_size, materialise
+from .store import join_by_size, materialise, small_batches
 from .text import ALNUM, LOWER, SPACES, _powers, blocks, mix, span_hashes, string_bytes, word_bounds
 
 LEAST, LONG, CUT = 8, 24, 8
@@ -135,7 +135,7 @@ def _remove(least: int, names: list[str]):
 
 def dedup_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_units, removed (array of start, end), clean_text."""
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     found = materialise(rows.filter("doc_id is not null and text is not null").mapInArrow(_emit(least), "h1 long, h2 long, doc_id long"), "units")
     repeated = materialise(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1"), "units-repeated")
     later = join_by_size(found, repeated, ["h1", "h2"], "__n", found.count()).filter("__first != doc_id")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import materialise
+from .store import materialise, small_batches
 from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_bounds
 
 DIMS, TOPICS = 512, 8
@@ -135,7 +135,7 @@ class Mix:
         """share: the expected part of all tokens in the sample. targets: shares by category for source, lang and topic; a marginal that is
         not given gets its present shares flattened by `power`."""
         self.seed, self.centres = seed, fit_topics(docs, topics)
-        narrow = docs.select("doc_id", "source", "lang", "text")
+        narrow = small_batches(docs).select("doc_id", "source", "lang", "text")
         fields = T.StructType([narrow.schema[c] for c in ("doc_id", "source", "lang")]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
         self.rows = materialise(narrow.mapInArrow(_describe(self.centres, 3, ["doc_id", "source", "lang"]), fields), "mix-described")
         self.source, self.lang = _named(self.rows, "source", 63), _named(self.rows, "lang", 31)

@@ -31,7 +31,7 @@ from pyspark.sql import Window
 
 from .graph import components
 from .membership import hashes, maybe_members, member_filter
-from .store import join_by_size, materialise
+from .store import join_by_size, materialise, small_batches
 from .text import LOWER, NOT_SPACE, blocks, shingle_hashes, span_hashes, string_bytes, word_bounds
 
 TREES, DEPTH, LEAST, REGION = 24, 8, 4, 1024
@@ -300,7 +300,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (its representative)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     described = materialise(docs.select("doc_id", "text").mapInArrow(_describe(shingle), "doc_id long, n_shingles long, __set binary, __sig binary"), "near-described")
     rows = described.count()
     # a class per distinct set, named by its smallest id

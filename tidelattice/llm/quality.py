@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_bounds
 
 SHAPES, WORDS, EXTRA = 2048, 1024, 4
@@ -115,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", references
         own = named.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(references // 2)
         chosen = own if chosen is None else chosen.unionByName(own)
     # at most `references` rows of two numbers: a proven bound for the broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(references).select("label", "text")
+    sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(references).select("label", "text")
     t = sample.mapInArrow(_features, "label int, x binary").toArrow()
     y = t.column("label").to_numpy().astype(np.float64)
     if len(y) == 0:
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", references
 
 def classify(docs: DataFrame, model: NeighbourModel) -> DataFrame:
     """One row per document: doc_id and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -192,7 +194,7 @@ def train(docs: DataFrame, per_kind: int = 600, sample_docs: int = 20000) -> Sec
     """Automata from credentials labelled by the patterns in a bounded sample of documents (the sample_docs of least hash; per_kind
     distinct values a kind) and from seed_credentials(); the ordinary characters come from the same sample."""
     sample = docs.select("doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text")
     values = texts.mapInArrow(_labelled, "kind string, value string")
     from pyspark.sql import Window
 
@@ -214,7 +216,7 @@ def train(docs: DataFrame, per_kind: int = 600, sample_docs: int = 20000) -> Sec
 
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     """One row per document: doc_id, spans and base_spans as arrays of (kind, start, end)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 

@@ -23,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker, unless the session has a smaller number.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the batches that Python workers get by bytes, so that long texts do not make them large. Every operator begins with this."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    now = str(spark.conf.get(key)).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
