@@ -54,7 +54,7 @@ def units(raw: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndar
     long = np.flatnonzero(b - a > LONG)
     if len(long):
         inside = np.zeros(len(h) + 1, np.int8)
-        np.add.at(inside, a[long] + 1, 1)
+        np.add.at(inside, a[long] + least, 1)  # the first piece is long enough to count alone
         np.add.at(inside, b[long], -1)
         cuts = ws[np.flatnonzero((np.cumsum(inside[1:-1]) > 0) & (h[:-1] % np.uint64(CUT) == 0)) + 1]
         starts = np.union1d(starts, cuts)
