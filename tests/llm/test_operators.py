@@ -244,3 +244,10 @@ def test_queries_on_the_small_tables(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
     scored = queries.op1_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out")
     assert scored.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.9
+
+
+def test_near_pairs_in_a_large_family_of_lesser_similarity(spark):
+    """4000 texts share boilerplate (similarity 0.75, no link); each has one partner of similarity 0.804, in regions too large for one comparison."""
+    rows = [(i, " ".join([f"b{k}" for k in range(150)] + [f"p{i % 2000}x{k}" for k in range(6)] + [f"o{i}x{k}" for k in range(19)])) for i in range(4000)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert [i for i in range(4000) if got[i] != i % 2000] == []

@@ -6,13 +6,17 @@
    split), and a longest common prefix of LEAST minhashes makes two classes candidates of a region.
 3. The depth adapts to the region: a run with a common prefix is compared pair by pair if it has at most REGION
    rows, by b-bit sketches inside the task; a larger one is cut at its next minhash, and what is
-   still larger at full depth is cut into runs of REGION rows by its order. Large families therefore need long
-   prefixes, and members of any family meet in many trees and orders.
+   still larger at full depth is cut into runs of REGION rows by its order. Regions that were cut in this way, or by the edge
+   of a chunk or a partition, are open: their members are listed as well.
 4. A region with few pairs of agreeing sketches emits them. In a dense one their number would grow with its square: there all
    pairs are compared exactly, on full sets, inside one bounded task, and a spanning forest of the true links is emitted.
 5. Of the emitted pairs, the best for each class are confirmed on full sets and joined to components; the others are
    confirmed afterwards where they would still connect two components (all of them, without a cap).
-A pair of similarity 0.8 misses all trees with probability (1 - 0.8 ** LEAST) ** TREES = 3e-6 where regions are not split.
+6. Open regions that share members are one family. In a family all pairs in different components are compared exactly, on full
+   sets: it is dealt into slices, and each pair of slices is a task of its own; only slices of its most common component
+   are not compared with each other, as their members are linked already.
+A pair of similarity 0.8 misses all trees with probability (1 - 0.8 ** LEAST) ** TREES = 3e-6, and the sketches of a region that is not
+open with probability 4.3e-5 (fewer than `need` of SKETCH places agree).
 
 Null and empty texts have no set, belong to no class and are linked with nothing. Texts shorter than a shingle are one
 shingle. Rows with a null doc_id are returned unlinked; rows that repeat a doc_id share its component.
@@ -38,6 +42,8 @@ TREES, DEPTH, LEAST, REGION = 24, 8, 4, 1024
 SKETCH = 64
 #: Rows sorted and compared together in a task.
 CHUNK = 1 << 17
+#: Sets of a slice of a family, and their shingles together, on average.
+SLICE, SLICE_SHINGLES = 512, 1 << 20
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -151,7 +157,7 @@ def _pairs_of(sketch: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _compare(need: int):
-    """Map over sorted members: candidate pairs (a, b, agree), and the members of dense regions as (region, id, -1)."""
+    """Map over sorted members: candidate pairs (a, b, agree), the members of dense regions as (region, id, -1), and those of open ones as (region, id, -2)."""
 
     def chunk(rows: pa.Table, region: int) -> tuple[pa.RecordBatch, int]:
         n = rows.num_rows
@@ -190,6 +196,13 @@ def _compare(need: int):
                     b.append(ids[inside])
                     s.append(np.full(len(inside), -1))
                     region += 1
+        large = hi - lo > REGION
+        large[[0, -1]] = True  # may go on in the chunk before or after
+        for x, y in zip(lo[large], hi[large], strict=True):
+            name = int.from_bytes(hashlib.blake2b(b"%d " % tree[x] + key[x, :LEAST].tobytes(), digest_size=8).digest(), "big", signed=True)
+            a.append(np.full(y - x, name))
+            b.append(ids[x:y])
+            s.append(np.full(y - x, -2))
         columns = [np.concatenate(a), np.concatenate(b), np.concatenate(s).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "agree"]), region
 
@@ -298,6 +311,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").select("a", "b", "s_a", "s_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _across(open_: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links of the pairs of each family of open regions (region, id) that are in different components; None if there is no such pair."""
+    marked = open_.join(joined, "id", "left").select("region", "id", F.coalesce("component", "id").alias("c"))
+    # a region whose members are linked already needs nothing
+    mixed = marked.groupBy("region").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.min("id").alias("hub")).filter("__lo != __hi").select("region", "hub")
+    marked = materialise(marked.join(mixed, "region"), "near-open")
+    if marked.isEmpty():
+        return None
+    family = components(marked.select("id", "hub"), "id", "hub").withColumnRenamed("component", "family")
+    rows = marked.select("id", "c").distinct().join(family, "id").join(sets.select("id", F.octet_length("s").alias("__b")), "id")
+    by = rows.groupBy("family", "c").agg(F.count("*").alias("n"), F.sum("__b").alias("__b"))
+    total = by.groupBy("family").agg(F.max(F.struct("n", "c", "__b")).alias("top"), F.sum("n").alias("n"), F.sum("__b").alias("__b"))
+    slices = lambda n, b: F.ceil(F.greatest(n / SLICE, b / (8 * SLICE_SHINGLES))).cast("int")
+    # slices 0 .. others - 1 hold the members outside the most common component, the next ones its own
+    total = total.select("family", F.col("top.c").alias("__top"), slices(F.col("n") - F.col("top.n"), F.col("__b") - F.col("top.__b")).alias("others"), slices(F.col("top.n"), F.col("top.__b")).alias("own"))
+    rows = materialise(rows.select("id", "c", "family").join(total, "family").withColumn("__is", F.col("c") == F.col("__top")), "near-families")
+    at = F.pmod(F.xxhash64("id"), F.when(F.col("__is"), F.col("own")).otherwise(F.col("others")).cast("long")).cast("int")
+    rows = rows.withColumn("x", at + F.when(F.col("__is"), F.col("others")).otherwise(0))
+    meets = F.when(F.col("__is"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("own") - 1))
+    placed = rows.select("family", "id", "x", F.explode(meets).alias("y")).select("family", "id", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    links = placed.join(sets, "id").groupBy("family", "i", "j").applyInArrow(_dense(percent), "a long, b long")
+    return materialise(links.distinct(), "near-across")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (its representative)."""
     spark = small_batches(docs).sparkSession
@@ -312,9 +349,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     need = int(SKETCH * (percent / 100 - 4 * ((percent / 100) * (1 - percent / 100) / SKETCH) ** 0.5))
     found = ordered.mapInArrow(_compare(need), "a long, b long, agree int")
     found = materialise(found, "near-found")
-    members = found.filter("agree < 0").select(F.col("a").alias("region"), F.col("b").alias("id"))
+    members = found.filter("agree = -1").select(F.col("a").alias("region"), F.col("b").alias("id"))
     pairs = materialise(found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct()
+    marked = found.filter("agree = -2").select(F.col("a").alias("region"), F.col("b").alias("id"))
+    several = marked.groupBy("region").count().filter("count > 1").select("region")
+    marked = materialise(marked.join(several, "region"), "near-marked")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).union(marked.select("id")).distinct()
     # several rows may repeat an id: the class's own text is one whose set is the class's
     wanted = materialise(classes.select("id", "__set").join(ids, "id"), "near-wanted")
     held = spark.sparkContext.broadcast(member_filter(wanted, "id", wanted.count()))
@@ -334,6 +374,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     more = materialise(_confirmed(rest, sets, percent), "near-more")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
+    across = _across(marked, joined, sets, percent)
+    if across is not None and not across.isEmpty():
+        joined = components(links.unionByName(more).unionByName(across))
     component = classes.join(joined, "id", "left").select("__set", "__n", F.coalesce("component", "id").alias("component_id"))
     alone = described.filter("__set is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = join_by_size(described.filter("__set is not null and doc_id is not null").select("doc_id", "n_shingles", "__set"), component, ["__set"], "__n", rows)
