@@ -251,3 +251,17 @@ def test_near_pairs_in_a_large_family_of_lesser_similarity(spark):
     rows = [(i, " ".join([f"b{k}" for k in range(150)] + [f"p{i % 2000}x{k}" for k in range(6)] + [f"o{i}x{k}" for k in range(19)])) for i in range(4000)]
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
     assert [i for i in range(4000) if got[i] != i % 2000] == []
+
+
+def test_short_lines_and_passages_of_long_lines_go(spark):
+    short = "released under the mit license."
+    d = spark.createDataFrame([(1, f"{short}\n{_words(21, 12)}\n{short}\nend"), (2, f"{_words(22, 12)}\n{short}\n{_words(23, 12)}"), (3, f"{short} with more\n")], "doc_id long, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in linededup.dedup_units(d).collect()}
+    assert got[1] == f"{short}\n{_words(21, 12)}\nend" and got[2] == f"{_words(22, 12)}\n{_words(23, 12)}" and got[3] == f"{short} with more\n"
+    # a passage of 50 words inside longer lines, wherever it stands
+    rows = []
+    for k in range(40):
+        shared = _words(1000 + k, 50)
+        rows += [(100 + 2 * k, f"{_words(2000 + k, 20)} {shared} {_words(3000 + k, 20)}"), (101 + 2 * k, f"{_words(4000 + k, 25)} {shared} {_words(5000 + k, 15)}")]
+    got = {r["doc_id"]: r["removed"] for r in linededup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + 2 * k] == [] and got[101 + 2 * k] for k in range(40))

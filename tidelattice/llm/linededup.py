@@ -2,8 +2,10 @@
 
 A unit is normalised to its lower-cased words (letters, digits, non-ASCII) and digested to 128 bits. A unit of fewer than
 `least` words is digested with the words before it, `least` in all, so that a short phrase alone is never taken for a
-repeat; at the start of a text, where there are too few, it stays. A sentence of more than LONG words is cut after words
-that their hash selects (one in CUT), so that a passage without full stops is cut alike wherever it stands. Digests are grouped globally; the
+repeat; at the start of a text, where there are too few, it stays. A whole line that has such a unit is also digested by itself,
+whatever its length, and goes if that digest has occurred; other lines are repeated just when all their units are. A sentence of more than
+LONG words is cut after the words of least hash of all windows of CUT words, so that a passage without full stops is cut alike wherever it stands, and
+cuts are at most CUT words apart. Digests are grouped globally; the
 occurrence in the smallest doc_id, and there the first, is kept, and all others are removed with their original
 offsets retained (code points, end exclusive; white space that follows a removed unit goes with it).
 
@@ -24,17 +26,22 @@ from pyspark.sql import types as T
 from .store import join_by_size, materialise, small_batches
 from .text import ALNUM, LOWER, SPACES, _powers, blocks, mix, span_hashes, string_bytes, word_bounds
 
-LEAST, LONG, CUT = 8, 24, 8
+LEAST, LONG, CUT = 8, 24, 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
 def units(raw: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
     """Units of a block of texts: text index, first and past-the-end byte, two 64-bit digests, and whether eligible."""
+    return units_and_lines(raw, off, least)[:6]
+
+
+def units_and_lines(raw: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """As units(), and for each unit the number of its line, the line's two digests, and whether the line is digested by itself."""
     n = len(raw)
     z = np.zeros(0, np.int64)
     if n == 0:
-        return z, z, z, z, z, z.astype(bool)
+        return z, z, z, z, z, z.astype(bool), z, z, z, z.astype(bool)
     space = SPACES[raw]
     begin = np.zeros(n, bool)
     begin[off[:-1][np.diff(off) > 0]] = True
@@ -56,7 +63,15 @@ def units(raw: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndar
         inside = np.zeros(len(h) + 1, np.int8)
         np.add.at(inside, a[long] + least, 1)  # the first piece is long enough to count alone
         np.add.at(inside, b[long], -1)
-        cuts = ws[np.flatnonzero((np.cumsum(inside[1:-1]) > 0) & (h[:-1] % np.uint64(CUT) == 0)) + 1]
+        window = np.zeros(len(h) + 1, np.int8)  # first words of windows inside one long sentence
+        np.add.at(window, a[long], 1)
+        np.add.at(window, b[long] - CUT + 1, -1)
+        at = np.flatnonzero(np.cumsum(window[:-1]) > 0)
+        after_word = np.zeros(len(h) + 1, bool)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            after_word[part + np.argmin(h[part[:, None] + np.arange(CUT)], 1) + 1] = True
+        cuts = ws[np.flatnonzero((np.cumsum(inside[:-1]) > 0) & after_word[:-1])]
         starts = np.union1d(starts, cuts)
         doc = np.searchsorted(off, starts, side="right") - 1
         ends = np.concatenate([starts[1:], [n]])
@@ -65,13 +80,22 @@ def units(raw: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndar
     wide = np.where(size >= least, a, b - least)
     ok = (size > 0) & (wide >= first[doc])
     wide = np.where(ok, wide, a)
+    # lines: runs of units up to the next line feed or text
+    head = after[starts].copy()
+    head[0] = True
+    head[1:] |= doc[1:] != doc[:-1]
+    first_unit = np.flatnonzero(head)
+    line = np.cumsum(head) - 1
+    la, lb = a[first_unit], b[np.concatenate([first_unit[1:], [len(starts)]]) - 1]
+    single = np.logical_or.reduceat((size > 0) & (size < least), first_unit)
     p, q = _powers(len(h) + 1)
-    out = []
+    out, whole = [], []
     for salt in (np.uint64(0), np.uint64(0xD6E8FEB86659FD93)):
         c = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(mix(h ^ salt) * p[:-1], out=c[1:])
         out.append(mix((c[b] - c[wide]) * q[wide] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-    return doc, starts, ends, out[0], out[1], ok
+        whole.append(mix(((c[lb] - c[la]) * q[la] + (lb - la).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64))
+    return doc, starts, ends, out[0], out[1], ok, line, whole[0][line], whole[1][line], single[line]
 
 
 def _emit(least: int):
@@ -80,8 +104,10 @@ def _emit(least: int):
             raw, off = string_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in blocks(off):
-                doc, _, _, h1, h2, ok = units(raw[off[i] : off[j]], off[i : j + 1] - off[i], least)
-                rows = np.unique(np.stack([doc[ok], h1[ok], h2[ok]], 1), axis=0) if ok.any() else np.zeros((0, 3), np.int64)
+                doc, _, _, h1, h2, ok, line, l1, l2, single = units_and_lines(raw[off[i] : off[j]], off[i : j + 1] - off[i], least)
+                one = single & np.concatenate([[True], line[1:] != line[:-1]])[: len(line)]
+                rows = np.stack([np.concatenate([x[ok], y[one]]) for x, y in ((doc, doc), (h1, l1), (h2, l2))], 1)
+                rows = np.unique(rows, axis=0) if len(rows) else np.zeros((0, 3), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(ids[i + rows[:, 0]].astype(np.int64))], ["h1", "h2", "doc_id"])
 
     return run
@@ -99,7 +125,7 @@ def _remove(least: int, names: list[str]):
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, j in blocks(off):
                 own, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                doc, starts, ends, h1, h2, ok = units(own, at, least)
+                doc, starts, ends, h1, h2, ok, line, l1, l2, single = units_and_lines(own, at, least)
                 n_units[i:j] = np.bincount(doc, minlength=j - i)
                 points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
@@ -109,13 +135,20 @@ def _remove(least: int, names: list[str]):
                         continue
                     gone = {(x["h1"], x["h2"]) for x in drops[i + d] or ()}
                     keys = list(zip(h1[a:b].tolist(), h2[a:b].tolist(), strict=True))
-                    if not gone and len(set(keys)) == len(keys):
+                    lines = list(zip(l1[a:b].tolist(), l2[a:b].tolist(), strict=True))
+                    n_lines = line[b - 1] - line[a] + 1
+                    if not gone and len(set(keys)) == len(keys) and len(set(lines)) == n_lines:
                         continue
                     keep, removed = [], spans[i + d]
                     base = points[at[d]]
+                    line_gone = False
                     for u in range(a, b):
                         key = keys[u - a]
-                        if ok[u] and key in gone:
+                        if u == a or line[u] != line[u - 1]:
+                            line_gone = bool(single[u]) and lines[u - a] in gone
+                            if single[u]:
+                                gone.add(lines[u - a])
+                        if line_gone or (ok[u] and key in gone):
                             s, e = int(points[starts[u]] - base), int(points[ends[u]] - base)
                             if removed and removed[-1]["end"] == s:
                                 removed[-1]["end"] = e
