@@ -4,11 +4,14 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelattice.llm import chat, decontam, exactdup, graph, langid, linededup, membership, mixing, neardup, quality, queries, secretscan, sharding
 from tidelattice.llm.store import join_by_size
+from tidelattice.llm.text import string_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __sig string, component_id string"
 
@@ -265,3 +268,16 @@ def test_short_lines_and_passages_of_long_lines_go(spark):
         rows += [(100 + 2 * k, f"{_words(2000 + k, 20)} {shared} {_words(3000 + k, 20)}"), (101 + 2 * k, f"{_words(4000 + k, 25)} {shared} {_words(5000 + k, 15)}")]
     got = {r["doc_id"]: r["removed"] for r in linededup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[100 + 2 * k] == [] and got[101 + 2 * k] for k in range(40))
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """The centroids are a fixed point of the rounds over all 9000 documents, not of a sample's."""
+    rows = [(i, " ".join(f"t{i % 8}w{zlib.crc32(f'{i}-{k}'.encode()) % 40}" for k in range(20)), "en", f"s{i % 3}") for i in range(9000)]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    raw, off = string_bytes(pa.array([r[1] for r in rows]))
+    x = mixing.word_counts(raw, off)[0].astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argmax(x @ mix.centres.T.astype(np.float64), 1)
+    for k in np.unique(near):
+        m = x[near == k].sum(0)
+        assert np.allclose(m / np.linalg.norm(m), mix.centres[k], atol=1e-4)

@@ -4,7 +4,7 @@ Tokens are summed by source, language and topic; raking scales the cells until e
 all cells is then set so that the expected tokens of the sample meet the budget, with probabilities capped at 1; each document is
 drawn by its cell's probability and a uniform number hashed from its id.
 
-Topics are spherical k-means clusters of hashed word counts, fitted on a bounded sample of documents. Sources and languages
+Topics are spherical k-means clusters of hashed word counts: the rounds run over all documents, from seeds that lie far apart in a sample. Sources and languages
 beyond the most common (63 and 31) share the cell `(other)`, null is `(none)`: the table has at most 64 * 32 * topics cells and is
 small by construction. Null and empty texts have no tokens and are kept or dropped by their cell. A marginal category without tokens is left out
 and its target goes to the others. Rows that repeat an id share its draw.
@@ -38,36 +38,108 @@ def word_counts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.sqrt(c).astype(np.float32), np.diff(first)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw, off = string_bytes(b.column(0))
-        rows = [x.tobytes() for i, j in blocks(off) for x in word_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["x"])
+def pack(counts: np.ndarray) -> list[bytes]:
+    """Rows of square-rooted counts as bytes of the counts, one byte each where all are below 256, four otherwise."""
+    whole = np.rint(counts.astype(np.float64) ** 2).astype(np.uint32)
+    small, narrow = whole.max(1, initial=0) < 256, whole.astype(np.uint8)
+    return [narrow[i].tobytes() if small[i] else whole[i].tobytes() for i in range(len(whole))]
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = 3000) -> np.ndarray:
-    """Unit centroids (topics x DIMS) from the `sample` documents of least hash of their id."""
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", F.xxhash64("text")).limit(sample)
-    got = rows.select("text").mapInArrow(_vectors, "x binary").toArrow().column("x").to_pylist()
-    x = np.frombuffer(b"".join(got), np.float32).reshape(-1, DIMS)
+def unpack(column: pa.Array) -> np.ndarray:
+    """The rows of pack() as square-rooted counts."""
+    rows = column.to_pylist()
+    x = np.empty((len(rows), DIMS), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r, np.uint8 if len(r) == DIMS else np.uint32)
+    return np.sqrt(x)
+
+
+def _vectors(text: int, names: list[str]):
+    """Map over rows with a text column: the columns of names, number of words, and the packed word counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = string_bytes(b.column(text))
+            rows, tokens = [], [np.zeros(0, np.int64)]
+            for i, j in blocks(off):
+                x, n = word_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                rows += pack(x)
+                tokens.append(n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c in names], pa.array(np.concatenate(tokens)), pa.array(rows, pa.binary())], [*names, "__tokens", "__x"])
+
+    return run
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     x = x[x.any(1)]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+#: Sums of vectors are sums of integers, so that their order does not matter.
+_ONE = 1 << 24
+
+
+def _sums(centres: np.ndarray):
+    """Map over packed word counts: for each topic the sum of the unit vectors nearest to its centroid, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(centres.shape, np.int64), np.zeros(len(centres), bool)
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                x = _units(unpack(b.column(0).slice(lo, 4096)))
+                near = np.argmax(x @ centres.T, 1)
+                x = np.rint(x * np.float32(_ONE)).astype(np.int64)
+                for k in np.unique(near):
+                    total[k] += x[near == k].sum(0)
+                    seen[k] = True
+        topic, at = np.repeat(np.flatnonzero(seen), DIMS).astype(np.int32), np.tile(np.arange(DIMS, dtype=np.int32), int(seen.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(at), pa.array(total[seen].ravel())], ["topic", "at", "s"])
+
+    return run
+
+
+def seeds(vectors: DataFrame, topics: int = TOPICS, sample: int = 3000) -> np.ndarray:
+    """Starting centroids (topics x DIMS): vectors far apart among those of the `sample` documents of least hash of their id."""
+    ids = vectors.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = vectors.select("doc_id", "__x").join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", F.xxhash64("__x")).limit(sample)
+    x = _units(unpack(rows.select("__x").toArrow().column("__x")))
     if len(x) == 0:
         return np.zeros((1, DIMS), np.float32)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     centre = [x[0]]
     while len(centre) < min(topics, len(x)):  # farthest point first
         centre.append(x[int(np.argmin((x @ np.stack(centre).T).max(1)))])
-    c = np.stack(centre)
-    for _ in range(15):
-        near = np.argmax(x @ c.T, 1)
-        for k in range(len(c)):
-            if (near == k).any():
-                m = x[near == k].sum(0)
-                c[k] = m / np.linalg.norm(m)
+    return np.stack(centre)
+
+
+def fit_topics(vectors: DataFrame, topics: int = TOPICS, rounds: int = 15) -> np.ndarray:
+    """Unit centroids (topics x DIMS) of spherical k-means over all rows (doc_id, __x)."""
+    c = seeds(vectors, topics)
+    if not c.any():
+        return c
+    for _ in range(rounds):
+        t = vectors.select("__x").mapInArrow(_sums(c), "topic int, at int, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).toArrow()
+        total = np.zeros(c.shape, np.float64)
+        total[t.column("topic").to_numpy(), t.column("at").to_numpy()] = t.column("s").to_numpy()
+        some = total.any(1)
+        new = c.copy()
+        new[some] = (total[some] / np.linalg.norm(total[some], axis=1, keepdims=True)).astype(np.float32)
+        if (new == c).all():
+            break
+        c = new
     return c
 
 
+def _topics(centres: np.ndarray):
+    """Map over (doc_id, source, lang, __tokens, __x): the topic in place of the word counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            topic = [np.zeros(0, np.int32), *(np.argmax(unpack(b.column(4).slice(lo, 4096)) @ centres.T, 1).astype(np.int32) for lo in range(0, b.num_rows, 4096))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.concatenate(topic)), b.column(3)], ["doc_id", "source", "lang", "__topic", "__tokens"])
+
+    return run
+
+
 def rake(cells: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Weights per cell: cells * weights has the target shares in each marginal. axes: each cell's category in each marginal."""
     w = np.ones(len(cells))
@@ -134,10 +206,14 @@ class Mix:
     def __init__(self, docs: DataFrame, share: float = 0.5, power: float = 0.5, targets: dict[str, dict] | None = None, topics: int = TOPICS, seed: int = 1):
         """share: the expected part of all tokens in the sample. targets: shares by category for source, lang and topic; a marginal that is
         not given gets its present shares flattened by `power`."""
-        self.seed, self.centres = seed, fit_topics(docs, topics)
+        self.seed = seed
         narrow = small_batches(docs).select("doc_id", "source", "lang", "text")
-        fields = T.StructType([narrow.schema[c] for c in ("doc_id", "source", "lang")]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
-        self.rows = materialise(narrow.mapInArrow(_describe(self.centres, 3, ["doc_id", "source", "lang"]), fields), "mix-described")
+        three = [narrow.schema[c] for c in ("doc_id", "source", "lang")]
+        held = T.StructType([*three]).add("__tokens", T.LongType()).add("__x", T.BinaryType())
+        vectors = materialise(narrow.mapInArrow(_vectors(3, ["doc_id", "source", "lang"]), held), "mix-vectors")
+        self.centres = fit_topics(vectors, topics)
+        fields = T.StructType([*three]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
+        self.rows = materialise(vectors.mapInArrow(_topics(self.centres), fields), "mix-described")
         self.source, self.lang = _named(self.rows, "source", 63), _named(self.rows, "lang", 31)
         cells = self.rows.groupBy(self.source.alias("s"), self.lang.alias("l"), "__topic").agg(F.sum("__tokens").alias("t")).orderBy("s", "l", "__topic").collect()
         tokens = np.array([c["t"] for c in cells], np.float64)
