@@ -281,3 +281,15 @@ def test_topics_are_fitted_on_all_documents(spark):
     for k in np.unique(near):
         m = x[near == k].sum(0)
         assert np.allclose(m / np.linalg.norm(m), mix.centres[k], atol=1e-4)
+
+
+def test_every_source_has_its_own_target(spark):
+    rows = [(i, _words(i, 20), "en", f"s{i % 80}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goal = {f"s{k}": 1 / 80 for k in range(80)}
+    got = mixing.mix_sources(docs, share=0.5, targets={"source": goal}).collect()
+    assert len(got) == 800 and all(r["probability"] > 0 for r in got)
+    expected = {}
+    for r in got:
+        expected[r["source"]] = expected.get(r["source"], 0) + r["probability"] * r["n_tokens"]
+    assert all(abs(v / sum(expected.values()) - 1 / 80) < 1e-3 for v in expected.values())

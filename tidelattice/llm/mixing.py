@@ -4,9 +4,8 @@ Tokens are summed by source, language and topic; raking scales the cells until e
 all cells is then set so that the expected tokens of the sample meet the budget, with probabilities capped at 1; each document is
 drawn by its cell's probability and a uniform number hashed from its id.
 
-Topics are spherical k-means clusters of hashed word counts: the rounds run over all documents, from seeds that lie far apart in a sample. Sources and languages
-beyond the most common (63 and 31) share the cell `(other)`, null is `(none)`: the table has at most 64 * 32 * topics cells and is
-small by construction. Null and empty texts have no tokens and are kept or dropped by their cell. A marginal category without tokens is left out
+Topics are spherical k-means clusters of hashed word counts: the rounds run over all documents, from seeds that lie far apart in a sample. All sources and
+languages have cells of their own, null is `(none)`; the driver holds one number per cell and marginal, not rows. Null and empty texts have no tokens and are kept or dropped by their cell. A marginal category without tokens is left out
 and its target goes to the others. Rows that repeat an id share its draw.
 """
 
@@ -24,7 +23,9 @@ from .store import materialise, small_batches
 from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_bounds
 
 DIMS, TOPICS = 512, 8
-OTHER, NONE = "(other)", "(none)"
+NONE = "(none)"
+#: Cells up to which their table is broadcast; the result is the same beyond it.
+BROADCAST_CELLS = 100_000
 
 
 def word_counts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +188,9 @@ def _describe(centres: np.ndarray, text: int, names: list[str]):
     return run
 
 
-def _named(rows: DataFrame, column: str, most: int):
-    """The column with null as NONE and all but the `most` values of most tokens as OTHER."""
-    value = F.coalesce(F.col(column).cast("string"), F.lit(NONE))
-    top = [r[0] for r in rows.groupBy(value).agg(F.sum("__tokens").alias("t")).orderBy(F.desc("t"), value).limit(most).collect()]
-    return F.when(value.isin(top), value).otherwise(OTHER)
+def _named(column: str):
+    """The column as text with null as NONE."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
 
 
 def flattened(shares: dict, power: float) -> dict:
@@ -214,26 +213,29 @@ class Mix:
         self.centres = fit_topics(vectors, topics)
         fields = T.StructType([*three]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
         self.rows = materialise(vectors.mapInArrow(_topics(self.centres), fields), "mix-described")
-        self.source, self.lang = _named(self.rows, "source", 63), _named(self.rows, "lang", 31)
-        cells = self.rows.groupBy(self.source.alias("s"), self.lang.alias("l"), "__topic").agg(F.sum("__tokens").alias("t")).orderBy("s", "l", "__topic").collect()
-        tokens = np.array([c["t"] for c in cells], np.float64)
+        self.source, self.lang = _named("source"), _named("lang")
+        cells = self.rows.groupBy(self.source.alias("s"), self.lang.alias("l"), "__topic").agg(F.sum("__tokens").alias("t")).orderBy("s", "l", "__topic").toArrow().combine_chunks()
+        tokens = cells.column("t").to_numpy().astype(np.float64)
         axes, wanted = [], []
-        for k, name in ((0, "source"), (1, "lang"), (2, "topic")):
-            values = sorted({c[k] for c in cells})
-            at = np.array([values.index(c[k]) for c in cells], np.int64)
+        for name, column in (("source", "s"), ("lang", "l"), ("topic", "__topic")):
+            coded = cells.column(column).combine_chunks().dictionary_encode()
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            values, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
             have = np.bincount(at, tokens, minlength=len(values)) / max(tokens.sum(), 1)
             goal = (targets or {}).get(name) or flattened(dict(zip(values, have, strict=True)), power)
             axes.append(at)
             wanted.append(np.array([goal.get(v, 0.0) for v in values]))
-        w = rake(tokens, axes, wanted) if len(cells) and tokens.sum() else np.ones(len(cells))
+        w = rake(tokens, axes, wanted) if len(tokens) and tokens.sum() else np.ones(len(tokens))
         p = calibrate(tokens, w, share * float(tokens.sum()))
-        table = [(c[0], c[1], c[2], float(x), float(y)) for c, x, y in zip(cells, w, p, strict=True)]
+        self.cells = len(tokens)
+        table = pa.table([*(cells.column(c) for c in ("s", "l", "__topic")), pa.array(w, pa.float64()), pa.array(p, pa.float64())], ["__s", "__l", "__topic", "__weight", "__probability"])
         self.table = docs.sparkSession.createDataFrame(table, "__s string, __l string, __topic int, __weight double, __probability double")
 
     def drawn(self, rows: DataFrame) -> DataFrame:
         """Rows with doc_id, source, lang and __topic, and what their cell and the hash of their id say."""
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), "doc_id"), 11).cast("double") / float(1 << 53)
-        joined = rows.withColumns({"__s": self.source, "__l": self.lang}).join(F.broadcast(self.table), ["__s", "__l", "__topic"])
+        table = F.broadcast(self.table) if self.cells <= BROADCAST_CELLS else self.table
+        joined = rows.withColumns({"__s": self.source, "__l": self.lang}).join(table, ["__s", "__l", "__topic"])
         return joined.withColumn("__sampled", draw < F.col("__probability")).drop("__s", "__l")
 
     def sample(self, docs: DataFrame) -> DataFrame:
