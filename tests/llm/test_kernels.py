@@ -229,3 +229,19 @@ def test_exact_links_of_a_dense_region():
         parent[root(x)] = root(y)
     assert {frozenset(i for i in range(61) if root(i) == r) for r in {root(i) for i in range(61)}} == want
     assert len(a) == 61 - len(want)
+
+
+def test_bounded_raking_meets_marginals_where_cells_reach_one():
+    cells, axes, goal = np.array([85.0, 5, 5, 5]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], np.array([0.6, 0.4])
+    p = mixing.bounded(cells, axes, [goal, goal], 20)
+    assert (p <= 1).all() and all(np.allclose(np.bincount(a, cells * p), 20 * goal, atol=1e-4) for a in axes)
+    # what cannot be met keeps the budget: category 1 has 10 tokens, not 16, and all of them are in only if the other marginal is missed
+    p = mixing.bounded(cells, axes, [np.array([0.2, 0.8]), np.array([0.8, 0.2])], 20)
+    assert (p <= 1).all() and abs((cells * p).sum() - 20) < 1e-6 and p[2] > 0.999
+    rng = np.random.default_rng(3)
+    cells = rng.lognormal(5, 3, 400)
+    axes = [np.arange(400) % 10, np.arange(400) // 10 % 5, np.arange(400) // 50]
+    q = rng.uniform(0.05, 1, 400)
+    goals = [np.bincount(a, cells * q) / (cells * q).sum() for a in axes]
+    p = mixing.bounded(cells, axes, goals, (cells * q).sum())
+    assert all(np.allclose(np.bincount(a, cells * p) / (cells * p).sum(), g, atol=1e-4) for a, g in zip(axes, goals, strict=True))

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed by source, language and topic; raking scales the cells until each marginal has its target shares; a factor common to
-all cells is then set so that the expected tokens of the sample meet the budget, with probabilities capped at 1; each document is
+Tokens are summed by source, language and topic; raking scales the cells until each marginal has its target shares. Probabilities are
+raked with their bound of 1: in each step cells that would exceed it are fixed at 1 and the other cells of the category take what
+remains, so that the expected tokens of the sample meet budget and marginals wherever they can be met; what cannot be met is reported in `shares`. Each document is
 drawn by its cell's probability and a uniform number hashed from its id.
 
 Topics are spherical k-means clusters of hashed word counts: the rounds run over all documents, from seeds that lie far apart in a sample. All sources and
@@ -11,6 +12,7 @@ and its target goes to the others. Rows that repeat an id share its draw.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_boun
 
 DIMS, TOPICS = 512, 8
 NONE = "(none)"
+log = logging.getLogger(__name__)
 #: Cells up to which their table is broadcast; the result is the same beyond it.
 BROADCAST_CELLS = 100_000
 
@@ -172,6 +175,45 @@ def calibrate(tokens: np.ndarray, w: np.ndarray, budget: float) -> np.ndarray:
     return np.minimum(1, hi * w)
 
 
+def waterfill(most: np.ndarray, share: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens of each category: the budget in proportion to the shares, at most `most` of each, what exceeds it going to the others."""
+    out, left = np.zeros(len(most)), np.where(share > 0, most, 0.0) > 0
+    while left.any():
+        give = (budget - out[~left].sum()) * np.where(left, share, 0) / share[left].sum()
+        over = left & (give >= most)
+        if not over.any():
+            return np.where(left, give, out)
+        out[over] = most[over]
+        left &= ~over
+    return out
+
+
+def bounded(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
+    """Probabilities min(1, w), w raked, so that the expected tokens have the target shares of the budget in each marginal where that can be met."""
+    budget = min(budget, tokens.sum())
+    w = np.full(len(tokens), budget / tokens.sum())
+    goals = [waterfill(np.bincount(at, tokens, minlength=len(share)), share, budget) for at, share in zip(axes, targets, strict=True)]
+    for _ in range(rounds):
+        before = np.minimum(1, w)
+        for at, goal in zip(axes, goals, strict=True):
+            n = len(goal)
+            f = np.zeros(n)
+            for _ in range(100):  # Newton from below on a concave, piecewise linear function: exact after some steps
+                at_most = (w * f[at] >= 1) & (w > 0)
+                fixed, free = np.bincount(at, tokens * at_most, minlength=n), np.bincount(at, np.where(at_most, 0, tokens * w), minlength=n)
+                new = np.maximum(f, np.divide(goal - fixed, free, out=f.copy(), where=free > 0))
+                done = (new <= f * (1 + 1e-15)).all()
+                f = new
+                if done:
+                    break
+            w = w * f[at]
+            # beyond the bound by a large factor says no more than the bound itself
+            w = np.minimum(w, 1e12)
+        if np.abs(np.minimum(1, w) - before).max(initial=0) < tolerance:
+            break
+    return calibrate(tokens, w, budget)
+
+
 def _describe(centres: np.ndarray, text: int, names: list[str]):
     """Map over rows with a text column: the other columns, topic and number of words; with the text as well if names has it."""
 
@@ -216,17 +258,28 @@ class Mix:
         self.source, self.lang = _named("source"), _named("lang")
         cells = self.rows.groupBy(self.source.alias("s"), self.lang.alias("l"), "__topic").agg(F.sum("__tokens").alias("t")).orderBy("s", "l", "__topic").toArrow().combine_chunks()
         tokens = cells.column("t").to_numpy().astype(np.float64)
-        axes, wanted = [], []
+        names, axes, wanted = [], [], []
         for name, column in (("source", "s"), ("lang", "l"), ("topic", "__topic")):
             coded = cells.column(column).combine_chunks().dictionary_encode()
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             values, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
             have = np.bincount(at, tokens, minlength=len(values)) / max(tokens.sum(), 1)
             goal = (targets or {}).get(name) or flattened(dict(zip(values, have, strict=True)), power)
+            names.append(values)
             axes.append(at)
             wanted.append(np.array([goal.get(v, 0.0) for v in values]))
         w = rake(tokens, axes, wanted) if len(tokens) and tokens.sum() else np.ones(len(tokens))
-        p = calibrate(tokens, w, share * float(tokens.sum()))
+        budget = share * float(tokens.sum())
+        p = bounded(tokens, axes, wanted, budget) if len(tokens) and tokens.sum() else np.ones(len(tokens))
+        #: per marginal and category: the target share, and that of the expected sample
+        self.shares: dict[str, dict] = {}
+        for name, values, at, goal in zip(("source", "lang", "topic"), names, axes, wanted, strict=True):
+            got = np.bincount(at, tokens * p, minlength=len(values))
+            got, goal = got / max(got.sum(), 1e-300), goal / max(goal.sum(), 1e-300)
+            self.shares[name] = {v: (float(x), float(y)) for v, x, y in zip(values, goal, got, strict=True)}
+            if len(got) and np.abs(got - goal).max() > 1e-3:
+                worst = int(np.argmax(np.abs(got - goal)))
+                log.warning("mix: %s shares cannot all be met; %s has %.4f, not %.4f", name, values[worst], got[worst], goal[worst])
         self.cells = len(tokens)
         table = pa.table([*(cells.column(c) for c in ("s", "l", "__topic")), pa.array(w, pa.float64()), pa.array(p, pa.float64())], ["__s", "__l", "__topic", "__weight", "__probability"])
         self.table = docs.sparkSession.createDataFrame(table, "__s string, __l string, __topic int, __weight double, __probability double")
