@@ -293,3 +293,16 @@ def test_every_source_has_its_own_target(spark):
     for r in got:
         expected[r["source"]] = expected.get(r["source"], 0) + r["probability"] * r["n_tokens"]
     assert all(abs(v / sum(expected.values()) - 1 / 80) < 1e-3 for v in expected.values())
+
+
+def test_contamination_in_blocks_keeps_every_row(docs, spark):
+    """Repeated and null ids, and rows alike but for the text, are one row each, whatever the size of a block."""
+    item = " ".join(f"p{i}" for i in range(10, 40))
+    items = spark.createDataFrame([(1, item), (3, "a b"), (10, _words(3, 20))], "item_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(12, "other text, a b"), (12, item), (None, "a b"), (None, item)], "doc_id long, text string"))
+    got = []
+    for size in (16 << 20, 10):
+        for key, carry in (("doc_id", False), ("k", True)):
+            found = decontam.contamination(rows.withColumn("k", F.struct("doc_id")), items, key=key, block_bytes=size, carry_text=carry)
+            got.append(sorted(str((tuple(r[key]) if carry else (r[key],), *r[1:6])) for r in found.collect()))
+    assert len(got[0]) == rows.count() and got[0] == got[1] == got[2] == got[3]

@@ -8,7 +8,7 @@ matrix, search all windows backward at once through its ranks, locate occurrence
 suffix positions, and merge the occurrences of a document into removal spans.
 
 Null and empty texts have no words and no hits. Repeated items or windows count for each item that has them.
-A benchmark larger than `block_bytes` is searched in blocks whose spans are merged per document.
+A benchmark larger than `block_bytes` is searched in blocks, so that a task holds one; rows are then numbered, and the spans of a row's passes merged by that number.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches
+from .store import materialise, small_batches
 from .text import ALNUM, string_bytes, word_bounds
 
 WINDOW = 13
@@ -252,23 +252,46 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[
     return out
 
 
+def _found_schema(kind: T.DataType, carry_text: bool) -> T.StructType:
+    schema = T.StructType([T.StructField("__key", kind)]).add("n_words", T.LongType()).add("span_starts", T.ArrayType(T.LongType())).add("span_ends", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
+    return schema.add("text", "string") if carry_text else schema
+
+
+def _in_blocks(rows: DataFrame, blocks: list, window: int, carry_text: bool) -> DataFrame:
+    """The rows of _scan() with the hits of all blocks, one for each row of (__key, text)."""
+    # written, so that a row has the same number in every pass
+    numbered = materialise(rows.withColumn("__n", F.monotonically_increasing_id()), "decontam-rows")
+    hits = None
+    for items in blocks:
+        one = numbered.select(F.col("__n").alias("__key"), "text").mapInArrow(_scan(Windows(items, window), False), _found_schema(T.LongType(), False))
+        one = materialise(one.filter(F.size("span_starts") > 0).drop("n_words"), "decontam-hits")
+        hits = one if hits is None else hits.unionByName(one)
+    merge = [F.lit(0).cast("long").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
+    merged_hits = hits.groupBy("__key").agg(*merge).mapInArrow(_merge_spans, _found_schema(T.LongType(), False)).drop("n_words").withColumnRenamed("__key", "__n")
+    words_of = numbered.mapInArrow(_count_words, T.StructType([*numbered.schema.fields]).add("n_words", T.LongType()))
+    got = words_of.join(merged_hits, "__n", "left")
+    longs = F.array().cast("array<bigint>")
+    return got.select("__key", "n_words", F.coalesce("span_starts", longs).alias("span_starts"), F.coalesce("span_ends", longs).alias("span_ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *(["text"] if carry_text else []))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over rows with a text column: the same rows and their numbers of words."""
+    for b in batches:
+        raw, off = string_bytes(b.column(b.schema.names.index("text")))
+        n = [len(words(raw[x:y].tobytes())) for x, y in zip(off[:-1], off[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*b.schema.names, "n_words"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_bytes: int = 16 << 20, carry_text: bool = False) -> DataFrame:
     """One row per document: the key, n_words, n_hit, removal spans [start, end) in words, and the items that occur.
 
-    With several blocks of a large benchmark the found spans of each pass are merged by key, which must then be unique. key may be a
-    struct of other columns; carry_text keeps the text beside it."""
+    With several blocks of a large benchmark the rows are written with a number of their own, and only numbers and spans of rows with hits leave a
+    pass; so keys may repeat or be null. key may be a struct of other columns; carry_text keeps the text beside it."""
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("__key", kind)]).add("n_words", T.LongType()).add("span_starts", T.ArrayType(T.LongType())).add("span_ends", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
-    if carry_text:
-        schema = schema.add("text", "string")
+    schema = _found_schema(kind, carry_text)
     rows = small_batches(docs).select(F.col(key).alias("__key"), "text")
-    got = [rows.mapInArrow(_scan(Windows(items, window), carry_text), schema) for items in benchmark_blocks(benchmark, block_bytes)]
-    found = got[0]
-    if len(got) > 1:
-        for x in got[1:]:
-            found = found.unionByName(x)
-        merge = [F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
-        found = found.groupBy("__key").agg(*merge, *([F.first("text").alias("text")] if carry_text else [])).mapInArrow(_merge_spans, schema)
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    found = _in_blocks(rows, blocks, window, carry_text) if len(blocks) > 1 else rows.mapInArrow(_scan(Windows(blocks[0], window), carry_text), schema)
     hit = F.aggregate(F.arrays_zip("span_starts", "span_ends"), F.lit(0).cast("long"), lambda a, x: a + x["span_ends"] - x["span_starts"])
     return found.select(F.col("__key").alias(key), "n_words", hit.alias("n_hit"), "span_starts", "span_ends", "items", *(["text"] if carry_text else []))
 
