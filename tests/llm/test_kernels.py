@@ -245,3 +245,19 @@ def test_bounded_raking_meets_marginals_where_cells_reach_one():
     goals = [np.bincount(a, cells * q) / (cells * q).sum() for a in axes]
     p = mixing.bounded(cells, axes, goals, (cells * q).sum())
     assert all(np.allclose(np.bincount(a, cells * p) / (cells * p).sum(), g, atol=1e-4) for a, g in zip(axes, goals, strict=True))
+
+
+def _model_of(prob):
+    prob = np.array(prob, float)
+    return langid.LanguageModel([f"l{k}" for k in range(len(prob))], np.arange(1, prob.shape[1], dtype=np.int64), prob / prob.sum(1, keepdims=True))
+
+
+def test_language_sets_keep_the_main_language_and_grow_beyond_three():
+    # 55 % of l0 and 45 % of l1; l2 is the best single one and is second or third by proportion
+    m = _model_of([[1, 100, 1, 1], [1, 1, 100, 1], [1, 50, 50, 12]])
+    top, share = m.predict(np.array([[10.0, 550, 450, 10]]))
+    assert top[0] == 0 and 0.4 < share[0] < 0.65
+    # four languages in equal parts but for the first
+    m = _model_of([[1, *(200 if j == k else 1 for j in range(5))] for k in range(5)])
+    top, share = m.predict(np.array([[10.0, 400, 200, 200, 200, 0]]))
+    assert top[0] == 0 and 0.35 < share[0] < 0.45

@@ -100,12 +100,14 @@ class LanguageModel:
         order = np.argsort(-full, axis=1, kind="stable")
         n = np.maximum(c.sum(1), 2)
         single = c @ np.log(self.prob).T
-        order = np.where(np.arange(len(self.langs)) == 0, np.argmax(single, 1)[:, None], order)
+        # the best single language first, then all others by proportion
+        first = np.argmax(single, 1)[:, None]
+        order = np.concatenate([first, order[order != first].reshape(len(c), -1)], 1)
         best_pi = np.zeros_like(full)
         best_pi[np.arange(len(c)), order[:, 0]] = 1
         best = -2 * single[np.arange(len(c)), order[:, 0]]
         live = np.arange(len(c))
-        for size in range(2, min(3, len(self.langs)) + 1):
+        for size in range(2, len(self.langs) + 1):
             use = np.zeros((len(live), len(self.langs)), bool)
             for k in range(size):
                 use[np.arange(len(live)), order[live, k]] = True
