@@ -306,3 +306,11 @@ def test_contamination_in_blocks_keeps_every_row(docs, spark):
             found = decontam.contamination(rows.withColumn("k", F.struct("doc_id")), items, key=key, block_bytes=size, carry_text=carry)
             got.append(sorted(str((tuple(r[key]) if carry else (r[key],), *r[1:6])) for r in found.collect()))
     assert len(got[0]) == rows.count() and got[0] == got[1] == got[2] == got[3]
+
+
+def test_secrets_without_digits_and_short_ones(spark):
+    key, short, long = "qWxZRtYpLkJhGfDsAqZxCvBnMwErTyUiOpLkJhGf", "zQ9x7Kp2Wv", "Zq9xKpWv" * 40
+    m = secretscan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    d = spark.createDataFrame([(1, f"look {key} there"), (2, f"look {short} there"), (3, f"token={long}"), (4, "some ordinary sentence about nothing particular WHATEVER")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secretscan.scan(d, m).collect()}
+    assert got == {1: [("format", 5, 45)], 2: [("format", 5, 15)], 3: [("assign", 6, 326)], 4: []}

@@ -2,8 +2,8 @@
 
 The credentials of a kind form a prefix tree with frequencies. States are merged red-blue fashion, wherever two
 states' outgoing and final frequencies agree within a Hoeffding bound, all the way down (grammar inference by state merging);
-the result is a deterministic probabilistic automaton. A candidate token is scored by its log-likelihood under each automaton
-against a character model of ordinary tokens; tokens likelier as a credential by `margin` nats a character are reported as
+the result is a deterministic probabilistic automaton. Every token of six or more characters is scored by its log-likelihood under each automaton
+against a model of pairs of characters, begin and end included, of ordinary tokens; tokens likelier as a credential by `margin` nats a character are reported as
 kind `format`, unless they touch a span that a pattern has found.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import materialise, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "format")
@@ -136,24 +135,42 @@ def infer(samples: Iterable[str], alpha: float = 0.05) -> Automaton:
 
 
 class SecretModel:
-    """An automaton per kind, and the log probability of characters in ordinary tokens."""
+    """An automaton per kind, and the log probability of characters in ordinary tokens; with `pairs`, of each character after another (^ before the first, $ after the last)."""
 
-    def __init__(self, automata: dict[str, Automaton], ordinary: dict[str, float], margin: float = 0.5):
-        self.automata, self.ordinary, self.margin = automata, ordinary, margin
+    #: Tokens whose scores are remembered at once, to score a frequent word once.
+    REMEMBERED = 1 << 17
+
+    def __init__(self, automata: dict[str, Automaton], ordinary: dict[str, float], margin: float = 0.5, pairs: dict[str, float] | None = None):
+        self.automata, self.ordinary, self.margin, self.pairs = automata, ordinary, margin, pairs
+        self._known: dict[str, bool] = {}
 
     def score(self, token: str) -> float:
         """Nats a character by which the token is likelier as a credential of the best kind; -inf without automata."""
-        plain = sum(self.ordinary.get(c, -9.0) for c in token)
+        if self.pairs is None:
+            plain = sum(self.ordinary.get(c, -9.0) for c in token)
+        else:
+            framed = f"^{token}$"
+            plain = sum(self.pairs.get(framed[i : i + 2], -12.0) for i in range(len(framed) - 1))
         return max(((a.log_likelihood(token) - plain) / len(token) for a in self.automata.values()), default=-math.inf)
 
+    def likely(self, token: str) -> bool:
+        """Whether the token is reported."""
+        known = self._known.get(token)
+        if known is None:
+            known = self.score(token) >= self.margin
+            if len(token) <= 64:
+                if len(self._known) >= self.REMEMBERED:
+                    self._known.clear()
+                self._known[token] = known
+        return known
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The fixed patterns' spans, and all spans."""
         base = base_spans(text)
         more = []
-        for m in CANDIDATE.finditer(text):
+        for m in TOKEN.finditer(text):
             a, b = m.span()
-            token = m.group()
-            if sum(c.isdigit() for c in token) >= 3 and not any(s < b and e > a for s, _, e in base) and self.score(token) >= self.margin:
+            if self.likely(m.group()) and not any(s < b and e > a for s, _, e in base):
                 more.append((a, 3, b))
         return base, sorted(base + more)
 
@@ -182,36 +199,51 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = base_spans(text)
             for s, k, e in found:
                 kinds.append(KINDS[k])
-                values.append(text[s:e][:128])
+                values.append(text[s:e])
             if not found:
                 for m in TOKEN.finditer(text):
                     kinds.append("ordinary")
-                    values.append(m.group()[:128])
+                    values.append(m.group())
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over tokens: how often each character follows another, ^ before the first and $ after the last."""
+    for b in batches:
+        n: dict[str, int] = {}
+        for v in b.column(0).to_pylist():
+            for x, y in zip("^" + v, v + "$", strict=True):
+                n[x + y] = n.get(x + y, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pair", "n"])
+
+
 def train(docs: DataFrame, per_kind: int = 600, sample_docs: int = 20000) -> SecretModel:
     """Automata from credentials labelled by the patterns in a bounded sample of documents (the sample_docs of least hash; per_kind
-    distinct values a kind) and from seed_credentials(); the ordinary characters come from the same sample."""
+    distinct values a kind) and from all of seed_credentials(); pairs of ordinary characters come from all distinct tokens of the same sample."""
     sample = docs.select("doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample_docs)
     texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text")
-    values = texts.mapInArrow(_labelled, "kind string, value string")
+    values = materialise(texts.mapInArrow(_labelled, "kind string, value string").distinct(), "secret-values")
     from pyspark.sql import Window
 
-    ranked = values.distinct().withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))).filter(F.col("r") <= 10 * per_kind)
+    ranked = values.filter("kind != 'ordinary'").withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))).filter(F.col("r") <= per_kind)
     got: dict[str, list[str]] = {}
     for r in ranked.orderBy("kind", "r").toArrow().to_pylist():
         got.setdefault(r["kind"], []).append(r["value"])
+    after = {r["pair"]: r["n"] for r in values.filter("kind = 'ordinary'").select("value").mapInArrow(_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     counts: dict[str, int] = {}
-    for v in got.pop("ordinary", []):
-        for c in v:
-            counts[c] = counts.get(c, 0) + 1
+    before: dict[str, int] = {}
+    for pair, n in after.items():
+        before[pair[0]] = before.get(pair[0], 0) + n
+        if pair[1] != "$":
+            counts[pair[1]] = counts.get(pair[1], 0) + n
     total = sum(counts.values()) + 64
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
     ordinary = {c: math.log((counts.get(c, 0) + 1) / total) for c in alphabet}
+    # pairs seen too rarely fall back on single characters
+    pairs = {x + y: math.log((after.get(x + y, 0) + 2 * math.exp(ordinary.get(y, -3.0))) / (before.get(x, 0) + 2)) for x in "^" + alphabet for y in alphabet + "$"}
     for kind, value in seed_credentials():
         got.setdefault(kind, []).append(value)
-    return SecretModel({k: infer(v[: 2 * per_kind]) for k, v in sorted(got.items())}, ordinary)
+    return SecretModel({k: infer(v) for k, v in sorted(got.items())}, ordinary, pairs=pairs)
 
 
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
