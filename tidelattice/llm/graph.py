@@ -27,5 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("the stars have not settled after 63 steps")
     found = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

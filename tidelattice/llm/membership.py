@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,17 @@ def maybe_members(table: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarr
     for p in (h1 & m, (h1.view(np.uint64) >> np.uint64(32)).astype(np.int64) & m, h2 & m):
         out &= (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
     return out
+
+
+def split(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose `column` may be among the distinct ids (a table of that one column), and those where it is not; null is not.
+
+    Only two hashes a row go to Python. A join of the first part alone leaves the other rows where they are."""
+    held = rows.sparkSession.sparkContext.broadcast(member_filter(ids, column, ids.count(), max_bits))
+
+    @F.pandas_udf("boolean")
+    def member(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        return pd.Series(maybe_members(held.value, h1.to_numpy(), h2.to_numpy()))
+
+    found = F.col(column).isNotNull() & member(F.xxhash64(column), F.xxhash64(column, F.lit(1)))
+    return rows.filter(found), rows.filter(~found)

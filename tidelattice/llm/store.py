@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,11 +15,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local one of our own if Spark runs inside the driver; on a
+    cluster, whose machines would not see each other's files, an error."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         got = spark.sparkContext.getCheckpointDir()
     if not got:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tidelattice-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -28,7 +33,9 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the batches that Python workers get by bytes, so that long texts do not make them large. Every operator begins with this."""
+    """Bound the batches that Python workers get by bytes, so that long texts do not make them large. Every operator begins with this.
+
+    The setting is the session's: a smaller one of the user's stays, and a larger one becomes BATCH_BYTES."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark = df.sparkSession
     now = str(spark.conf.get(key)).rstrip("bB")
@@ -46,15 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables have been written so far; a mark for release()."""
+    return len(_written)
+
+
+def release(start: int, stop: int) -> None:
+    """Delete the tables with the numbers start <= n < stop. Only for those that no DataFrame still to be computed reads."""
+    for spark, path in _written[start:stop]:
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written[start:stop] = [(spark, "") for spark, _ in _written[start:stop]]
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+    with contextlib.suppress(Exception):  # the session may be gone at exit
+        release(0, len(_written))
 
 
 def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, rows: int, hot_keys: int = 4096) -> DataFrame:

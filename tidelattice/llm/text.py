@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 
 MASK = (1 << 64) - 1
-#: Bytes of one block of texts; a longer text is a block by itself.
-BLOCK = 1 << 20
+#: Bytes and texts of one block; a longer text is a block by itself.
+BLOCK, BLOCK_ROWS = 1 << 20, 1024
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, MASK, 256, dtype=np.uint64, endpoint=True)
+_BYTE2 = np.random.default_rng(20240301).integers(0, MASK, 256, dtype=np.uint64, endpoint=True)
 _MIX = _rng.integers(0, MASK, 64, dtype=np.uint64, endpoint=True) | np.uint64(1)
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
@@ -50,13 +51,14 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(off: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts with at most `most` bytes together, or one longer text."""
+def blocks(off: np.ndarray, most: int = BLOCK, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of at most `rows` texts with at most `most` bytes together, or one longer text."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, i + rows, n)
+        yield i, j
+        i = j
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,13 +91,13 @@ def word_bounds(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same for equal bytes anywhere."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans, the same for equal bytes anywhere; `second` gives others, by other values of the bytes."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     p, q = _powers(len(raw) + 1)
     c = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * p[:-1], out=c[1:])
+    np.cumsum((_BYTE2 if second else _BYTE)[raw] * p[:-1], out=c[1:])
     return mix((c[ends] - c[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -116,6 +118,14 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(out), at
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as it takes to differ from all columns (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_bucket(doc_id, n: int):
     """crc32 of the id as text, modulo n, as a column."""
     from pyspark.sql import functions as F
