@@ -1,20 +1,23 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A shard is a run of documents of one partition. Its words are coded over the alphabet of the benchmark's words;
+A shard is a run of documents of one partition: as many as have SHARD_WORDS symbols, or whose rows (with their texts, where these are carried
+on) take SHARD_BYTES. Its words are coded over the alphabet of the benchmark's words;
 a word outside that alphabet cannot lie in an occurrence and ends a run, as does the end of a text, and runs
 shorter than the shortest window are left out, so that coding and index hold every place where a window can occur.
 Over the coded shard we sort all suffixes (prefix doubling), take the Burrows-Wheeler transform, put it in a wavelet
 matrix, search all windows backward at once through its ranks, locate occurrences by walking to sampled
 suffix positions, and merge the occurrences of a document into removal spans.
 
-Null and empty texts have no words and no hits. Repeated items or windows count for each item that has them.
-A benchmark larger than `block_bytes` is searched in blocks, so that a task holds one; rows are then numbered, and the spans of a row's passes merged by that number.
+Null and empty texts have no words and no hits, and very long ones are indexed in overlapping parts. Documents with null or repeated ids are rows of their own. Items of null id
+count as one item, named null. Items that share an id are one item, and a window counts for each item that has it, so nothing depends on the order of ties. Without documents the result is empty, without
+items there are no hits. Only key and text are read, so other columns may have any name.
+A benchmark larger than `block_bytes` is searched in blocks, so that driver and tasks hold one; rows are then numbered, and the spans of a row's passes merged by that number.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from .text import ALNUM, string_bytes, word_bounds
 
 WINDOW = 13
 SAMPLE = 8
-#: Symbols after which an FM-index is closed.
-SHARD_WORDS = 1 << 20
+#: Symbols after which an FM-index is closed, and bytes of the rows that wait for it.
+SHARD_WORDS, SHARD_BYTES = 1 << 20, 16 << 20
 
 _TABLE = bytearray(b" " * 256)
 for _b in range(256):
@@ -45,21 +48,30 @@ def words(text: bytes) -> list[bytes]:
 class Windows:
     """The distinct windows of a block of items, coded over the items' words (codes from 1)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.code: dict[bytes, int] = {}
         self.items = [i for i, _ in items]
-        found: dict[tuple[int, ...], set[int]] = {}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for k, (_, text) in enumerate(items):
-            w = [self.code.setdefault(x, len(self.code) + 1) for x in words(text)]
-            for j in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[j : j + window]), set()).add(k)
-        keys = sorted(found, key=lambda x: (len(x), x))
-        self.length = np.array([len(x) for x in keys], np.int64)
-        self.symbols = np.zeros((len(keys), window), np.int64)  # right-aligned: column -1 is the last word
-        for r, x in enumerate(keys):
-            self.symbols[r, window - len(x) :] = x
-        self.of = [sorted(found[x]) for x in keys]
-        self.least = int(self.length.min()) if keys else 0
+            w = np.array([self.code.setdefault(x, len(self.code) + 1) for x in words(text)], np.int32)
+            if len(w) >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(w, window))
+            elif len(w):
+                rows.append(np.concatenate([np.zeros(window - len(w), np.int32), w])[None, :])
+            else:
+                continue
+            owners.append(np.full(len(rows[-1]), k, np.int64))
+        # right-aligned: column -1 is the last word; 0 stands before short ones
+        self.symbols, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.length = (self.symbols > 0).sum(1)
+        self.least = int(self.length.min()) if len(self.length) else 0
+        pairs = np.unique(np.stack([inverse.ravel(), np.concatenate(owners)], 1), axis=0)
+        self._owners, self._at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.length) + 1))
+
+    def items_of(self, which: np.ndarray) -> list[str | None]:
+        """The distinct items that have any of the windows, sorted, null first."""
+        found = {self.items[k] for x in np.unique(which) for k in self._owners[self._at[x] : self._at[x + 1]]}
+        return sorted(found, key=lambda i: (i is not None, i or ""))
 
 
 class FMIndex:
@@ -150,45 +162,58 @@ class FMIndex:
         return out
 
 
-def find(texts: list[tuple[np.ndarray, int]], w: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text with occurrences: its index, and arrays (first word, window) of them. texts: codes and an index."""
-    parts: list[np.ndarray] = []
-    where: list[tuple[int, int]] = []  # per run: text, first word
-    lengths: list[int] = []
-    sep = np.zeros(1, np.int64)
-    held = 0
+class Shard:
+    """Coded runs of consecutive texts, until they are indexed; `hits` collects (first word, window) of the occurrences of each row.
 
-    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        text = np.concatenate([sep, *[x for p in parts for x in (p, sep)]])
-        index = FMIndex(text, len(w.code))
-        lo, hi = index.search(w)
+    A run of more than SHARD_WORDS words is indexed in parts that overlap by a window less one word, so that no occurrence is cut."""
+
+    def __init__(self, w: Windows):
+        self.w, self.hits = w, {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.where: list[tuple[int, int]] = []  # per run: row, first word
+        self.held = 0
+
+    def add(self, row: int, codes: np.ndarray) -> None:
+        stop = np.flatnonzero(np.concatenate([[0], codes, [0]]) == 0)
+        runs = np.flatnonzero(np.diff(stop) > self.w.least)
+        for a, b in zip(stop[runs].tolist(), (stop[runs + 1] - 1).tolist(), strict=True):
+            for x in range(a, b, SHARD_WORDS):
+                part = codes[x : min(b, x + SHARD_WORDS + self.w.symbols.shape[1] - 1)]
+                if len(part) >= self.w.least:
+                    self.parts.append(part)
+                    self.where.append((row, x))
+                    self.held += len(part) + 1
+                    if self.held >= SHARD_WORDS:
+                        self.search()
+
+    def search(self) -> None:
+        """Index what is held, search all windows, and note their occurrences."""
+        if not self.parts:
+            return
+        sep = np.zeros(1, np.int64)
+        index = FMIndex(np.concatenate([sep, *[x for p in self.parts for x in (p, sep)]]), len(self.w.code))
+        lo, hi = index.search(self.w)
         n = np.maximum(hi - lo, 0)
         which = np.repeat(np.arange(len(n)), n)
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        at = index.locate(rows)
-        begins = np.cumsum([1, *[x + 1 for x in lengths[:-1]]])
+        at = index.locate(np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())))
+        begins = np.cumsum([1, *[len(p) + 1 for p in self.parts[:-1]]])
         run = np.searchsorted(begins, at, side="right") - 1
-        doc, first = np.array([x for x, _ in where])[run], np.array([y for _, y in where])[run] + at - begins[run]
-        order = np.argsort(doc, kind="stable")
-        cuts = np.flatnonzero(np.diff(doc[order])) + 1
-        for part in np.split(order, cuts) if len(order) else []:
-            yield int(doc[part[0]]), first[part], which[part]
-
-    last = None
-    for codes, k in texts:
-        if held >= SHARD_WORDS and last != k:
-            yield from flush()
-            parts, where, lengths, held = [], [], [], 0
-        last = k
-        stop = np.flatnonzero(np.concatenate([[0], codes, [0]]) == 0)
-        for a, b in zip(stop[:-1], stop[1:] - 1, strict=True):
-            if b - a >= w.least:
-                parts.append(codes[a:b])
-                where.append((k, int(a)))
-                lengths.append(int(b - a))
-                held += int(b - a) + 1
-    if parts:
-        yield from flush()
+        where = np.array(self.where, np.int64)
+        row, first = where[run, 0], where[run, 1] + at - begins[run]
+        order = np.argsort(row, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
+            self.hits.setdefault(int(row[part[0]]), []).append((first[part], which[part]))
+        self._clear()
+
+    def found(self) -> Iterator[tuple[int, np.ndarray, list[str | None]]]:
+        """For each row with occurrences: its number, merged spans in words, and items."""
+        self.search()
+        for row, hits in self.hits.items():
+            first, which = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
+            yield row, merged(first, self.w.length[which]), self.w.items_of(which)
 
 
 def merged(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -200,56 +225,59 @@ def merged(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _scan(w: Windows, carry_text: bool):
-    """Map over (row key, text): the key, words, removal spans as word ranges, items, and the text if asked for."""
+    """Map over (row key, text): the key, words, removal spans as word ranges, items, and the text if asked for. Rows are held, without
+    their texts unless those are asked for, until their shard has SHARD_WORDS symbols or they have SHARD_BYTES."""
+
+    def emit(held: list[pa.RecordBatch], n_words: list[int], shard: Shard) -> pa.RecordBatch:
+        spans = {row: (m, items) for row, m, items in shard.found()}
+        n, none = len(n_words), (np.zeros((0, 2), np.int64), [])
+        every = [spans.get(i, none) for i in range(n)]
+        at = pa.array(np.concatenate([[0], np.cumsum([len(m) for m, _ in every])]).astype(np.int32))
+        flat = np.concatenate([np.zeros((0, 2), np.int64), *[m for m, _ in every]])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([b.column(0) for b in held]),
+                pa.array(n_words, pa.int64()),
+                pa.ListArray.from_arrays(at, pa.array(flat[:, 0])),
+                pa.ListArray.from_arrays(at, pa.array(flat[:, 1])),
+                pa.array([items for _, items in every], pa.list_(pa.string())),
+                *([pa.concat_arrays([b.column(1) for b in held])] if carry_text else []),
+            ],
+            ["__key", "n_words", "span_starts", "span_ends", "items", *(["text"] if carry_text else [])],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = w.code.get
+        held, n_words, shard, size = [], [], Shard(w), 0
         for b in batches:
             raw, off = string_bytes(b.column(1))
-            n_words = np.zeros(b.num_rows, np.int64)
-            spans: dict[int, np.ndarray] = {}
-            items: dict[int, list] = {}
-
-            def coded(raw=raw, off=off, n_words=n_words):
-                for i in range(len(off) - 1):
-                    ws = words(raw[off[i] : off[i + 1]].tobytes())
-                    n_words[i] = len(ws)
-                    if w.least and len(ws) >= w.least:
-                        yield np.fromiter((get(x, 0) for x in ws), np.int64, len(ws)), i
-
-            for i, first, which in find(coded(), w):
-                spans[i] = merged(first, w.length[which])
-                items[i] = sorted({w.items[k] for x in np.unique(which) for k in w.of[x]})
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(n_words),
-                    pa.array([spans[i][:, 0].tolist() if i in spans else [] for i in range(n)], pa.list_(pa.int64())),
-                    pa.array([spans[i][:, 1].tolist() if i in spans else [] for i in range(n)], pa.list_(pa.int64())),
-                    pa.array([items.get(i, []) for i in range(n)], pa.list_(pa.string())),
-                    *([b.column(1)] if carry_text else []),
-                ],
-                ["__key", "n_words", "span_starts", "span_ends", "items", *(["text"] if carry_text else [])],
-            )
+            for i in range(b.num_rows):
+                ws = words(raw[off[i] : off[i + 1]].tobytes())
+                if w.least and len(ws) >= w.least:
+                    shard.add(len(n_words), np.fromiter((get(x, 0) for x in ws), np.int64, len(ws)))
+                n_words.append(len(ws))
+            held.append(b if carry_text else b.select([0]))
+            size += held[-1].nbytes + 200 * b.num_rows
+            if size >= SHARD_BYTES:
+                yield emit(held, n_words, shard)
+                held, n_words, shard, size = [], [], Shard(w), 0
+        if held:
+            yield emit(held, n_words, shard)
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most block_bytes (or one item); null texts have no words and are left out.
-
-    The stream from Spark is read item by item, so the driver holds the benchmark once."""
-    out: list[list[tuple[str, bytes]]] = [[]]
-    held = 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").filter("text is not null and item_id is not null").orderBy("i", "text").toLocalIterator():
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items in blocks of at most block_bytes (or one item); null texts have no words and are left out. The driver holds one block at a time."""
+    block, held = [], 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").filter("text is not null").toLocalIterator():
         text = r["text"].encode("utf-8", "surrogatepass")
-        if out[-1] and held + len(text) > block_bytes:
-            out.append([])
-            held = 0
-        out[-1].append((r["i"], text))
+        if block and held + len(text) > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((r["i"], text))
         held += len(text)
-    return out
+    yield block
 
 
 def _found_schema(kind: T.DataType, carry_text: bool) -> T.StructType:
@@ -257,7 +285,7 @@ def _found_schema(kind: T.DataType, carry_text: bool) -> T.StructType:
     return schema.add("text", "string") if carry_text else schema
 
 
-def _in_blocks(rows: DataFrame, blocks: list, window: int, carry_text: bool) -> DataFrame:
+def _in_blocks(rows: DataFrame, blocks: Iterable[list], window: int, carry_text: bool) -> DataFrame:
     """The rows of _scan() with the hits of all blocks, one for each row of (__key, text)."""
     # written, so that a row has the same number in every pass
     numbered = materialise(rows.withColumn("__n", F.monotonically_increasing_id()), "decontam-rows")
@@ -266,7 +294,7 @@ def _in_blocks(rows: DataFrame, blocks: list, window: int, carry_text: bool) ->
         one = numbered.select(F.col("__n").alias("__key"), "text").mapInArrow(_scan(Windows(items, window), False), _found_schema(T.LongType(), False))
         one = materialise(one.filter(F.size("span_starts") > 0).drop("n_words"), "decontam-hits")
         hits = one if hits is None else hits.unionByName(one)
-    merge = [F.lit(0).cast("long").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
+    merge = [F.lit(0).cast("long").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("s"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
     merged_hits = hits.groupBy("__key").agg(*merge).mapInArrow(_merge_spans, _found_schema(T.LongType(), False)).drop("n_words").withColumnRenamed("__key", "__n")
     words_of = numbered.mapInArrow(_count_words, T.StructType([*numbered.schema.fields]).add("n_words", T.LongType()))
     got = words_of.join(merged_hits, "__n", "left")
@@ -282,7 +310,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*b.schema.names, "n_words"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_bytes: int = 16 << 20, carry_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_bytes: int = 4 << 20, carry_text: bool = False) -> DataFrame:
     """One row per document: the key, n_words, n_hit, removal spans [start, end) in words, and the items that occur.
 
     With several blocks of a large benchmark the rows are written with a number of their own, and only numbers and spans of rows with hits leave a
@@ -291,7 +319,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     schema = _found_schema(kind, carry_text)
     rows = small_batches(docs).select(F.col(key).alias("__key"), "text")
     blocks = benchmark_blocks(benchmark, block_bytes)
-    found = _in_blocks(rows, blocks, window, carry_text) if len(blocks) > 1 else rows.mapInArrow(_scan(Windows(blocks[0], window), carry_text), schema)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = rows.mapInArrow(_scan(Windows(first, window), carry_text), schema)
+    else:
+        found = _in_blocks(rows, itertools.chain([first, second], blocks), window, carry_text)
     hit = F.aggregate(F.arrays_zip("span_starts", "span_ends"), F.lit(0).cast("long"), lambda a, x: a + x["span_ends"] - x["span_starts"])
     return found.select(F.col("__key").alias(key), "n_words", hit.alias("n_hit"), "span_starts", "span_ends", "items", *(["text"] if carry_text else []))
 
@@ -337,8 +369,16 @@ def _excise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([bool(x) for x in starts])], ["__row", "text", "__cut"])
 
 
-def cut_spans(found: DataFrame, row: str, schema: T.StructType) -> DataFrame:
-    """The rows of contamination(key=row, carry_text=True) with the schema of the documents, removal spans cut, and __cut where any was."""
+def cut_spans(found: DataFrame, row: str, schema: T.StructType, count: str = "n_chars") -> DataFrame:
+    """The rows of contamination(key=row, carry_text=True), row a struct of the documents' other columns, with the schema of the documents and removal
+    spans cut. Where any was, the number column `count`, if there is one, becomes the new number of code points."""
     kind = found.schema[row].dataType
     out = found.select(F.col(row).alias("__row"), "text", "span_starts", "span_ends").mapInArrow(_excise, T.StructType([T.StructField("__row", kind)]).add("text", "string").add("__cut", "boolean"))
-    return out.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in schema.names], "__cut")
+
+    def column(f: T.StructField):
+        if f.name == "text":
+            return F.col("text")
+        own = F.col("__row").getField(f.name)
+        return (F.when(F.col("__cut"), F.char_length("text").cast(f.dataType)).otherwise(own) if f.name == count and isinstance(f.dataType, T.NumericType) else own).alias(f.name)
+
+    return out.select(*[column(f) for f in schema])
