@@ -19,7 +19,8 @@ A pair of similarity 0.8 misses all trees with probability (1 - 0.8 ** LEAST) **
 open with probability 4.3e-5 (fewer than `need` of SKETCH places agree).
 
 Null and empty texts have no set, belong to no class and are linked with nothing. Texts shorter than a shingle are one
-shingle. Rows with a null doc_id are returned unlinked; rows that repeat a doc_id share its component.
+shingle. Rows with a null doc_id are returned unlinked. Rows that repeat a doc_id are one document: each has the size of its own set, and all share
+a component, which any of their texts may link. An empty table gives an empty result. Only doc_id (of an integer type) and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from .graph import components
 from .membership import hashes, maybe_members, member_filter
@@ -335,13 +337,23 @@ def _across(open_: DataFrame, joined: DataFrame, sets: DataFrame, percent: int)
     return materialise(links.distinct(), "near-across")
 
 
+def _same_document(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that repeat a doc_id with different sets."""
+    rows = described.filter("__set is not null and doc_id is not null").select("doc_id", "__set")
+    several = rows.groupBy("doc_id").agg(F.min("__set").alias("x"), F.max("__set").alias("y")).filter("x != y").select("doc_id")
+    named = materialise(rows.join(several, "doc_id", "left_semi").distinct().join(classes.select("__set", "id"), "__set").select("doc_id", "id"), "near-repeated")
+    return named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).filter("a != b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (its representative)."""
     spark = small_batches(docs).sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     described = materialise(docs.select("doc_id", "text").mapInArrow(_describe(shingle), "doc_id long, n_shingles long, __set binary, __sig binary"), "near-described")
     rows = described.count()
     # a class per distinct set, named by its smallest id
-    classes = materialise(described.filter("__set is not null and doc_id is not null").groupBy("__set").agg(F.min("doc_id").alias("id"), F.count("*").alias("__n"), F.first("__sig").alias("__sig")), "near-classes")
+    classes = materialise(described.filter("__set is not null and doc_id is not null").groupBy("__set").agg(F.min("doc_id").alias("id"), F.count("*").alias("__n"), F.first("n_shingles").alias("n_shingles"), F.first("__sig").alias("__sig")), "near-classes")
     members = classes.select("id", "__sig").mapInArrow(_plant, _MEMBER)
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = members.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
@@ -353,21 +365,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     pairs = materialise(found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
     marked = found.filter("agree = -2").select(F.col("a").alias("region"), F.col("b").alias("id"))
     several = marked.groupBy("region").count().filter("count > 1").select("region")
-    marked = materialise(marked.join(several, "region"), "near-marked")
+    marked = marked.join(several, "region")
+    # a dense region with more shingles than two slices is none for one task
+    sizes = members.join(classes.select("id", "n_shingles"), "id").groupBy("region").agg(F.sum("n_shingles").alias("__n"))
+    heavy = materialise(sizes.filter(F.col("__n") > 2 * SLICE_SHINGLES).select("region"), "near-heavy")
+    marked = materialise(marked.unionByName(members.join(heavy, "region", "left_semi").select(F.xxhash64(F.lit("dense"), "region").alias("region"), "id")), "near-marked")
+    members = materialise(members.join(heavy, "region", "left_anti"), "near-members")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).union(marked.select("id")).distinct()
     # several rows may repeat an id: the class's own text is one whose set is the class's
     wanted = materialise(classes.select("id", "__set").join(ids, "id"), "near-wanted")
     held = spark.sparkContext.broadcast(member_filter(wanted, "id", wanted.count()))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", *hashes("id"))
-    # only sets that may be wanted leave their task
-    sets = texts.mapInArrow(_sets(shingle, held), "id long, s binary, __set binary").join(wanted, ["id", "__set"], "left_semi").drop("__set").dropDuplicates(["id"])
+    # only sets that may be wanted leave their task; a repeated id may have several
+    sets = texts.mapInArrow(_sets(shingle, held), "id long, s binary, __set binary").join(wanted, ["id", "__set"], "left_semi").dropDuplicates(["id", "__set"]).drop("__set")
     sets = materialise(sets, "near-sets")
     dense = members.join(sets, "id").groupBy("region").applyInArrow(_dense(percent), "a long, b long")
     dense = materialise(dense.distinct(), "near-dense")
     by = lambda c: Window.partitionBy(c).orderBy(F.desc("agree"), "a", "b")
     ranked = pairs.withColumn("ra", F.row_number().over(by("a"))).withColumn("rb", F.row_number().over(by("b")))
     ranked = materialise(ranked.withColumn("first", (F.col("ra") <= best) | (F.col("rb") <= best)).drop("ra", "rb"), "near-ranked")
-    links = materialise(dense.unionByName(_confirmed(ranked.filter("first").select("a", "b"), sets, percent)), "near-links")
+    links = dense.unionByName(_confirmed(ranked.filter("first").select("a", "b"), sets, percent)).unionByName(_same_document(described, classes))
+    links = materialise(links.distinct(), "near-links")
     joined = components(links)
     at = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = ranked.filter("not first").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
