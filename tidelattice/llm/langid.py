@@ -8,7 +8,9 @@ language is the one of largest proportion in the selected set, and the score is
 
 Null texts, empty texts and texts without a letter are `und` with score 0. Rows with null text or language are no
 training data. Without any training row all texts are `und`. Ties go to the language first in alphabetical order.
-Training takes at most `per_language` documents of each language: those of least hash of their id.
+Training takes a sample of the labelled rows of each language: those whose hashed id is under per_language / (their number), about `per_language`
+documents; rows that repeat an id are in it together, rows without an id are not. It knows the `languages` most frequent ones. Whole texts of any
+length count. An empty table gives an empty result. Other columns may have any name and are carried on.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .store import small_batches
 from .text import LOWER, blocks, string_bytes
@@ -126,14 +128,12 @@ class LanguageModel:
 def train(docs: DataFrame, per_language: int = 2000, features: int = 2000, languages: int = 256) -> LanguageModel:
     """Fit on rows (doc_id, text, lang), for the `languages` most frequent; the driver gets at most 2^24 counts a language, in sums made by Spark."""
     rows = small_batches(docs).select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    keys = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("__h", F.xxhash64("doc_id"))
-    # least hashes of each language: first within 64 parts, so that a common language is spread over tasks
-    for part in (["lang", F.pmod("__h", F.lit(64))], ["lang"]):
-        keys = keys.withColumn("__r", F.row_number().over(Window.partitionBy(*part).orderBy("__h", "doc_id"))).filter(F.col("__r") <= per_language).drop("__r")
-    # at most languages * per_language pairs: a proven bound for the broadcast
-    sample = rows.join(F.broadcast(keys.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    sums = sample.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 2")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    part = common.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("__part"))
+    # at most `languages` rows: a proven bound for the broadcast
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
+    sample = rows.join(F.broadcast(part), "lang").filter(draw < F.col("__part"))
+    sums = sample.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     t = sums.toArrow()
     langs = sorted(set(t.column("lang").to_pylist()))
     if not langs:
@@ -151,8 +151,9 @@ def train(docs: DataFrame, per_language: int = 2000, features: int = 2000, langu
     return LanguageModel(langs, grams[keep].astype(np.int64), (prob / prob.sum(1, keepdims=True)).astype(np.float64))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The documents with two more columns, lang_pred and lang_score (all else as it was)."""
+def identify(docs: DataFrame, model: LanguageModel, pred_name: str = "lang_pred", score_name: str = "lang_score") -> DataFrame:
+    """The documents with two more columns, by default lang_pred and lang_score (all else as it was, but for columns of these names, which are replaced)."""
+    docs = docs.drop(pred_name, score_name)
     held = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
@@ -170,9 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     known = bool(m.langs) and text is not None and has_letter(text)
                     pred.append(m.langs[top[k]] if known else UND)
                     score.append(min(1.0, float(p[k])) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*columns, pred_name, score_name])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(pred_name, StringType()).add(score_name, DoubleType())
     return docs.mapInArrow(run, schema)

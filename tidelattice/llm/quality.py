@@ -7,7 +7,8 @@ vector is compared with all of them in blocks of exact cosine products, and its
 weighted by similarity and by the inverse frequency of their class.
 
 Empty and null texts have the zero vector and get the score of an uninformed vote (0.5), as do all texts if
-there are no labels. Several labels of one document are each a reference. Ties go to the earlier reference.
+there are no labels. Several labels of one document are each a reference. Ties go to the earlier reference. Whole texts of any length are
+described. Repeated rows get a score each, an empty table an empty result. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = string_bytes(b.column(1))
         rows = [features(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off)]
         x = np.concatenate(rows) if rows else np.zeros((0, WIDTH), np.float32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), b.column(2)], ["label", "x", "h"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", references: int = REFERENCES) -> NeighbourModel:
@@ -116,8 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", references
         own = named.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(references // 2)
         chosen = own if chosen is None else chosen.unionByName(own)
     # at most `references` rows of two numbers: a proven bound for the broadcast
-    sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(references).select("label", "text")
-    t = sample.mapInArrow(_features, "label int, x binary").toArrow()
+    sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id").alias("h"))
+    # described first, so that rows of WIDTH numbers are sorted, and no texts
+    t = sample.mapInArrow(_features, "label int, x binary, h long").orderBy("h", F.xxhash64("x"), "label").limit(references).toArrow()
     y = t.column("label").to_numpy().astype(np.float64)
     if len(y) == 0:
         z = np.zeros((0, DIMS), np.float32)
