@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing and sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of documents; the last one places them in
-shards. Null and empty texts are rejected by the first stage, as text without a language.
+shards, text and all. Null and empty texts are rejected by the first stage, as text without a language. Repeated rows are kept or dropped
+together. Other columns may have any name and are carried on; those named as the last stage's new ones are replaced by them. Empty tables
+stay empty. Ties, and texts of any length, are dealt with as the operators say.
 """
 
 from __future__ import annotations
@@ -10,31 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelattice.llm import decontam, langid, mixing, neardup, sharding
-from tidelattice.llm.store import materialise
+from tidelattice.llm.membership import split
+from tidelattice.llm.store import materialise, release, written
+from tidelattice.llm.text import fresh
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which one language has the larger part; texts without any letter go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= 0.5)).select(*docs.columns)
+    pred, score = fresh("lang_pred", docs.columns), fresh("lang_score", docs.columns)
+    found = langid.identify(docs, langid.train(docs), pred, score)
+    return found.filter((F.col(pred) != langid.UND) & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) keep the document of smallest id; rows that repeat an id stay with it."""
-    gone = neardup.near_duplicates(docs, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) keep the document of smallest id; rows that repeat an id are one document
+    and stay together, and rows without an id stay."""
+    gone = materialise(neardup.near_duplicates(docs, shingle=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct(), "pipeline-gone")
+    # only texts whose id may be among those that go are shuffled
+    maybe, rest = split(docs, "doc_id", gone)
+    return rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents; from the others cut the spans that occur in the benchmark."""
+    """Drop contaminated documents; from the others cut the spans that occur in the benchmark, and correct n_chars."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    columns = docs.columns
-    found = decontam.contamination(docs.withColumn("__row", F.struct(*[F.col(c) for c in columns if c != "text"])), benchmark, key="__row", carry_text=True)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = decontam.contamination(rows, benchmark, key="row", carry_text=True)
     kept = found.filter(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
-    out = decontam.cut_spans(kept, "__row", docs.schema)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return decontam.cut_spans(kept, "row", docs.schema)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place the documents in 16 shards along the curve."""
-    return sharding.shard(docs, shards=16)
+    """The documents, whole, in 16 shards along the curve: rows lie in the order of shard and slot, and so do the files they are written to."""
+    return sharding.place(docs, shards=16)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
@@ -54,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents. A stage's own tables are deleted when its output is written, and that when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name}")
-    return docs
+    before = written()
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before, written() - 1)
+        before = written() - 1
+    return STAGES[-1][1](spark, docs, sf_dir)

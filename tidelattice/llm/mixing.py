@@ -7,7 +7,8 @@ drawn by its cell's probability and a uniform number hashed from its id.
 
 Topics are spherical k-means clusters of hashed word counts: the rounds run over all documents, from seeds that lie far apart in a sample. All sources and
 languages have cells of their own, null is `(none)`; the driver holds one number per cell and marginal, not rows. Null and empty texts have no tokens and are kept or dropped by their cell. A marginal category without tokens is left out
-and its target goes to the others. Rows that repeat an id share its draw.
+and its target goes to the others. Rows that repeat an id share its draw, as rows without an id do. Ties between topics go to the first.
+An empty table gives an empty result. Whole texts of any length count. Other columns may have any name and are carried on.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,18 +216,18 @@ def bounded(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray
     return calibrate(tokens, w, budget)
 
 
-def _describe(centres: np.ndarray, text: int, names: list[str]):
-    """Map over rows with a text column: the other columns, topic and number of words; with the text as well if names has it."""
+def _describe(centres: np.ndarray):
+    """Map over (row, a struct with a text; source; lang; draw): the same, topic and number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, off = string_bytes(b.column(text))
+            raw, off = string_bytes(pc.struct_field(b.column(0), "text"))
             topic, tokens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for i, j in blocks(off):
                 x, n = word_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 topic.append(np.argmax(x @ centres.T, 1).astype(np.int32))
                 tokens.append(n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c in names], pa.array(np.concatenate(topic)), pa.array(np.concatenate(tokens))], [*names, "__topic", "__tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(topic)), pa.array(np.concatenate(tokens))], [*b.schema.names, "__topic", "__tokens"])
 
     return run
 
@@ -293,9 +295,10 @@ class Mix:
 
     def sample(self, docs: DataFrame) -> DataFrame:
         """The sampled documents with all their columns. No text is shuffled: topics are found again in a map over the documents."""
-        fields = T.StructType([*docs.schema.fields]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
-        rows = docs.mapInArrow(_describe(self.centres, docs.columns.index("text"), docs.columns), fields)
-        return self.drawn(rows).filter("__sampled").select(*docs.columns)
+        # the documents travel as one struct, so that none of their columns clashes with ours
+        rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "lang")
+        rows = rows.mapInArrow(_describe(self.centres), T.StructType([*rows.schema.fields]).add("__topic", T.IntegerType()).add("__tokens", T.LongType()))
+        return self.drawn(rows).filter("__sampled").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Dimensions are quantised to 2^BITS steps: size by quantiles, language and source by their order of frequency (the most common get a
 step each, the others share the last). Documents are sorted by curve index and cut into runs of equal counts (law `rows`: counts at
-most one apart). Equal curve indexes are ordered by the text's crc32 and id, so equal texts of one origin lie together.
+most one apart). Equal texts are one group: all take the least curve index of any of them, and within an index rows are ordered by text hash and id,
+so that a group lies in one piece and parts only where a cut meets it.
 
-Null text has size 1 and crc32 0; null language and source are values of their own. An empty table gives no rows. Repeated rows have a slot each.
+Null text has size 1 and crc32 0; null language and source are values of their own. An empty table gives no rows. Repeated rows have a slot
+each; ties, rows alike in index, text and id, are in any order. Texts of any length are carried whole. Other columns may have any name; those named as a new one are replaced by it.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import join_by_size, materialise
 
 BITS = 5
+#: Groups of 32 bytes up to which their table is broadcast; the result is the same beyond it.
+BROADCAST_GROUPS = 200_000
 
 
 def hilbert_index(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -56,12 +60,16 @@ def _steps(docs: DataFrame, column: str, bits: int):
     return out.otherwise((1 << bits) - 1)
 
 
-def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, curve (index), lang, source, shard and slot (from 0 in each shard)."""
+def _described(docs: DataFrame, extra: list) -> DataFrame:
+    """Rows with the metadata that places them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = materialise(rows, "shard-metadata")
-    cuts = rows.agg(F.percentile_approx("size", [i / (1 << bits) for i in range(1, 1 << bits)], 10000)).first()[0] or []
+    return docs.select(*extra, "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__text"))
+
+
+def _placed(docs: DataFrame, extra: list, shards: int, bits: int) -> DataFrame:
+    """The extra columns, doc_id, lang, source, size, text_crc32, curve, shard and slot, in the order of shard and slot."""
+    metadata = materialise(_described(docs, []), "shard-metadata")
+    cuts = metadata.agg(F.percentile_approx("size", [i / (1 << bits) for i in range(1, 1 << bits)], 10000)).first()[0] or []
     size_step = F.lit(0)
     for c in sorted(set(cuts)):
         size_step = size_step + F.when(F.col("size") > c, 1).otherwise(0)
@@ -70,9 +78,21 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([a, b, c], 1), bits))
 
-    placed = rows.withColumn("curve", curve(size_step, _steps(rows, "lang", bits), _steps(rows, "source", bits)))
+    index = curve(size_step, _steps(metadata, "lang", bits), _steps(metadata, "source", bits))
+    key = ["size", "text_crc32", "__text"]
+    # groups of equal texts whose own indexes differ: all rows take the least
+    apart = metadata.withColumn("__own", index).groupBy(*key).agg(F.min("__own").alias("__least"), F.max("__own").alias("__most"), F.count("*").alias("__n")).filter("__least != __most")
+    apart = materialise(apart.select(*key, "__least", "__n"), "shard-groups")
+    own = _described(docs, extra).withColumn("__own", index)
+    groups = apart.count()
+    if groups <= BROADCAST_GROUPS:
+        rows = own.join(F.broadcast(apart), key, "left")
+    else:
+        rows = join_by_size(own, apart, key, "__n", metadata.count())
+    placed = rows.withColumn("curve", F.coalesce("__least", "__own")).drop("__least", "__own", "__n")
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = placed.repartitionByRange(n, "curve", "text_crc32", "doc_id").sortWithinPartitions("curve", "text_crc32", "doc_id")
+    order = ["curve", "size", "text_crc32", "__text", "doc_id"]
+    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # the written table fixes which rows each sorted partition holds: partition number and place within it
     ordered = materialise(ordered.withColumn("__at", F.monotonically_increasing_id()), "shard-order")
     part = F.shiftright("__at", 33)
@@ -82,10 +102,23 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
         before.append((r["p"], total))
         total += r["count"]
     if not total:
-        return ordered.select("doc_id", "size", "text_crc32", "curve", "lang", "source", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return ordered.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     offsets = docs.sparkSession.createDataFrame(before, "__p long, __before long")
     ranked = ordered.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn("__rank", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1))
     number = F.expr(f"(__rank * {shards}) div {total}L")
     # the least rank of a shard is ceil(shard * total / shards)
     least = F.expr(f"(__shard * {total}L + {shards - 1}L) div {shards}L")
-    return ranked.withColumn("__shard", number).select("doc_id", "size", "text_crc32", "curve", "lang", "source", F.col("__shard").cast("int").alias("shard"), (F.col("__rank") - least).alias("slot"))
+    return ranked.withColumn("__shard", number).withColumns({"shard": F.col("__shard").cast("int"), "slot": F.col("__rank") - least})
+
+
+def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, curve (index), lang, source, shard and slot (from 0 in each shard). No text is moved."""
+    return _placed(docs, [], shards, bits).select("doc_id", "size", "text_crc32", "curve", "lang", "source", "shard", "slot")
+
+
+def place(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
+    """The documents with all their columns, and size, text_crc32, curve, shard and slot. Texts are sorted once; a written file holds a run of the curve."""
+    new = ["size", "text_crc32", "curve", "shard", "slot"]
+    kept = [c for c in docs.columns if c.lower() not in new]
+    placed = _placed(docs, [F.struct(*kept).alias("__row")], shards, bits)
+    return placed.select(*[F.col("__row").getField(c).alias(c) for c in kept], *new)
