@@ -141,7 +141,7 @@ def test_contamination(docs, spark):
 
 
 def test_line_dedup(docs):
-    got = {r["doc_id"]: r for r in linededup.dedup_units(docs.filter("doc_id in (12, 13, 5, 6, 1, 2, 8)")).collect()}
+    got = {r["doc_id"]: r for r in linededup.dedup_units(docs.filter("doc_id in (12, 13, 5, 6, 1, 2, 8)"), least=8).collect()}
     assert got[12]["removed"] == [] and got[1]["removed"] == []
     assert got[2]["clean_text"] == "" and got[5]["clean_text"] is None and got[6]["clean_text"] == "" and got[8]["removed"] == []
     text = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"]}[13]
@@ -157,8 +157,9 @@ def test_line_dedup(docs):
 def test_line_dedup_inside_a_text(spark):
     line = "this very line has more than eight words in it\n"
     d = spark.createDataFrame([(1, line + "other words stand here in between, nine of them\n" + line), (None, line)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in linededup.dedup_units(d).collect()}
+    got = {r["doc_id"]: r for r in linededup.dedup_units(d, least=8).collect()}
     assert got[1]["clean_text"].count("very line") == 1 and got[None]["clean_text"] == line
+    assert all(r["removed"] == [] for r in linededup.dedup_units(d).collect())
 
 
 def test_chat_round_trip(spark):
@@ -259,8 +260,9 @@ def test_near_pairs_in_a_large_family_of_lesser_similarity(spark):
 def test_short_lines_and_passages_of_long_lines_go(spark):
     short = "released under the mit license."
     d = spark.createDataFrame([(1, f"{short}\n{_words(21, 12)}\n{short}\nend"), (2, f"{_words(22, 12)}\n{short}\n{_words(23, 12)}"), (3, f"{short} with more\n")], "doc_id long, text string")
-    got = {r["doc_id"]: r["clean_text"] for r in linededup.dedup_units(d).collect()}
-    assert got[1] == f"{short}\n{_words(21, 12)}\nend" and got[2] == f"{_words(22, 12)}\n{_words(23, 12)}" and got[3] == f"{short} with more\n"
+    for pieces in (True, False):
+        got = {r["doc_id"]: r["clean_text"] for r in linededup.dedup_units(d, least=8, line=1, pieces=pieces).collect()}
+        assert got[1] == f"{short}\n{_words(21, 12)}\nend" and got[2] == f"{_words(22, 12)}\n{_words(23, 12)}" and got[3] == f"{short} with more\n"
     # a passage of 50 words inside longer lines, wherever it stands
     rows = []
     for k in range(40):
