@@ -1,16 +1,24 @@
 """Secret scanning: fixed patterns, and formats inferred from labelled credentials as probabilistic automata.
 
-The credentials of a kind form a prefix tree with frequencies. States are merged red-blue fashion, wherever two
-states' outgoing and final frequencies agree within a Hoeffding bound, all the way down (grammar inference by state merging);
-the result is a deterministic probabilistic automaton. Every token of six or more characters is scored by its log-likelihood under each automaton
-against a model of pairs of characters, begin and end included, of ordinary tokens; tokens likelier as a credential by `margin` nats a character are reported as
+The credentials of a kind form a prefix tree with frequencies. Its states are merged red-blue fashion, from the root on, wherever two
+states' next characters, ends, and numbers of characters still to come agree within a Hoeffding bound, all the way down (grammar inference by
+state merging). States of one depth may agree on little evidence; states of different depths need `least` visits each, so that a format keeps its
+length and the places of its parts unless the data show that it repeats itself. The result is a deterministic probabilistic automaton.
+
+Every token of six or more characters is scored: its log-likelihood under the automata of credentials against that of ordinary tokens. Those are
+automata inferred in the same way from made numbers, dates and uuids, and a model of words, numbers, short hexadecimal runs and separators, whose pairs of letters come from
+the corpus. Tokens likelier as a credential by `margin` nats are reported as
 kind `format`, unless they touch a span that a pattern has found.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive.
+Null and empty texts have no spans. Offsets are code points, ends exclusive. Texts are scanned whole, however long. Ties between formats do not matter, as
+only the best likelihood counts. Repeated rows are scanned each, repeated credentials train once. An empty table gives an empty result, and a model of the made credentials alone.
+Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import math
 import random
 import re
@@ -43,43 +51,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+FLOOR = math.log(1e-6)
+
+
 class Automaton:
-    """A deterministic probabilistic automaton: per state, a map from character to (next state, log probability), and the log probability to end."""
+    """A deterministic probabilistic automaton: per state a map from character to (next state, log probability), the log probability to end,
+    and (next state, log of the weight) for characters not seen there, which have the log probabilities of `anywhere` besides."""
 
-    def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float], floor: float):
-        self.moves, self.ends, self.floor = moves, ends, floor
+    def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float], other: list[tuple[int, float]], anywhere: dict[str, float]):
+        self.moves, self.ends, self.other, self.anywhere = moves, ends, other, anywhere
+        self._best: list[float] = []
 
     def log_likelihood(self, s: str) -> float:
         at, total = 0, 0.0
         for c in s:
-            nxt, lp = self.moves[at].get(c, (0, self.floor))
+            got = self.moves[at].get(c)
+            if got is None:
+                nxt, lp = self.other[at]
+                lp += self.anywhere.get(c, FLOOR)
+            else:
+                nxt, lp = got
             at, total = nxt, total + lp
         return total + self.ends[at]
 
-
-def infer(samples: Iterable[str], alpha: float = 0.05) -> Automaton:
+    def best(self, length: int) -> float:
+        """The highest log-likelihood of any string of that length."""
+        if not self._best:
+            top = max(self.anywhere.values(), default=FLOOR)
+            steps = [{} for _ in self.moves]
+            for k, own in enumerate(self.moves):
+                to, lp = self.other[k]
+                steps[k][to] = lp + top
+                for to, lp in own.values():
+                    steps[k][to] = max(lp, steps[k].get(to, -math.inf))
+            at = {0: 0.0}
+            for _ in range(LONGEST + 1):
+                self._best.append(max(v + self.ends[k] for k, v in at.items()))
+                after: dict[int, float] = {}
+                for k, v in at.items():
+                    for to, lp in steps[k].items():
+                        after[to] = max(v + lp, after.get(to, -math.inf))
+                at = after
+        return self._best[length]
+
+
+#: Length up to which the best likelihoods are tabled.
+LONGEST = 256
+
+
+def infer(samples: Iterable[str], alpha: float = 0.01, least: int = 100) -> Automaton:
     """Merge the states of the samples' prefix tree; two states agree if their frequencies differ less than the Hoeffding bound at alpha."""
     child: list[dict[str, int]] = [{}]
     arcs: list[dict[str, int]] = [{}]
-    final, visits = [0], [0]
+    rest: list[dict[int, int]] = [{}]  # how many samples have how many characters still to come
+    final, visits, depth = [0], [0], [0]
+    seen_chars: dict[str, int] = {}
     for s in samples:
         at = 0
         visits[0] += 1
-        for c in s:
+        rest[0][len(s)] = rest[0].get(len(s), 0) + 1
+        for i, c in enumerate(s):
+            seen_chars[c] = seen_chars.get(c, 0) + 1
             if c not in child[at]:
                 child[at][c] = len(child)
                 child.append({})
                 arcs.append({})
+                rest.append({})
                 final.append(0)
                 visits.append(0)
+                depth.append(i + 1)
             arcs[at][c] = arcs[at].get(c, 0) + 1
             at = child[at][c]
             visits[at] += 1
+            left = len(s) - i - 1
+            rest[at][left] = rest[at].get(left, 0) + 1
         final[at] += 1
-    root_bound = math.sqrt(0.5 * math.log(2 / alpha))
+    bound = math.sqrt(0.5 * math.log(2 / alpha))
 
-    def differ(a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > root_bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    def alike(x: dict, n: int, y: dict, m: int, most: float) -> bool:
+        return all(abs(x.get(k, 0) / n - y.get(k, 0) / m) <= most for k in (x if len(x) >= len(y) else y)) and all(abs(x.get(k, 0) / n - y.get(k, 0) / m) <= most for k in (y if len(x) >= len(y) else x))
 
     def agree(p: int, q: int) -> bool:
         todo = [(p, q)]
@@ -90,11 +140,23 @@ def infer(samples: Iterable[str], alpha: float = 0.05) -> Automaton:
                 continue
             seen.add((p, q))
             n, m = visits[p], visits[q]
-            if differ(final[p], n, final[q], m) or any(differ(arcs[p].get(c, 0), n, arcs[q].get(c, 0), m) for c in arcs[p].keys() | arcs[q].keys()):
+            most = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if most >= 1:  # too little evidence to tell them apart, and less below
+                continue
+            if abs(final[p] / n - final[q] / m) > most or not alike(arcs[p], n, arcs[q], m, most) or not alike(rest[p], n, rest[q], m, most):
                 return False
             todo += [(child[p][c], child[q][c]) for c in child[p].keys() & child[q].keys()]
         return True
 
+    red: set[int] = {0}
+    order = [0]
+    by_depth: dict[int, list[int]] = {0: [0]}
+    heap: list[tuple[int, int, int, str]] = []
+
+    def push(p: int, c: str) -> None:
+        q = child[p][c]
+        heapq.heappush(heap, (depth[q], -visits[q], p, c))
+
     def fold(p: int, q: int) -> None:
         """Add the tree below q to p."""
         todo = [(p, q)]
@@ -102,62 +164,122 @@ def infer(samples: Iterable[str], alpha: float = 0.05) -> Automaton:
             p, q = todo.pop()
             visits[p] += visits[q]
             final[p] += final[q]
+            for k, n in rest[q].items():
+                rest[p][k] = rest[p].get(k, 0) + n
             for c, to in child[q].items():
                 arcs[p][c] = arcs[p].get(c, 0) + arcs[q][c]
                 if c in child[p]:
                     todo.append((child[p][c], to))
                 else:
                     child[p][c] = to
+                    if p in red:
+                        push(p, c)
 
-    red = [0]
-    blue = [(0, c) for c in sorted(child[0])]
-    while blue:
-        p, c = blue.pop(0)
+    for c in child[0]:
+        push(0, c)
+    while heap:
+        d, _, p, c = heapq.heappop(heap)
         q = child[p][c]
         if q in red:
             continue
-        into = next((r for r in red if agree(r, q)), None)
+        same = by_depth.get(d, [])
+        into = next((r for r in same if agree(r, q)), None)
+        if into is None and visits[q] >= least:
+            into = next((r for r in order if visits[r] >= least and r not in same and agree(r, q)), None)
         if into is None:
-            red.append(q)
+            red.add(q)
+            order.append(q)
+            by_depth.setdefault(d, []).append(q)
+            for x in child[q]:
+                push(q, x)
         else:
             child[p][c] = into
             fold(into, q)
-        inside = set(red)
-        blue = [(r, x) for r in red for x in sorted(child[r]) if child[r][x] not in inside]
-    number = {r: i for i, r in enumerate(red)}
-    floor = math.log(1e-6)
-    moves, ends = [], []
-    for r in red:
-        n = visits[r] + 1
-        moves.append({c: (number[to], math.log(arcs[r][c] / n)) for c, to in child[r].items()})
-        ends.append(math.log((final[r] + 0.5) / n))
-    return Automaton(moves, ends, floor)
+    number = {r: i for i, r in enumerate(order)}
+    total = sum(seen_chars.values()) + 1
+    anywhere = {c: math.log(n / total) for c, n in seen_chars.items()}
+    moves, ends, other = [], [], []
+    for r in order:
+        # one further visit's weight goes to the characters of the whole format, and a little to an end never seen
+        n = visits[r] + 1.0002
+        moves.append({c: (number[to], math.log((arcs[r][c] + math.exp(anywhere[c])) / n)) for c, to in child[r].items()})
+        ends.append(math.log((final[r] + 0.0002) / n))
+        likeliest = max(child[r], key=lambda c, r=r: (arcs[r][c], c), default=None)
+        other.append((number[child[r][likeliest]] if likeliest else number[r], -math.log(n) if likeliest else FLOOR))
+    return Automaton(moves, ends, other, anywhere)
+
+
+_infer_made = functools.lru_cache(maxsize=64)(infer)
+_RUNS = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
+_ALNUM_RUNS = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
+_HEXES = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
+class OrdinaryTokens:
+    """Log-likelihood of ordinary tokens: words (pairs of letters and their case), numbers, short hexadecimal runs, and separators."""
+
+    def __init__(self, pairs: dict[str, int]):
+        """pairs: how often a lower-case letter follows another; ^ before the first of a run, $ after the last."""
+        before: dict[str, int] = {}
+        letters: dict[str, int] = {}
+        for xy, n in pairs.items():
+            before[xy[0]] = before.get(xy[0], 0) + n
+            letters[xy[1]] = letters.get(xy[1], 0) + n
+        alphabet = "abcdefghijklmnopqrstuvwxyz"
+        total = sum(letters.values()) + 27
+        single = {y: (letters.get(y, 0) + 1) / total for y in alphabet + "$"}
+        # pairs seen rarely fall back on single letters, which a tenth of the weight is kept for
+        self.pairs = {(x, y): math.log(0.9 * pairs.get(x + y, 0) / max(before.get(x, 0), 1) + 0.1 * single[y] if before.get(x) else single[y]) for x in "^" + alphabet for y in alphabet + "$"}
+
+    def _letters(self, s: str) -> float:
+        low = s.lower()
+        out = sum(map(self.pairs.__getitem__, zip("^" + low, low + "$")))  # noqa: B905  of one length
+        if s.islower():
+            return out - 0.3
+        if s.isupper() or (s[0].isupper() and s[1:].islower()):
+            return out - 2.0
+        return out - 3.0 - 2.0 * sum(s[i].islower() != s[i + 1].islower() for i in range(len(s) - 1))
+
+    def log_likelihood(self, token: str) -> float:
+        if token.isalpha():
+            return self._letters(token)
+        total = 0.0
+        for run in _ALNUM_RUNS.findall(token):
+            if not run.isalnum():
+                total -= 3.0
+                continue
+            parts = _RUNS.findall(run)
+            plain = -2.3 * (len(parts) - 1) + sum(-2.0 - 2.4 * len(x) if x[0].isdigit() else self._letters(x) for x in parts)
+            if len(parts) > 1 and _HEXES.fullmatch(run):
+                plain = max(plain, -4.6 - 3.0 * len(run))
+            total += plain
+        return total
 
 
 class SecretModel:
-    """An automaton per kind, and the log probability of characters in ordinary tokens; with `pairs`, of each character after another (^ before the first, $ after the last)."""
+    """Automata of credentials by kind, and of ordinary tokens by kind, and the model of other ordinary tokens."""
 
     #: Tokens whose scores are remembered at once, to score a frequent word once.
     REMEMBERED = 1 << 17
 
-    def __init__(self, automata: dict[str, Automaton], ordinary: dict[str, float], margin: float = 0.5, pairs: dict[str, float] | None = None):
-        self.automata, self.ordinary, self.margin, self.pairs = automata, ordinary, margin, pairs
+    def __init__(self, automata: dict[str, Automaton], ordinary: dict[str, Automaton], words: OrdinaryTokens, margin: float = 8.0):
+        self.automata, self.ordinary, self.words, self.margin = automata, ordinary, words, margin
         self._known: dict[str, bool] = {}
+        #: by length, the highest log-likelihood of any string as a credential
+        self._most = [max((a.best(k) for a in automata.values()), default=-math.inf) for k in range(LONGEST + 1)]
 
     def score(self, token: str) -> float:
-        """Nats a character by which the token is likelier as a credential of the best kind; -inf without automata."""
-        if self.pairs is None:
-            plain = sum(self.ordinary.get(c, -9.0) for c in token)
-        else:
-            framed = f"^{token}$"
-            plain = sum(self.pairs.get(framed[i : i + 2], -12.0) for i in range(len(framed) - 1))
-        return max(((a.log_likelihood(token) - plain) / len(token) for a in self.automata.values()), default=-math.inf)
+        """Nats by which the token is likelier as a credential of the best kind than as an ordinary token of the best kind; -inf without automata."""
+        plain = max(self.words.log_likelihood(token), max((a.log_likelihood(token) for a in self.ordinary.values()), default=-math.inf))
+        return max((a.log_likelihood(token) for a in self.automata.values()), default=-math.inf) - plain
 
     def likely(self, token: str) -> bool:
         """Whether the token is reported."""
         known = self._known.get(token)
         if known is None:
-            known = self.score(token) >= self.margin
+            # no string of this length is likely enough as a credential to beat this one as words: the score cannot reach the margin
+            most = self._most[len(token)] if len(token) <= LONGEST else math.inf
+            known = most - self.words.log_likelihood(token) >= self.margin and self.score(token) >= self.margin
             if len(token) <= 64:
                 if len(self._known) >= self.REMEMBERED:
                     self._known.clear()
@@ -175,17 +297,43 @@ class SecretModel:
         return base, sorted(base + more)
 
 
-def seed_credentials(n: int = 400, seed: int = 5) -> list[tuple[str, str]]:
-    """Labelled credentials made by rule, for formats that a corpus may lack: AKIA and 16 capitals or digits; base-64 keys of 40; hex of 32, 40 and 64."""
+_UPPER32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_ALNUM62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def seed_credentials(n: int = 600, seed: int = 5) -> list[tuple[str, str]]:
+    """Labelled credentials made by rule, n a kind, for formats that a corpus may lack: AKIA and 16 capitals or digits; base-64 keys of 40;
+    hex of 32, 40 and 64 in either case; prefixed tokens of several services; and random letters and digits of 10 to 24."""
+    r = random.Random(seed)
+    take = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    out = []
+    for i in range(n):
+        out += [
+            ("access", "AKIA" + take(_UPPER32, 16)),
+            ("key", take(_ALNUM62 + "+/", 40)),
+            ("hex", take("0123456789abcdef", (32, 40, 64)[i % 3])),
+            ("HEX", take("0123456789ABCDEF", (32, 40, 64)[i % 3])),
+            ("prefixed-36", "ghp_" + take(_ALNUM62, 36)),
+            ("prefixed-24", "sk_live_" + take(_ALNUM62, 24)),
+            ("prefixed-35", "AIza" + take(_ALNUM62 + "_-", 35)),
+            ("short", take(_ALNUM62, r.randint(10, 24))),
+        ]
+    return out
+
+
+def seed_ordinary(n: int = 600, seed: int = 6) -> list[tuple[str, str]]:
+    """Ordinary tokens made by rule, n a kind: numbers, dates and times, uuids."""
     r = random.Random(seed)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    take = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
     out = []
     for i in range(n):
-        out.append(("access", "AKIA" + "".join(r.choices(upper, k=16))))
-        out.append(("key", "".join(r.choices(b64, k=40))))
-        digits = "0123456789abcdef" if i % 2 else "0123456789ABCDEF"
-        out.append(("HEX"[: 3 * (i % 2 == 0)] or "hex", "".join(r.choices(digits, k=(32, 40, 64)[i % 3]))))
+        h = take("0123456789abcdef" if i % 4 else "0123456789ABCDEF", 32)
+        day = f"{r.randint(1970, 2039)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+        out += [
+            ("number", take("0123456789", r.randint(6, 24))),
+            ("date", day + ("", f"T{r.randint(0, 23):02}", f"_{r.randint(0, 23):02}-{r.randint(0, 59):02}")[i % 3]),
+            ("uuid", f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"),
+        ]
     return out
 
 
@@ -208,42 +356,43 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over tokens: how often each character follows another, ^ before the first and $ after the last."""
+    """Map over tokens: how often each lower-cased letter follows another, ^ before the first of a run and $ after the last."""
     for b in batches:
         n: dict[str, int] = {}
         for v in b.column(0).to_pylist():
-            for x, y in zip("^" + v, v + "$", strict=True):
-                n[x + y] = n.get(x + y, 0) + 1
+            for run in re.findall("[a-z]+", v.lower()):
+                for x, y in zip("^" + run, run + "$", strict=True):
+                    n[x + y] = n.get(x + y, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pair", "n"])
 
 
 def train(docs: DataFrame, per_kind: int = 600, sample_docs: int = 20000) -> SecretModel:
-    """Automata from credentials labelled by the patterns in a bounded sample of documents (the sample_docs of least hash; per_kind
-    distinct values a kind) and from all of seed_credentials(); pairs of ordinary characters come from all distinct tokens of the same sample."""
+    """Automata from credentials labelled by the patterns in a bounded sample of documents (the sample_docs of least hash; of each kind about per_kind
+    distinct values, those whose hash is under per_kind / (their number)) and from all of seed_credentials(); letter pairs come from all distinct tokens of the same sample."""
     sample = docs.select("doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample_docs)
     texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text")
     values = materialise(texts.mapInArrow(_labelled, "kind string, value string").distinct(), "secret-values")
-    from pyspark.sql import Window
-
-    ranked = values.filter("kind != 'ordinary'").withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))).filter(F.col("r") <= per_kind)
-    got: dict[str, list[str]] = {}
-    for r in ranked.orderBy("kind", "r").toArrow().to_pylist():
-        got.setdefault(r["kind"], []).append(r["value"])
-    after = {r["pair"]: r["n"] for r in values.filter("kind = 'ordinary'").select("value").mapInArrow(_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
-    counts: dict[str, int] = {}
-    before: dict[str, int] = {}
-    for pair, n in after.items():
-        before[pair[0]] = before.get(pair[0], 0) + n
-        if pair[1] != "$":
-            counts[pair[1]] = counts.get(pair[1], 0) + n
-    total = sum(counts.values()) + 64
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-    ordinary = {c: math.log((counts.get(c, 0) + 1) / total) for c in alphabet}
-    # pairs seen too rarely fall back on single characters
-    pairs = {x + y: math.log((after.get(x + y, 0) + 2 * math.exp(ordinary.get(y, -3.0))) / (before.get(x, 0) + 2)) for x in "^" + alphabet for y in alphabet + "$"}
+    found = values.filter("kind != 'ordinary'")
+    part = found.groupBy("kind").count().select("kind", (F.lit(float(per_kind)) / F.col("count")).alias("part"))
+    # a row for each of three kinds
+    drawn = found.join(F.broadcast(part), "kind").filter(F.shiftrightunsigned(F.xxhash64("value"), 11).cast("double") / float(1 << 53) < F.col("part"))
+    got: dict[str, set[str]] = {}
+    for r in drawn.select("kind", "value").toArrow().to_pylist():
+        got.setdefault(r["kind"], set()).add(r["value"])
+    pairs = values.filter("kind = 'ordinary'").select("value").mapInArrow(_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return fit(got, {r["pair"]: r["n"] for r in pairs})
+
+
+def fit(values: dict[str, set[str]], pairs: dict[str, int]) -> SecretModel:
+    """The model of labelled values by kind, with the made ones, and of pairs of letters of ordinary tokens."""
+    made: dict[str, list[str]] = {}
     for kind, value in seed_credentials():
-        got.setdefault(kind, []).append(value)
-    return SecretModel({k: infer(v) for k, v in sorted(got.items())}, ordinary, pairs=pairs)
+        made.setdefault(kind, []).append(value)
+    ordinary: dict[str, list[str]] = {}
+    for kind, value in seed_ordinary():
+        ordinary.setdefault(kind, []).append(value)
+    automata = {k: _infer_made((*sorted(values.get(k, ())), *made.get(k, ()))) for k in sorted(values.keys() | made.keys())}
+    return SecretModel(automata, {k: _infer_made(tuple(v)) for k, v in sorted(ordinary.items())}, OrdinaryTokens(pairs))
 
 
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
