@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import lean, small_batches
 from .text import string_bytes
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -100,7 +100,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     n = max(8, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     ordered = rows.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_format, "conv_id long, piece long, formatted string, loss_starts array<long>, loss_ends array<long>")
+    return ordered.select("conv_id", "role", "text").mapInArrow(lean(_format), "conv_id long, piece long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:
@@ -152,4 +152,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(pieces: DataFrame) -> DataFrame:
     """What the output says when read back: turns and loss texts per conversation, as counts and hashes."""
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").select("conv_id", "formatted", "loss_starts", "loss_ends")
-    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lean(_digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

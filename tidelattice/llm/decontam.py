@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import materialise, small_batches
+from .store import lean, materialise, small_batches
 from .text import ALNUM, string_bytes, word_bounds
 
 WINDOW = 13
 SAMPLE = 8
 #: Symbols after which an FM-index is closed, and bytes of the rows that wait for it.
-SHARD_WORDS, SHARD_BYTES = 1 << 20, 16 << 20
+SHARD_WORDS, SHARD_BYTES = 1 << 18, 8 << 20
 
 _TABLE = bytearray(b" " * 256)
 for _b in range(256):
@@ -291,12 +291,12 @@ def _in_blocks(rows: DataFrame, blocks: Iterable[list], window: int, carry_text:
     numbered = materialise(rows.withColumn("__n", F.monotonically_increasing_id()), "decontam-rows")
     hits = None
     for items in blocks:
-        one = numbered.select(F.col("__n").alias("__key"), "text").mapInArrow(_scan(Windows(items, window), False), _found_schema(T.LongType(), False))
+        one = numbered.select(F.col("__n").alias("__key"), "text").mapInArrow(lean(_scan(Windows(items, window), False)), _found_schema(T.LongType(), False))
         one = materialise(one.filter(F.size("span_starts") > 0).drop("n_words"), "decontam-hits")
         hits = one if hits is None else hits.unionByName(one)
     merge = [F.lit(0).cast("long").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("s"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
-    merged_hits = hits.groupBy("__key").agg(*merge).mapInArrow(_merge_spans, _found_schema(T.LongType(), False)).drop("n_words").withColumnRenamed("__key", "__n")
-    words_of = numbered.mapInArrow(_count_words, T.StructType([*numbered.schema.fields]).add("n_words", T.LongType()))
+    merged_hits = hits.groupBy("__key").agg(*merge).mapInArrow(lean(_merge_spans), _found_schema(T.LongType(), False)).drop("n_words").withColumnRenamed("__key", "__n")
+    words_of = numbered.mapInArrow(lean(_count_words), T.StructType([*numbered.schema.fields]).add("n_words", T.LongType()))
     got = words_of.join(merged_hits, "__n", "left")
     longs = F.array().cast("array<bigint>")
     return got.select("__key", "n_words", F.coalesce("span_starts", longs).alias("span_starts"), F.coalesce("span_ends", longs).alias("span_ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *(["text"] if carry_text else []))
@@ -321,7 +321,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     blocks = benchmark_blocks(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        found = rows.mapInArrow(_scan(Windows(first, window), carry_text), schema)
+        found = rows.mapInArrow(lean(_scan(Windows(first, window), carry_text)), schema)
     else:
         found = _in_blocks(rows, itertools.chain([first, second], blocks), window, carry_text)
     hit = F.aggregate(F.arrays_zip("span_starts", "span_ends"), F.lit(0).cast("long"), lambda a, x: a + x["span_ends"] - x["span_starts"])
@@ -373,7 +373,7 @@ def cut_spans(found: DataFrame, row: str, schema: T.StructType, count: str = "n_
     """The rows of contamination(key=row, carry_text=True), row a struct of the documents' other columns, with the schema of the documents and removal
     spans cut. Where any was, the number column `count`, if there is one, becomes the new number of code points."""
     kind = found.schema[row].dataType
-    out = found.select(F.col(row).alias("__row"), "text", "span_starts", "span_ends").mapInArrow(_excise, T.StructType([T.StructField("__row", kind)]).add("text", "string").add("__cut", "boolean"))
+    out = found.select(F.col(row).alias("__row"), "text", "span_starts", "span_ends").mapInArrow(lean(_excise), T.StructType([T.StructField("__row", kind)]).add("text", "string").add("__cut", "boolean"))
 
     def column(f: T.StructField):
         if f.name == "text":

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .membership import MAX_BITS, bitmap, filter_bits
-from .store import join_by_size, materialise, small_batches
+from .store import join_by_size, lean, materialise, small_batches
 
 #: Digests of a task that are combined at once.
 COMBINED = 1 << 20
@@ -83,7 +83,7 @@ def _combine(bits: int, k: int):
 
 def repeated_filter(digests: DataFrame, bits: int, k: int) -> np.ndarray:
     """The bits that at least two digests set; a word has at most one row of a task's every COMBINED digests, however often one digest occurs."""
-    parts = digests.select(_hash().alias("h")).mapInArrow(_combine(bits, k), "w long, once long, twice long")
+    parts = digests.select(_hash().alias("h")).mapInArrow(lean(_combine(bits, k)), "w long, once long, twice long")
     zero = F.struct(F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("t"))
     both = F.aggregate(
         F.collect_list(F.struct("once", "twice")),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .store import small_batches
+from .store import lean, small_batches
 from .text import LOWER, blocks, string_bytes
 
 UND = "und"
@@ -133,7 +133,7 @@ def train(docs: DataFrame, per_language: int = 2000, features: int = 2000, langu
     # at most `languages` rows: a proven bound for the broadcast
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
     sample = rows.join(F.broadcast(part), "lang").filter(draw < F.col("__part"))
-    sums = sample.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.select("lang", "text").mapInArrow(lean(_count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     t = sums.toArrow()
     langs = sorted(set(t.column("lang").to_pylist()))
     if not langs:
@@ -174,4 +174,4 @@ def identify(docs: DataFrame, model: LanguageModel, pred_name: str = "lang_pred"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*columns, pred_name, score_name])
 
     schema = StructType([*docs.schema.fields]).add(pred_name, StringType()).add(score_name, DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

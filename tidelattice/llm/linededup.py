@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .membership import split
-from .store import join_by_size, materialise, small_batches
+from .store import join_by_size, lean, materialise, small_batches
 from .text import ALNUM, LOWER, SPACES, _powers, blocks, mix, span_hashes, string_bytes, word_bounds
 
 #: Words that a digest covers at least, of a sentence that is not cut, and of the windows of a longer one.
@@ -177,7 +177,7 @@ def dedup_units(docs: DataFrame, least: int = LEAST, line: int | None = None, pi
         raise TypeError("doc_id must be of an integer type")
     how = (least, line, pieces)
     rows = small_batches(docs).select("doc_id", "text")
-    found = materialise(rows.filter("doc_id is not null and text is not null").mapInArrow(_emit(how), "h1 long, h2 long, doc_id long"), "units")
+    found = materialise(rows.filter("doc_id is not null and text is not null").mapInArrow(lean(_emit(how)), "h1 long, h2 long, doc_id long"), "units")
     repeated = materialise(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1"), "units-repeated")
     # only digests that may be repeated, and then only texts that may lose something, are shuffled
     maybe, _ = split(found, "h1", repeated.select("h1").distinct())
@@ -186,4 +186,4 @@ def dedup_units(docs: DataFrame, least: int = LEAST, line: int | None = None, pi
     loses, rest = split(rows, "doc_id", drop.select("doc_id"))
     ready = loses.join(drop, "doc_id", "left").select("text", "__drop", "doc_id").unionByName(rest.select("text", F.lit(None).cast(drop.schema["__drop"].dataType).alias("__drop"), "doc_id"))
     schema = T.StructType([docs.schema["doc_id"]]).add("n_units", T.LongType()).add("removed", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("clean_text", T.StringType())
-    return ready.mapInArrow(_remove(how, ["doc_id"]), schema)
+    return ready.mapInArrow(lean(_remove(how, ["doc_id"])), schema)

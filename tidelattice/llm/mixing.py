@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import materialise, small_batches
+from .store import lean, materialise, small_batches
 from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_bounds
 
 DIMS, TOPICS = 512, 8
@@ -123,7 +123,7 @@ def fit_topics(vectors: DataFrame, topics: int = TOPICS, rounds: int = 15) -> np
     if not c.any():
         return c
     for _ in range(rounds):
-        t = vectors.select("__x").mapInArrow(_sums(c), "topic int, at int, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).toArrow()
+        t = vectors.select("__x").mapInArrow(lean(_sums(c)), "topic int, at int, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).toArrow()
         total = np.zeros(c.shape, np.float64)
         total[t.column("topic").to_numpy(), t.column("at").to_numpy()] = t.column("s").to_numpy()
         some = total.any(1)
@@ -253,10 +253,10 @@ class Mix:
         narrow = small_batches(docs).select("doc_id", "source", "lang", "text")
         three = [narrow.schema[c] for c in ("doc_id", "source", "lang")]
         held = T.StructType([*three]).add("__tokens", T.LongType()).add("__x", T.BinaryType())
-        vectors = materialise(narrow.mapInArrow(_vectors(3, ["doc_id", "source", "lang"]), held), "mix-vectors")
+        vectors = materialise(narrow.mapInArrow(lean(_vectors(3, ["doc_id", "source", "lang"])), held), "mix-vectors")
         self.centres = fit_topics(vectors, topics)
         fields = T.StructType([*three]).add("__topic", T.IntegerType()).add("__tokens", T.LongType())
-        self.rows = materialise(vectors.mapInArrow(_topics(self.centres), fields), "mix-described")
+        self.rows = materialise(vectors.mapInArrow(lean(_topics(self.centres)), fields), "mix-described")
         self.source, self.lang = _named("source"), _named("lang")
         cells = self.rows.groupBy(self.source.alias("s"), self.lang.alias("l"), "__topic").agg(F.sum("__tokens").alias("t")).orderBy("s", "l", "__topic").toArrow().combine_chunks()
         tokens = cells.column("t").to_numpy().astype(np.float64)
@@ -297,7 +297,7 @@ class Mix:
         """The sampled documents with all their columns. No text is shuffled: topics are found again in a map over the documents."""
         # the documents travel as one struct, so that none of their columns clashes with ours
         rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "lang")
-        rows = rows.mapInArrow(_describe(self.centres), T.StructType([*rows.schema.fields]).add("__topic", T.IntegerType()).add("__tokens", T.LongType()))
+        rows = rows.mapInArrow(lean(_describe(self.centres)), T.StructType([*rows.schema.fields]).add("__topic", T.IntegerType()).add("__tokens", T.LongType()))
         return self.drawn(rows).filter("__sampled").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 

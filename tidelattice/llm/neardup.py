@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .membership import hashes, maybe_members, member_filter
-from .store import join_by_size, materialise, small_batches
+from .store import join_by_size, lean, materialise, small_batches
 from .text import LOWER, NOT_SPACE, blocks, shingle_hashes, span_hashes, string_bytes, word_bounds
 
 TREES, DEPTH, LEAST, REGION = 24, 8, 4, 1024
@@ -310,7 +310,7 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
-    return with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").select("a", "b", "s_a", "s_b").mapInArrow(_confirm(percent), "a long, b long")
+    return with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").select("a", "b", "s_a", "s_b").mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 def _across(open_: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -350,16 +350,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     spark = small_batches(docs).sparkSession
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise TypeError("doc_id must be of an integer type")
-    described = materialise(docs.select("doc_id", "text").mapInArrow(_describe(shingle), "doc_id long, n_shingles long, __set binary, __sig binary"), "near-described")
+    described = materialise(docs.select("doc_id", "text").mapInArrow(lean(_describe(shingle)), "doc_id long, n_shingles long, __set binary, __sig binary"), "near-described")
     rows = described.count()
     # a class per distinct set, named by its smallest id
     classes = materialise(described.filter("__set is not null and doc_id is not null").groupBy("__set").agg(F.min("doc_id").alias("id"), F.count("*").alias("__n"), F.first("n_shingles").alias("n_shingles"), F.first("__sig").alias("__sig")), "near-classes")
-    members = classes.select("id", "__sig").mapInArrow(_plant, _MEMBER)
+    members = classes.select("id", "__sig").mapInArrow(lean(_plant), _MEMBER)
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = members.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     # 0.8 less four standard deviations of a sketch's agreement
     need = int(SKETCH * (percent / 100 - 4 * ((percent / 100) * (1 - percent / 100) / SKETCH) ** 0.5))
-    found = ordered.mapInArrow(_compare(need), "a long, b long, agree int")
+    found = ordered.mapInArrow(lean(_compare(need)), "a long, b long, agree int")
     found = materialise(found, "near-found")
     members = found.filter("agree = -1").select(F.col("a").alias("region"), F.col("b").alias("id"))
     pairs = materialise(found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     held = spark.sparkContext.broadcast(member_filter(wanted, "id", wanted.count()))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", *hashes("id"))
     # only sets that may be wanted leave their task; a repeated id may have several
-    sets = texts.mapInArrow(_sets(shingle, held), "id long, s binary, __set binary").join(wanted, ["id", "__set"], "left_semi").dropDuplicates(["id", "__set"]).drop("__set")
+    sets = texts.mapInArrow(lean(_sets(shingle, held)), "id long, s binary, __set binary").join(wanted, ["id", "__set"], "left_semi").dropDuplicates(["id", "__set"]).drop("__set")
     sets = materialise(sets, "near-sets")
     dense = members.join(sets, "id").groupBy("region").applyInArrow(_dense(percent), "a long, b long")
     dense = materialise(dense.distinct(), "near-dense")

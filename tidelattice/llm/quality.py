@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import lean, small_batches
 from .text import LOWER, NOT_SPACE, blocks, span_hashes, string_bytes, word_bounds
 
 SHAPES, WORDS, EXTRA = 2048, 1024, 4
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", references
     # at most `references` rows of two numbers: a proven bound for the broadcast
     sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id").alias("h"))
     # described first, so that rows of WIDTH numbers are sorted, and no texts
-    t = sample.mapInArrow(_features, "label int, x binary, h long").orderBy("h", F.xxhash64("x"), "label").limit(references).toArrow()
+    t = sample.mapInArrow(lean(_features), "label int, x binary, h long").orderBy("h", F.xxhash64("x"), "label").limit(references).toArrow()
     y = t.column("label").to_numpy().astype(np.float64)
     if len(y) == 0:
         z = np.zeros((0, DIMS), np.float32)
@@ -151,4 +151,4 @@ def classify(docs: DataFrame, model: NeighbourModel) -> DataFrame:
             got = [held.value.score(features(raw[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in blocks(off)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, small_batches
+from .store import lean, materialise, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -371,7 +371,7 @@ def train(docs: DataFrame, per_kind: int = 600, sample_docs: int = 20000) -> Sec
     distinct values, those whose hash is under per_kind / (their number)) and from all of seed_credentials(); letter pairs come from all distinct tokens of the same sample."""
     sample = docs.select("doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample_docs)
     texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text")
-    values = materialise(texts.mapInArrow(_labelled, "kind string, value string").distinct(), "secret-values")
+    values = materialise(texts.mapInArrow(lean(_labelled), "kind string, value string").distinct(), "secret-values")
     found = values.filter("kind != 'ordinary'")
     part = found.groupBy("kind").count().select("kind", (F.lit(float(per_kind)) / F.col("count")).alias("part"))
     # a row for each of three kinds
@@ -379,7 +379,7 @@ def train(docs: DataFrame, per_kind: int = 600, sample_docs: int = 20000) -> Sec
     got: dict[str, set[str]] = {}
     for r in drawn.select("kind", "value").toArrow().to_pylist():
         got.setdefault(r["kind"], set()).add(r["value"])
-    pairs = values.filter("kind = 'ordinary'").select("value").mapInArrow(_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    pairs = values.filter("kind = 'ordinary'").select("value").mapInArrow(lean(_pairs), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     return fit(got, {r["pair"]: r["n"] for r in pairs})
 
 
@@ -411,4 +411,4 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(span)), pa.array(every, pa.list_(span))], ["doc_id", "base_spans", "spans"])
 
     s = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base_spans {s}, spans {s}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, base_spans {s}, spans {s}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 MASK = (1 << 64) - 1
 #: Bytes and texts of one block; a longer text is a block by itself.
-BLOCK, BLOCK_ROWS = 1 << 20, 1024
+BLOCK, BLOCK_ROWS = 1 << 20, 512
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, MASK, 256, dtype=np.uint64, endpoint=True)
