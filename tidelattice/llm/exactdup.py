@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,10 +101,10 @@ def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     k = bits_set(bits, rows)
     held = docs.sparkSession.sparkContext.broadcast(repeated_filter(digests, bits, k))
 
-    @F.pandas_udf("boolean")
-    def accepted(h: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def accepted(h: pa.Array) -> pa.Array:
         p = positions(h.to_numpy(), bits, k)
-        return pd.Series(((held.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1).all(1))
+        return pa.array(((held.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1).all(1))
 
     sha = F.lower(F.hex("__digest")).alias("text_sha256")
     alone = digests.filter(~accepted(_hash())).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)

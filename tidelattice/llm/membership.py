@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +56,9 @@ def split(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS
     Only two hashes a row go to Python. A join of the first part alone leaves the other rows where they are."""
     held = rows.sparkSession.sparkContext.broadcast(member_filter(ids, column, ids.count(), max_bits))
 
-    @F.pandas_udf("boolean")
-    def member(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(maybe_members(held.value, h1.to_numpy(), h2.to_numpy()))
+    @F.arrow_udf("boolean")
+    def member(h1: pa.Array, h2: pa.Array) -> pa.Array:
+        return pa.array(maybe_members(held.value, h1.to_numpy(), h2.to_numpy()))
 
     found = F.col(column).isNotNull() & member(F.xxhash64(column), F.xxhash64(column, F.lit(1)))
     return rows.filter(found), rows.filter(~found)

@@ -12,7 +12,7 @@ each; ties, rows alike in index, text and id, are in any order. Texts of any len
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +74,9 @@ def _placed(docs: DataFrame, extra: list, shards: int, bits: int) -> DataFrame:
     for c in sorted(set(cuts)):
         size_step = size_step + F.when(F.col("size") > c, 1).otherwise(0)
 
-    @F.pandas_udf("long")
-    def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([a, b, c], 1), bits))
+    @F.arrow_udf("long")
+    def curve(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array(hilbert_index(np.stack([x.to_numpy() for x in (a, b, c)], 1), bits))
 
     index = curve(size_step, _steps(metadata, "lang", bits), _steps(metadata, "source", bits))
     key = ["size", "text_crc32", "__text"]

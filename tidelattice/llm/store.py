@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of one Arrow batch between Spark and a Python worker, unless the session has a smaller number.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
