@@ -27,6 +27,8 @@ class RangeFunction:
     prepare: Callable[[DataFrame], DataFrame] | None = None
     histogram: bool = False
     subquery: bool = True
+    #: further columns from the aggregates, a projection each, so that what is used several times is computed once
+    stages: Callable[[dict], list[dict[str, Column]]] | None = None
 
 
 def _c(name: str) -> Column:
@@ -61,22 +63,28 @@ def _extrapolated(rate: bool, counter: bool) -> RangeFunction:
             out["fix"] = F.sum("__drop") - F.min_by("__drop", TS)
         return out
 
-    def finish(b: dict, a: tuple, c: bool | None) -> Column:
-        span = (_g("t2") - _g("t1")) / 1000.0
-        delta = _g("v2") - _g("v1") + (_g("fix") if counter else 0.0)
-        mean = span / (_g("n") - 1)
-        to_start, to_end = (_g("t1") - b["start"]) / 1000.0, (b["end"] - _g("t2")) / 1000.0
+    def stages(b: dict) -> list[dict[str, Column]]:
+        first = {
+            "span": (_g("t2") - _g("t1")) / 1000.0,
+            "delta": _g("v2") - _g("v1") + (_g("fix") if counter else 0.0),
+            "to_start": (_g("t1") - b["start"]) / 1000.0,
+            "to_end": (b["end"] - _g("t2")) / 1000.0,
+        }
+        second = {"mean": _g("span") / (_g("n") - 1)}
         if counter:  # a counter cannot have been below zero
-            zero = F.when((delta > 0) & (_g("v1") >= 0), span * _g("v1") / F.when(delta != 0, delta))
-            to_start = F.when(zero.isNotNull(), F.least(to_start, zero)).otherwise(to_start)
-        near = mean * 1.1
-        reach = span + F.when(to_start < near, to_start).otherwise(mean / 2) + F.when(to_end < near, to_end).otherwise(mean / 2)
-        got = delta * reach / span
+            zero = F.when((_g("delta") > 0) & (_g("v1") >= 0), _g("span") * _g("v1") / F.when(_g("delta") != 0, _g("delta")))
+            second["to_start"] = F.least(_g("to_start"), zero)  # of those that are not null
+        return [first, second]
+
+    def finish(b: dict, a: tuple, c: bool | None) -> Column:
+        near, half = _g("mean") * 1.1, _g("mean") / 2
+        reach = _g("span") + F.when(_g("to_start") < near, _g("to_start")).otherwise(half) + F.when(_g("to_end") < near, _g("to_end")).otherwise(half)
+        got = _g("delta") * reach / _g("span")
         if rate:
             got = got / b["window"] * 1000.0 if b["window"] else got
         return F.when((_g("n") > 1) & (_g("t2") > _g("t1")), got)
 
-    return RangeFunction(aggregates, finish, previous=counter, keeps_nan=counter, prepare=_drops if counter else None, histogram=True)
+    return RangeFunction(aggregates, finish, previous=counter, keeps_nan=counter, prepare=_drops if counter else None, histogram=True, stages=stages)
 
 
 def _delta_rate() -> RangeFunction:

@@ -144,6 +144,7 @@ class MetricTable:
     schema: str = "gauge"
     columns: Mapping[str, str] = field(default_factory=dict)  # schema column -> table column
     day: str | None = None  # a date column that the files are partitioned by
+    catalogue: DataFrame | None = None  # labels, start_ts and end_ts of parts of the series; questions about series then read no samples
 
     def source(self, column: str) -> str:
         return self.columns.get(column, column)

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from ..model import SCHEMAS, TS, MetricTable, QueryError, Vector
 from ..plans.parser import Matcher
 from .grid import stitch
-from .select import epoch_ms, filtered, raw
+from .select import between, epoch_ms, filtered, in_range, raw
 
 
 @dataclass(frozen=True)
@@ -79,11 +79,9 @@ def downsample(table: MetricTable, resolution: int, start: int | None = None, en
     schema = SCHEMAS[table.schema]
     if not schema.downsamplers:
         raise QueryError(f"schema {schema.name} has no rollup")
-    df = table.df.withColumn(TS, epoch_ms(table.df, table.time))
-    if start is not None:
-        df = df.filter(F.col(TS) > start)
-    if end is not None:
-        df = df.filter(F.col(TS) <= end)
+    # in the column's own type, so that files and row groups are skipped; a period does not hold its start
+    df = in_range(table, (), None if start is None else start + 1, end)
+    df = df.withColumn(TS, epoch_ms(df, table.time))
     df = df.withColumn("period", period(F.col(TS), resolution))
     columns = [F.col(TS), *[F.col(table.source(c.name)) for c in schema.columns]]
     out, hist = [], None
@@ -190,8 +188,7 @@ def delete_series(table: MetricTable, matchers: tuple[Matcher, ...], start: tupl
 
 def copied(source: DataFrame, ts: str, start: int, end: int) -> DataFrame:
     """Rows of a time range, for repair."""
-    at = epoch_ms(source, ts)
-    return source.filter(at.between(start, end))
+    return between(source, ts, start, end)
 
 
 def differences(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -201,7 +198,7 @@ def differences(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def purge(table: MetricTable, now: int, ttl: int) -> DataFrame:
-    return table.df.filter(epoch_ms(table.df, table.time) >= now - ttl)
+    return in_range(table, (), now - ttl, None)
 
 
 def keep_matching(table: MetricTable, matchers: tuple[Matcher, ...]) -> DataFrame:

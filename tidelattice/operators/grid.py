@@ -73,7 +73,10 @@ def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, i
     grouped = rows.groupBy(*v.keys, I).agg(*[c.alias(f"__a_{n}") for n, c in function.aggregates(window, args).items()])
     # bounds of the window, for extrapolation
     t = F.col(I) * at.each + at.start
-    out = function.finish({"start": t - window, "end": t, "window": window}, args, counter)
+    bounds = {"start": t - window, "end": t, "window": window}
+    for stage in function.stages(bounds) if function.stages else ():
+        grouped = grouped.withColumns({f"__a_{n}": c for n, c in stage.items()})
+    out = function.finish(bounds, args, counter)
     result = grouped.select(*v.keys, (t + offset).cast("long").alias(TS), out.cast("double").alias(VALUE))
     return v.with_df(result.filter(F.col(VALUE).isNotNull() & ~F.isnan(VALUE)))
 

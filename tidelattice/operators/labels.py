@@ -23,7 +23,7 @@ def _set(v: Vector, name: str, value) -> Vector:
 
 def label_replace(v: Vector, to: str, replacement: str, source: str, pattern: str) -> Vector:
     """Where the pattern matches the whole source label, set `to` to the replacement ($1 ... are groups; an empty result drops it)."""
-    whole = f"(?s)^(?:{regex(pattern)})$"
+    whole = f"(?s)\\A(?:{regex(pattern)})\\z"
     try:
         groups = re.compile(pattern).groups
     except re.error as e:

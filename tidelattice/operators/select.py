@@ -49,7 +49,7 @@ def matches(label: Column, op: str, value: str) -> Column | None:
         return got if wanted else label.isNull() | ~got
     if p == ".+":
         return matches(label, "!=" if wanted else "=", "")
-    got = F.coalesce(label, F.lit("")).rlike(f"(?s)^(?:{p})$")
+    got = F.coalesce(label, F.lit("")).rlike(f"(?s)\\A(?:{p})\\z")
     return got if wanted else ~got
 
 
@@ -132,9 +132,13 @@ def raw(table: MetricTable, matchers: Iterable[Matcher] = (), start: int | None
 
 def series(table: MetricTable, matchers: Iterable[Matcher] = (), start: int | None = None, end: int | None = None) -> DataFrame:
     """The series alive in the range: labels, first and last sample time."""
-    df = filtered(table.df, table.labels, matchers)
-    rows = df.select(F.lit(table.name).alias(METRIC), *table.labels, epoch_ms(df, table.time).alias(TS))
-    out = rows.groupBy(METRIC, *table.labels).agg(F.min(TS).alias("start_ts"), F.max(TS).alias("end_ts"))
+    if table.catalogue is not None:
+        parts = filtered(table.catalogue, table.labels, matchers).select(F.lit(table.name).alias(METRIC), *table.labels, "start_ts", "end_ts")
+    else:
+        df = filtered(table.df, table.labels, matchers)
+        at = epoch_ms(df, table.time)
+        parts = df.select(F.lit(table.name).alias(METRIC), *table.labels, at.alias("start_ts"), at.alias("end_ts"))
+    out = parts.groupBy(METRIC, *table.labels).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     if start is not None:
         out = out.filter(F.col("end_ts") >= start)
     if end is not None:

@@ -56,7 +56,7 @@ def parse_influx(lines: DataFrame, column: str = "value") -> DataFrame:
     fields = F.map_from_entries(F.transform(F.filter(split_unescaped(F.get(parts, F.lit(1)), ","), lambda x: x.contains("=")), pair))
     numbers = F.map_filter(F.transform_values(fields, lambda k, v: F.regexp_replace(v, "i$", "").try_cast("double")), lambda k, v: v.isNotNull())
     rows = lines.filter((F.size(parts) >= 2) & F.get(parts, F.lit(1)).contains("="))
-    out = rows.select(F.regexp_replace(F.get(head, F.lit(0)), r"\\(.)", "$1").alias("metric"), copy_tags(tags).alias("labels"), numbers.alias("fields"), (F.get(parts, F.lit(2)).try_cast("long") / 1_000_000).cast("long").alias(TS))
+    out = rows.select(F.regexp_replace(F.get(head, F.lit(0)), r"\\(.)", "$1").alias("metric"), copy_tags(tags).alias("labels"), numbers.alias("fields"), F.call_function("div", F.get(parts, F.lit(2)).try_cast("long"), F.lit(1_000_000)).alias(TS))
     return out.filter("size(fields) > 0")
 
 
