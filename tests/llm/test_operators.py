@@ -316,3 +316,131 @@ def test_secrets_without_digits_and_short_ones(spark):
     d = spark.createDataFrame([(1, f"look {key} there"), (2, f"look {short} there"), (3, f"token={long}"), (4, "some ordinary sentence about nothing particular WHATEVER")], "doc_id long, text string")
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secretscan.scan(d, m).collect()}
     assert got == {1: [("format", 5, 45)], 2: [("format", 5, 15)], 3: [("assign", 6, 326)], 4: []}
+
+
+def test_the_mix_meets_its_targets(spark):
+    """Shares of probability times tokens are the targets' in all three marginals where they can be met, and what cannot be met is reported."""
+    rows = []
+    for s in range(4):
+        for lang in range(3):
+            for k in range(40 * (s + 1) + 15 * lang):
+                rows.append((len(rows), " ".join(f"t{k % 4}w{zlib.crc32(f'{len(rows)}-{j}'.encode()) % 30}" for j in range(10 + k % 7)), f"l{lang}", f"s{s}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {f"s{k}": 0.25 for k in range(4)}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}
+    mix = mixing.Mix(docs, share=0.3, targets=targets, topics=4)
+    got = mix.drawn(mix.rows).collect()
+    total = sum(r["__probability"] * r["__tokens"] for r in got)
+    for name, column in (("source", "source"), ("lang", "lang"), ("topic", "__topic")):
+        own = {}
+        for r in got:
+            own[r[column]] = own.get(r[column], 0) + r["__probability"] * r["__tokens"] / total
+        for v, x in own.items():
+            goal = targets[name][v] if name in targets else mix.shares[name][v][0]
+            assert abs(x - goal) <= 0.01 * goal, (name, v, x, goal)
+    # the smallest source cannot be nine tenths of four fifths of all tokens; its share is reported, not met
+    far = mixing.Mix(docs, share=0.8, targets={"source": {"s0": 0.9, "s1": 0.1}})
+    goal, attained = far.shares["source"]["s0"]
+    assert goal == pytest.approx(0.9) and attained < 0.8
+
+
+def test_quality_votes_are_those_of_all_pairs(spark):
+    """The blocked products against a plain loop over references."""
+    texts = [_words(k, 30 + k) + (" ##" * (k % 3)) for k in range(40)]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, quality int")
+    m = quality.train(rows.select("doc_id", "text"), rows.select("doc_id", "quality").filter("doc_id < 30"))
+    got = {r["doc_id"]: r["score"] for r in quality.classify(rows, m).collect()}
+    raw, off = string_bytes(pa.array(texts))
+    x = quality.features(raw, off)
+    for k in range(40):
+        v = (x[k] * m.idf) @ m.axes
+        v = v / np.linalg.norm(v)
+        votes = sorted(((float(v @ r), i) for i, r in enumerate(m.refs)), key=lambda p: (-p[0], p[1]))[: quality.NEIGHBOURS]
+        w = [max(s, 1e-6) ** quality.POWER * m.weights[i] for s, i in votes]
+        assert got[k] == pytest.approx(sum(a * m.labels[i] for a, (_, i) in zip(w, votes, strict=True)) / sum(w), abs=1e-4)
+
+
+def test_language_sets_by_plain_em(spark):
+    """Proportions and the choice of the set against expectation-maximisation in plain loops."""
+    words = {"en": "the and of with that from", "de": "der und die nicht von ist", "fr": "le la les des une dans"}
+    rows = [(k, " ".join(np.random.default_rng(k).choice(w.split(), 20)), lang) for k, (lang, w) in enumerate((lang, w) for lang, w in words.items() for _ in range(15))]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), features=60)
+    text = "the and of with that from " * 12 + "le la les des une dans " * 8
+    c = m.counts(*string_bytes(pa.array([text])))[0].astype(float)
+
+    def em(use):
+        pi = np.array([1.0 / len(use) if k in use else 0.0 for k in range(3)])
+        for _ in range(langid.ROUNDS):
+            new = np.zeros(3)
+            for f, n in enumerate(c):
+                if n:
+                    p = pi * m.prob[:, f]
+                    new += n * p / p.sum()
+            pi = new / new.sum()
+        return pi, sum(n * np.log((pi * m.prob[:, f]).sum()) for f, n in enumerate(c) if n)
+
+    order = np.argsort(-em([0, 1, 2])[0])
+    first = max(range(3), key=lambda k: em([k])[1])
+    order = [first, *[int(k) for k in order if k != first]]
+    best, pi = None, None
+    for size in range(1, 4):
+        p, ll = em(order[:size])
+        bic = -2 * ll + (size - 1) * np.log(c.sum())
+        if best is not None and bic >= best:
+            break
+        best, pi = bic, p
+    top, score = m.predict(c[None, :].astype(np.float32))
+    assert top[0] == int(np.argmax(pi)) and score[0] == pytest.approx(pi.max(), abs=1e-3) and m.langs[top[0]] == "en"
+
+
+def test_line_units_by_a_dictionary(spark):
+    """Lines alone, of any length: what a dictionary of normalised lines in the order of ids would keep."""
+    rng = np.random.default_rng(3)
+    pool = [_words(k, 1 + k % 30) for k in range(40)]
+    rows = [(int(k), "\n".join(pool[j] for j in rng.integers(0, 40, 6))) for k in rng.permutation(50)]
+    got = {r["doc_id"]: r["clean_text"] for r in linededup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), line=1, pieces=False).collect()}
+    seen = set()
+    for k, t in sorted(rows):
+        kept = []
+        for x in t.split("\n"):
+            if x not in seen:
+                kept.append(x)
+            seen.add(x)
+        assert [x for x in got[k].split("\n") if x] == kept
+
+
+def test_repeated_ids_lose_no_links(spark):
+    """Rows of one id with different texts are one document: what either is linked with is in its component."""
+    a, b = _words(31, 60), _words(32, 60)
+    rows = [(5, a), (5, b), (3, a), (9, b), (7, _words(33, 60))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (9, 3, False)]
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_contamination_keeps_items_without_id(spark):
+    items = spark.createDataFrame([(None, "a b c"), (2, "b c d")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x a b c d"), (2, "c d")], "doc_id long, text string")
+    for size in (1 << 20, 1):
+        got = {r["doc_id"]: r for r in decontam.contamination(rows, items, block_bytes=size).collect()}
+        assert got[1]["items"] == [None, "2"] and got[1]["n_hit"] == 4 and got[2]["items"] == []
+
+
+def test_equal_texts_lie_together(spark):
+    """Rows of one text are neighbours in the order of shards, though their sources differ; ties and repeated rows have slots of their own."""
+    rows = [(k, f"text {k % 7}" if k % 3 else _words(k, 5), "en", f"s{k % 5}") for k in range(200)] + [(1, "text 1", "en", "s1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("shard", F.lit("mine"))
+    for limit in (sharding.BROADCAST_GROUPS, 0):
+        sharding_limit, sharding.BROADCAST_GROUPS = sharding.BROADCAST_GROUPS, limit
+        placed = sharding.place(docs, shards=4).collect()
+        sharding.BROADCAST_GROUPS = sharding_limit
+        order = [r["text"] for r in sorted(placed, key=lambda r: (r["shard"], r["slot"]))]
+        assert len(order) == 202 and sorted(placed[0].asDict()) == sorted(["doc_id", "text", "lang", "source", "size", "text_crc32", "curve", "shard", "slot"])
+        runs = [t for i, t in enumerate(order) if i == 0 or order[i - 1] != t]
+        assert len(runs) == len(set(runs))
+
+
+def test_secrets_of_repeated_rows(spark):
+    m = secretscan.fit({}, {})
+    rows = spark.createDataFrame([(1, "token=abcdef1")] * 2 + [(1, None)], "doc_id long, text string")
+    assert sorted(len(r["spans"]) for r in secretscan.scan(rows, m).collect()) == [0, 1, 1]

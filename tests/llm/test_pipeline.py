@@ -43,3 +43,40 @@ def test_stages(spark, tmp_path):
         docs = out
     sizes = [r["count"] for r in docs.groupBy("shard").count().collect()]
     assert max(sizes) - min(sizes) <= 1 and docs.select(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+NEW = ("lang_pred", "lang_score", "__topic", "__tokens", "__row", "__cut", "__sampled", "__own", "row", "shard")
+
+
+def test_stages_on_an_empty_table_with_clashing_names(spark):
+    empty = spark.read.parquet(f"{D}/documents.parquet").limit(0)
+    for c in NEW:
+        empty = empty.withColumn(c, F.lit("mine"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, empty, D)
+        assert out.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == empty.columns)
+
+
+def test_stages_keep_other_columns_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").filter("text is not null")
+    for c in NEW:
+        docs = docs.withColumn(c, F.concat(F.lit("mine"), F.col("doc_id").cast("string")))
+    docs = docs.unionByName(docs.filter("doc_id % 10 = 0"))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, D)
+        docs = spark.createDataFrame(docs.toArrow(), docs.schema)
+        kept = [c for c in NEW if c in docs.columns and not (name == "shard" and c == "shard")]
+        assert len(kept) >= len(NEW) - 1 and docs.filter(F.col("lang_pred") != F.concat(F.lit("mine"), F.col("doc_id").cast("string"))).isEmpty()
+        counts = docs.groupBy("doc_id").count()
+        assert counts.filter("(doc_id % 10 = 0) != (count = 2)").isEmpty()
+    assert "text" in docs.columns and docs.filter("text is null").isEmpty() and docs.count() > 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from tidelattice.llm import store
+
+    start = store.written()
+    out = corpus_pipeline.run(spark, D)
+    left = [p for _, p in store._written[start:] if p]
+    assert out.count() > 0 and set(out.columns) >= {"doc_id", "text", "lang", "source", "shard", "slot"}
+    assert all(p.split("/")[-1].startswith(("shard-", "pipeline-mix-")) for p in left)
