@@ -179,6 +179,28 @@ def test_stretches_change_nothing(spark, query, monkeypatch):
     assert results[0] == results[1] and results[0]
 
 
+MERGED = ["sum_over_time", "avg_over_time", "count_over_time", "min_over_time", "max_over_time"]
+
+
+@pytest.mark.parametrize("window", [60_000, 100_000, 300_000, 530_000, 1_200_000])
+def test_panes_change_nothing(spark, window, monkeypatch):
+    """With panes from one instant on, whatever the window's remainder by the step, and beyond the whole range."""
+    from tidelattice.operators import grid
+
+    monkeypatch.setattr(grid, "FAR", 1)
+    used, plain = [], grid.by_panes
+    monkeypatch.setattr(grid, "by_panes", lambda *a: used.append(1) or plain(*a))
+    for name in MERGED:
+        check(spark, "gauge", "value", f"{name}(m[W])", window, lambda x, ws, we, name=name: VALUES[name]([v for _, v in x]), True)
+    real = lambda x: [(a, b) for (_, a), (_, b) in pairs(x) if a == a and b == b]
+    check(spark, "gauge", "value", "changes(m[W])", window, lambda x, ws, we: float(sum(a != b for a, b in real(x))), True, keep_nan=True)
+    check(spark, "gauge", "value", "last_over_time(m[W])", window, lambda x, ws, we: x[-1][1], True, keep_nan=True)
+    check(spark, "gauge", "value", "delta(m[W])", window, lambda x, ws, we: extrapolate(x, ws, we, False, False), True)
+    for query in COUNTERS:
+        check(spark, "prom-counter", "count", query, window, COUNTERS[query], True, keep_nan=True)
+    assert len(used) >= len(MERGED) + 4
+
+
 def test_open_windows(spark):
     data = [("a", 0, 1.0), ("a", 60_000, 2.0)]
     e = Engine(spark, Config(inclusive_range=False))

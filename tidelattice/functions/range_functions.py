@@ -29,6 +29,8 @@ class RangeFunction:
     subquery: bool = True
     #: further columns from the aggregates, a projection each, so that what is used several times is computed once
     stages: Callable[[dict], list[dict[str, Column]]] | None = None
+    #: how aggregates of parts of a window become those of the window, if they can: from a part's columns by name
+    merges: Callable[[Callable[[str], Column]], dict[str, Column]] | None = None
 
 
 def _c(name: str) -> Column:
@@ -44,9 +46,19 @@ def _simple(make: Callable[[Column], Column], **more) -> RangeFunction:
     return RangeFunction(lambda w, a: {"x": make(_c(VALUE))}, lambda b, a, c: _g("x"), **more)
 
 
+def _merged(make: Callable[[Column], Column], merge: Callable[[Column], Column], **more) -> RangeFunction:
+    return _simple(make, merges=lambda p: {"x": merge(p("x"))}, **more)
+
+
 def _last(stale: bool) -> RangeFunction:
     """The last sample; on raw data a NaN there marks the series as ended and gives nothing."""
-    return RangeFunction(lambda w, a: {"x": F.max_by(VALUE, TS)}, lambda b, a, c: _g("x"), keeps_nan=stale, histogram=True)
+    return RangeFunction(
+        lambda w, a: {"t": F.max(TS), "x": F.max_by(VALUE, TS)},
+        lambda b, a, c: _g("x"),
+        keeps_nan=stale,
+        histogram=True,
+        merges=lambda p: {"t": F.max(p("t")), "x": F.max_by(p("x"), p("t"))},
+    )
 
 
 def _drops(df: DataFrame) -> DataFrame:
@@ -60,13 +72,19 @@ def _extrapolated(rate: bool, counter: bool) -> RangeFunction:
         v = "__v" if counter else VALUE
         out = {"n": F.count("*"), "t1": F.min(TS), "t2": F.max(TS), "v1": F.min_by(v, TS), "v2": F.max_by(v, TS)}
         if counter:
-            out["fix"] = F.sum("__drop") - F.min_by("__drop", TS)
+            out |= {"drops": F.sum("__drop"), "drop1": F.min_by("__drop", TS)}
+        return out
+
+    def merges(p: Callable[[str], Column]) -> dict[str, Column]:
+        out = {"n": F.sum(p("n")), "t1": F.min(p("t1")), "t2": F.max(p("t2")), "v1": F.min_by(p("v1"), p("t1")), "v2": F.max_by(p("v2"), p("t2"))}
+        if counter:
+            out |= {"drops": F.sum(p("drops")), "drop1": F.min_by(p("drop1"), p("t1"))}
         return out
 
     def stages(b: dict) -> list[dict[str, Column]]:
         first = {
             "span": (_g("t2") - _g("t1")) / 1000.0,
-            "delta": _g("v2") - _g("v1") + (_g("fix") if counter else 0.0),
+            "delta": _g("v2") - _g("v1") + (_g("drops") - _g("drop1") if counter else 0.0),
             "to_start": (_g("t1") - b["start"]) / 1000.0,
             "to_end": (b["end"] - _g("t2")) / 1000.0,
         }
@@ -84,11 +102,15 @@ def _extrapolated(rate: bool, counter: bool) -> RangeFunction:
             got = got / b["window"] * 1000.0 if b["window"] else got
         return F.when((_g("n") > 1) & (_g("t2") > _g("t1")), got)
 
-    return RangeFunction(aggregates, finish, previous=counter, keeps_nan=counter, prepare=_drops if counter else None, histogram=True, stages=stages)
+    return RangeFunction(aggregates, finish, previous=counter, keeps_nan=counter, prepare=_drops if counter else None, histogram=True, stages=stages, merges=merges)
 
 
 def _delta_rate() -> RangeFunction:
-    return RangeFunction(lambda w, a: {"x": F.sum(VALUE)}, lambda b, a, c: _g("x") / b["window"] * 1000.0, histogram=True)
+    return RangeFunction(lambda w, a: {"x": F.sum(VALUE)}, lambda b, a, c: _g("x") / b["window"] * 1000.0, histogram=True, merges=lambda p: {"x": F.sum(p("x"))})
+
+
+def _mean() -> RangeFunction:
+    return RangeFunction(lambda w, a: {"s": F.sum(VALUE), "n": F.count(VALUE)}, lambda b, a, c: _g("s") / _g("n"), histogram=True, merges=lambda p: {"s": F.sum(p("s")), "n": F.sum(p("n"))})
 
 
 def _last_two(finish: Callable[[dict], Column], histogram: bool = False) -> RangeFunction:
@@ -123,7 +145,14 @@ def _steps(test: Callable[[Column, Column], Column]) -> RangeFunction:
         real = _c("__pv").isNotNull() & ~F.isnan("__pv") & ~F.isnan(VALUE)
         return df.withColumn("__step", F.when(real & test(_c("__pv"), _c(VALUE)), 1.0).otherwise(0.0))
 
-    return RangeFunction(lambda w, a: {"x": F.sum("__step") - F.min_by("__step", TS)}, lambda b, a, c: _g("x"), previous=True, keeps_nan=True, prepare=prepare)
+    return RangeFunction(
+        lambda w, a: {"t1": F.min(TS), "all": F.sum("__step"), "step1": F.min_by("__step", TS)},
+        lambda b, a, c: _g("all") - _g("step1"),
+        previous=True,
+        keeps_nan=True,
+        prepare=prepare,
+        merges=lambda p: {"t1": F.min(p("t1")), "all": F.sum(p("all")), "step1": F.min_by(p("step1"), p("t1"))},
+    )
 
 
 def _seconds() -> Column:
@@ -209,7 +238,7 @@ RANGE: dict[str, RangeFunction] = {
     "increase": _extrapolated(False, True),
     "delta": _extrapolated(False, False),
     "rate_of_deltas": _delta_rate(),
-    "increase_of_deltas": _simple(F.sum, histogram=True),
+    "increase_of_deltas": _merged(F.sum, F.sum, histogram=True),
     "irate": _last_two(_irate, True),
     # fixed values: milliseconds that a single sample is taken to span
     "irate_of_deltas": _irate_delta(60),
@@ -219,11 +248,11 @@ RANGE: dict[str, RangeFunction] = {
     "predict_linear": _regression(True),
     "resets": _steps(lambda p, v: v < p),
     "changes": _steps(lambda p, v: v != p),
-    "sum_over_time": _simple(F.sum, histogram=True),
-    "avg_over_time": _simple(F.avg, histogram=True),
-    "count_over_time": _simple(lambda v: F.count(v).cast("double")),
-    "min_over_time": _simple(F.min),
-    "max_over_time": _simple(F.max),
+    "sum_over_time": _merged(F.sum, F.sum, histogram=True),
+    "avg_over_time": _mean(),
+    "count_over_time": _merged(lambda v: F.count(v).cast("double"), F.sum),
+    "min_over_time": _merged(F.min, F.min),
+    "max_over_time": _merged(F.max, F.max),
     "stddev_over_time": _simple(F.stddev_pop),
     "stdvar_over_time": _simple(F.var_pop),
     "quantile_over_time": _quantile(),
@@ -231,6 +260,6 @@ RANGE: dict[str, RangeFunction] = {
     "last_over_time_is_mad_outlier": _outlier(),
     "z_score": RangeFunction(lambda w, a: {"last": F.max_by(VALUE, TS), "mean": F.avg(VALUE), "sd": F.stddev_pop(VALUE)}, lambda b, a, c: F.when(_g("sd") != 0, (_g("last") - _g("mean")) / F.when(_g("sd") != 0, _g("sd"))), subquery=False),
     "holt_winters": _holt_winters(),
-    "timestamp": RangeFunction(lambda w, a: {"x": F.max(TS)}, lambda b, a, c: _g("x") / 1000.0),
-    "present_over_time": _simple(lambda v: F.max(F.lit(1.0)), subquery=False),
+    "timestamp": RangeFunction(lambda w, a: {"x": F.max(TS)}, lambda b, a, c: _g("x") / 1000.0, merges=lambda p: {"x": F.max(p("x"))}),
+    "present_over_time": _merged(lambda v: F.max(F.lit(1.0)), F.max, subquery=False),
 }

@@ -2,7 +2,7 @@
 
 A sample at t belongs to the instants in [t, t + window], which is a range of grid indexes: an explode, not a join. The grouping key
 is (series, instant), so a long series is spread over tasks, and sums, extremes and
-counts are combined before the shuffle. Functions that need the preceding sample take it from one window over the series first; over a
+counts are combined before the shuffle. Where a window spans many instants, functions whose parts can be merged go by panes instead of copies. Functions that need the preceding sample take it from one window over the series first; over a
 short range its hash partitioning by series serves the grouping too, so the plan has a single exchange, and over a long
 range series are cut into stretches of time.
 """
@@ -36,6 +36,48 @@ def assign(df: DataFrame, grid: Grid, window: int, inclusive: bool = True) -> Da
     return rows.withColumn(AT, F.col(I) * step + start).drop("__lo", "__hi")
 
 
+#: From so many instants a window on, samples are combined by panes instead of being copied to every instant.
+FAR = 32
+
+
+def far(grid: Grid, reach: int) -> bool:
+    return min(reach // grid.each, grid.n) >= FAR
+
+
+def by_panes(df: DataFrame, keys: tuple[str, ...], grid: Grid, reach: int, function, aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates by series and instant (__i), at a cost that does not grow with window / step.
+
+    A pane is the samples of a series that lie in the same windows: those of instants lo to hi, which are q or q + 1 with q = reach div step.
+    Panes are cut into blocks of q instants by lo. The window of an instant in block b is then a run of panes that begins block b (lo up to
+    the instant) and one that ends block b - 1 (hi from the instant on), so running aggregates in both directions hold all that is needed, and
+    at most two rows meet at an instant. Nothing is subtracted, so extremes work as sums do."""
+    step, q = grid.each, reach // grid.each
+    shift = q + 1  # keeps indexes positive: instant i is i + shift
+    at = f"({TS} - {grid.start - shift * step}L)"
+    rows = df.filter(F.col(TS).between(grid.start - reach, grid.start + (grid.n - 1) * step))
+    rows = rows.withColumns({"__lo": F.expr(f"({at} + {step - 1}L) div {step}L"), "__hi": F.expr(f"({at} + {reach}L) div {step}L")})
+    panes = rows.groupBy(*keys, "__lo", "__hi").agg(*[c.alias(f"__p_{n}") for n, c in aggregates.items()]).withColumn("__block", F.expr(f"__lo div {q}L"))
+    block = Window.partitionBy(*keys, "__block")
+    onward, back = block.orderBy("__lo", "__hi"), block.orderBy(F.desc("__lo"), F.desc("__hi"))
+    first = function.merges(lambda n: F.col(f"__p_{n}"))
+    running = {f"__f_{n}": c.over(onward.rowsBetween(Window.unboundedPreceding, 0)) for n, c in first.items()}
+    running |= {f"__b_{n}": c.over(back.rowsBetween(Window.unboundedPreceding, 0)) for n, c in first.items()}
+    panes = panes.withColumns(running | {"__next": F.lead("__lo").over(onward), "__before": F.lag("__hi").over(onward)})
+    border = (F.col("__block") + 1) * q  # first instant of the next block
+    low, high = F.lit(shift), F.lit(shift + grid.n - 1)
+
+    def instants(a: Column, z: Column, side: int) -> Column:
+        a, z = F.greatest(a, low).cast("long"), F.least(z, high).cast("long")
+        return F.when(a <= z, F.sequence(a * 2 + side, z * 2 + side, F.lit(2).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    begins = instants(F.col("__lo"), F.coalesce(F.col("__next"), border) - 1, 0)
+    ends = instants(F.greatest(F.col("__before") + 1, border), F.col("__hi"), 1)
+    rows = panes.withColumn("__is", F.explode(F.concat(begins, ends)))
+    side = F.col("__is") % 2 == 0
+    parts = rows.select(*keys, F.expr(f"__is div 2L - {shift}L").alias(I), *[F.when(side, F.col(f"__f_{n}")).otherwise(F.col(f"__b_{n}")).alias(f"__p_{n}") for n in first])
+    return parts.groupBy(*keys, I).agg(*[c.alias(f"__a_{n}") for n, c in function.merges(lambda n: F.col(f"__p_{n}")).items()])
+
+
 #: A series is split into stretches of so many windows, where a query covers at least two of them.
 STRETCH = 16
 
@@ -69,8 +111,11 @@ def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, i
         df = with_previous(v.with_df(df), at, window)
     if function.prepare is not None:
         df = function.prepare(df)
-    rows = assign(df, at, window, inclusive)
-    grouped = rows.groupBy(*v.keys, I).agg(*[c.alias(f"__a_{n}") for n, c in function.aggregates(window, args).items()])
+    aggregates, reach = function.aggregates(window, args), window if inclusive else window - 1
+    if function.merges is not None and far(at, reach):
+        grouped = by_panes(df, v.keys, at, reach, function, aggregates)
+    else:
+        grouped = assign(df, at, window, inclusive).groupBy(*v.keys, I).agg(*[c.alias(f"__a_{n}") for n, c in aggregates.items()])
     # bounds of the window, for extrapolation
     t = F.col(I) * at.each + at.start
     bounds = {"start": t - window, "end": t, "window": window}
