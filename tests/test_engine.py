@@ -8,7 +8,7 @@ import pytest
 from tidelattice import model
 from tidelattice.api import Engine
 from tidelattice.functions.instant import fold
-from tidelattice.model import INF, QueryError
+from tidelattice.model import INF, LimitError, QueryError
 
 T = 600_000
 
@@ -160,6 +160,72 @@ def test_response_and_metadata(e):
     assert e.checked(e.query("sum(m)", T)).count() == 1
 
 
+def test_limits(e):
+    e.config = model.Config(enforce=True, join_limit=2, group_limit=1)
+    for text in ("m + on (x, y) m", "m * on (x) group_left (zone) n", "sum by (x) (m)"):
+        with pytest.raises(LimitError):
+            e.query(text, T)
+    assert e.query("sum(m)", T).count() == 1 and e.query('sum by (x) (m{x="b"})', T).count() == 1 and e.query("n + on (x, zone) n", T).count() == 2
+    e.config = model.Config(enforce=True, sample_limit=2)
+    with pytest.raises(LimitError):
+        e.query("m", T)
+    e.config = model.Config(enforce=True, scan_bytes_limit=1)
+    e.register("f", e.spark.read.parquet("/root/testdata/sf0.001/events.parquet"), ["event_type"])
+    with pytest.raises(LimitError, match="bytes"):
+        e.query("f", T)
+    assert model.Config().enforce is False and Engine(e.spark).query("vector(1)", T).count() == 1
+
+
+def test_statistics(e):
+    df, stats = e.with_stats("sum by (x) (m) + on (x) group_left () sum by (x) (n)", T, T, 0)
+    assert df.count() == 2
+    got = stats.figures()
+    assert got["samples_scanned"] == 6 and got["result_samples"] == 2 and got["series_scanned"] == 6 and stats.warnings() == []
+    e.config = model.Config(sample_limit=1)
+    df, stats = e.with_stats("m", T, T, 0)
+    df.collect()
+    assert len(stats.warnings()) == 2
+
+
+def test_one_series_from_two_tables_is_stitched(e):
+    more = [("a", "1", T, 10.0), ("a", "2", T, 21.0), ("d", "1", T, 4.0)]
+    e.register("m", e.spark.createDataFrame(more, "x string, y string, ts long, value double"), ["x", "y"])
+    assert values(e.query("m * m", T), "x", "y") == {("a", "1"): 100.0, ("b", "1"): 900.0, ("d", "1"): 16.0}
+    assert values(e.query("n * on (x) group_right m", T), "x", "y")[("a", "1")] == 20.0
+    with pytest.raises(Exception, match="match one key"):
+        e.query("m + on (x) n", T).collect()
+
+
+def test_own_functions(e):
+    e.function("scaled", lambda v, k, c: v * k + c, 2)
+    assert values(e.query("scaled(sum(m), 2, 1)", T)) == {(): 121.0}
+    for text in ("scaled(m)", "nope(m)", "scaled(1, 2, 3)"):
+        with pytest.raises(QueryError):
+            e.query(text, T)
+    for name in ("abs", "a b"):
+        with pytest.raises(QueryError):
+            e.function(name, lambda v: v)
+
+
+def test_extremes_of_histograms(spark):
+    e = Engine(spark)
+    h = lambda *c: ([1.0, 2.0, INF], [float(x) for x in c])
+    rows = [("a", t, 1.0, 3.0, h(1, 2, 3), lo, hi) for t, lo, hi in ((T - 60_000, 0.1, 9.0), (T, 0.5, 5.0))] + [("b", T, 1.0, 1.0, h(0, 0, 1), 0.2, 3.0)]
+    e.register("h", spark.createDataFrame(rows, "x string, ts long, sum double, count double, h struct<les:array<double>,counts:array<double>>, min double, max double"), ["x"], schema="otel-delta-histogram")
+    one = e.query("sum(h)", T, extremes=True).first()
+    assert (one["max"], one["min"], one["counts"]) == (5.0, 0.2, [1.0, 2.0, 4.0])  # the latest samples
+    one = e.query("sum(sum_over_time(h[5m]))", T, extremes=True).first()
+    assert (one["max"], one["min"], one["counts"]) == (9.0, 0.1, [2.0, 4.0, 7.0])
+    far = [(r["x"], r["ts"], r["max"], r["min"]) for r in e.query_range("sum_over_time(h[5m])", T, T + 300_000, 5_000, extremes=True).collect()]
+    near = [(x, t, 9.0 if x == "a" and t <= T + 240_000 else 5.0 if x == "a" else 3.0, 0.1 if x == "a" and t <= T + 240_000 else 0.5 if x == "a" else 0.2) for x in "ab" for t in range(T, T + 300_001, 5_000)]
+    assert sorted(far) == near  # by panes
+    out = json.loads(e.response(e.query("sum(h)", T), instant=True))
+    assert out["data"]["result"] == [{"metric": {}, "value": [600.0, {"1.0": 1.0, "2.0": 2.0, "+Inf": 4.0}]}]
+    e.register("plain", spark.createDataFrame([("a", T, h(1, 2, 3), 1.0, 1.0)], "x string, ts long, h struct<les:array<double>,counts:array<double>>, sum double, count double"), ["x"], schema="delta-histogram")
+    with pytest.raises(QueryError):
+        e.query("histogram_max_quantile(0.9, plain)", T)
+
+
 def test_label_maps_become_columns(spark):
     e = Engine(spark)
     rows = [("p", {"a": "1"}, T, 1.0), ("p", {"b": "2"}, T, 2.0), ("q", {}, T, 3.0)]

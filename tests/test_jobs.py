@@ -8,7 +8,7 @@ from tidelattice.model import MetricTable, QueryError
 from tidelattice.operators import downsample as ds
 from tidelattice.operators import metadata
 from tidelattice.operators.grid import stitch
-from tidelattice.operators.select import drop_out_of_order, raw
+from tidelattice.operators.select import FilterMap, drop_out_of_order, raw
 from tidelattice.plans.parser import Matcher
 from tidelattice.sources import readers, synthetic
 from tidelattice.streaming import ingest
@@ -151,6 +151,46 @@ def test_metadata(gauge):
     assert metadata.churn(gauge, "_metric_", ["s"], 41).first()["distinct_values"] == 2
 
 
+def test_quota_tree_and_publish_interval(spark):
+    rows = [("w", "n1", "a"), ("w", "n1", "b"), ("w", "n2", "c"), ("v", "n1", "d"), ("v", "n1", "d")]
+    df = spark.createDataFrame([(*r, 1, 1.0) for r in rows], "ws string, ns string, host string, ts long, value double")
+    table = MetricTable("m", df, ("ws", "ns", "host"), "ts")
+    tree = metadata.quota_tree(table, ["ws", "ns"], {("w",): 1, (): 2}, 5)
+    got = {(r["depth"], r["ws"], r["ns"]): (r["series"], r["children"], r["quota"], r["breached"]) for r in tree.collect()}
+    assert got == {(0, None, None): (4, 2, 2, False), (1, "w", None): (3, 2, 1, True), (1, "v", None): (1, 1, 5, False), (2, "w", "n1"): (2, 2, 5, False), (2, "w", "n2"): (1, 1, 5, False), (2, "v", "n1"): (1, 1, 5, False)}
+    with pytest.raises(QueryError, match="quota"):
+        metadata.enforce_quotas(tree)
+    assert metadata.enforce_quotas(tree.filter("depth <> 1")).count() == 4
+    none = metadata.quota_tree(MetricTable("m", df.limit(0), ("ws", "ns", "host"), "ts"), ["ws"])
+    assert [(r["series"], r["children"]) for r in none.collect()] == [(0, 0)]
+    steps = spark.createDataFrame([("30",), ("x",), (None,)], "_pi_ string")
+    assert [r["publish_ms"] for r in metadata.publish_interval(steps).collect()] == [30_000, None, None]
+    assert metadata.publish_interval(df).first()["publish_ms"] is None
+
+
+def test_filter_map(spark):
+    rules = [([Matcher("a", "=", "1"), Matcher("b", "=~", "x.*")], "one"), ([Matcher("a", "=", "1")], "two"), ([Matcher("c", "!=", "q")], "three")]
+    m = FilterMap(rules)
+    df = spark.createDataFrame([("1", "xy", None), ("1", "y", None), ("2", None, "z"), ("2", "x", "q"), (None, None, None)], "a string, b string, c string")
+    want = ["one", "two", "three", None, None]
+    assert [r[0] for r in df.select(m.column(df.columns)).collect()] == want
+    assert [m.get({k: v for k, v in r.asDict().items() if v is not None}) for r in df.collect()] == want
+    assert [r[0] for r in df.select(m.column(["b"])).collect()] == [None] * 5
+
+
+def test_sessions(spark):
+    rows = [("a", 0, 1.0), ("a", 50, 2.0), ("a", 200, 4.0), ("b", 10, 8.0)]
+    df = spark.createDataFrame(rows, "s string, at long, v double").withColumn("t", F.timestamp_seconds("at"))
+    want = {("a", 0, 110_000, 3.0, 2), ("a", 200_000, 260_000, 4.0, 1), ("b", 10_000, 70_000, 8.0, 1)}
+    assert {tuple(r) for r in ingest.sessions(df, "t", "60 seconds", None, ["s"], "v").collect()} == want
+
+
+def test_exponential_generator(spark):
+    df = synthetic.exponential_histograms(spark, 2, 3, 1, -2, 4)
+    r = df.orderBy("instance", "ts").first()
+    assert df.count() == 6 and r["h"]["les"][0] == 0.0 and r["h"]["les"][-1] == pytest.approx(2.0) and r["h"]["counts"] == sorted(r["h"]["counts"])
+
+
 def test_computed_columns(spark):
     df = spark.createDataFrame([(-17, "hello", 12.7, 90_061_000, None)], "i long, s string, d double, ms long, n string")
     f = lambda x: df.select(computed(df, x)).first()[0]
@@ -180,4 +220,8 @@ def test_store(spark, tmp_path, capsys):
     main([str(tmp_path), "list"])
     main([str(tmp_path), "query", "m", "--start", "6"])
     main([str(tmp_path), "cardinality", "s", "m", "--start", "6"])
-    assert "0.0" in capsys.readouterr().out
+    main([str(tmp_path), "indexnames"])
+    main([str(tmp_path), "indexvalues", "s", "m"])
+    main([str(tmp_path), "stats", "sum_over_time(m[1d])", "--start", "6"])
+    out = capsys.readouterr().out
+    assert "0.0" in out and "samples_scanned: 1" in out

@@ -13,7 +13,8 @@ from tidelattice.sources import store
 D = "/root/testdata/sf0.001"
 NAMES = """parse_precedence parse_numbers parse_comments_and_case parse_strings parse_durations parse_step_durations parse_set_precedence validation
  select_regex_newline source_csv source_influx source_influx_histogram source_remote_write source_records placement_hash series_table store_samples store_series
- store_label_values response_json irate_of_deltas irate_histogram holt_winters histogram_max_quantile histogram_max_quantile_even downsample_counter downsample_histogram""".split()
+ store_label_values response_json irate_of_deltas irate_histogram holt_winters histogram_max_quantile histogram_max_quantile_even downsample_counter downsample_histogram
+ limits query_statistics join_stitched histogram_sum_extremes own_function filter_map quota_tree publish_interval session_windows""".split()
 
 
 @pytest.fixture(scope="module")

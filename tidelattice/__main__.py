@@ -14,7 +14,7 @@ from .operators import metadata
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tidelattice", description=__doc__)
     p.add_argument("store", help="folder that sources.store has written")
-    p.add_argument("command", choices=["query", "explain", "list", "labels", "labelvalues", "series", "labelcardinality", "cardinality"])
+    p.add_argument("command", choices=["query", "explain", "list", "labels", "labelvalues", "series", "labelcardinality", "cardinality", "indexnames", "indexvalues", "stats"])
     p.add_argument("what", nargs="*", help="a query; a selector; or labels and a selector")
     p.add_argument("--start", type=int, default=int(time.time() * 1000))
     p.add_argument("--end", type=int)
@@ -36,6 +36,17 @@ def main(args: list[str] | None = None) -> None:
             out = e.query(a.what[0], a.start) if end == a.start else e.query_range(a.what[0], a.start, end, a.step)
         case "labels":
             out = e.labels(a.what[0])
+        case "indexnames":
+            print("\n".join(sorted({x for ts in e.tables.values() for t in ts for x in t.labels})))
+            return
+        case "indexvalues":
+            table, matchers = e._selected(a.what[1])
+            out = metadata.value_frequencies(table, a.what[0], a.limit, matchers)
+        case "stats":
+            df, stats = e.with_stats(a.what[0], a.start, end, a.step if end > a.start else 0)
+            df.write.format("noop").mode("overwrite").save()
+            print("\n".join([f"{k}: {v}" for k, v in stats.figures().items()] + stats.warnings()))
+            return
         case "labelvalues":
             out = e.label_values(a.what[:-1], a.what[-1])
         case "series":

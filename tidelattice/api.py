@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import SCHEMAS, TS, VALUE, Config, Grid, MetricTable, QueryError, Vector, expand_labels, validate_schemas
+from .model import INF, SCHEMAS, TS, VALUE, Config, Grid, LimitError, MetricTable, QueryError, Vector, expand_labels, validate_schemas
+from .limits import Stats, enforce
 from .operators import metadata
 from .operators.histogram import collect
 from .plans.compile import Compiler, Scalar
-from .plans.parser import Matcher, Node, Selector, parse, show
+from .plans.parser import FUNCTIONS, Matcher, Node, Selector, parse, show
 from .plans.rewrite import AggregationRule
 
 
@@ -24,6 +25,7 @@ class Engine:
         self.spark, self.config = spark, config or Config()
         self.tables: dict[str, list[MetricTable]] = {}
         self.rules: list[AggregationRule] = []
+        self.functions: dict[str, tuple[str, Callable[..., Column]]] = {}
         if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -57,30 +59,47 @@ class Engine:
         """`aggregated` holds `metric` summed to the kept labels; used within optimize_with_agg()."""
         self.rules.append(AggregationRule(metric, aggregated, frozenset(kept)))
 
-    def compiler(self) -> Compiler:
-        return Compiler(self.spark, self.tables, self.config, self.rules)
+    def function(self, name: str, of: Callable[..., Column], numbers: int = 0) -> None:
+        """A pointwise function for queries: of(value column, one column for each number) gives a column. Built-in names cannot be taken."""
+        name = name.lower()
+        if name in FUNCTIONS or not name.isidentifier():
+            raise QueryError(f"{name} is built in, or no name")
+        self.functions[name] = ("v" + "s" * numbers, of)
+
+    def compiler(self, extremes: bool = False, stats: Stats | None = None) -> Compiler:
+        return Compiler(self.spark, self.tables, self.config, self.rules, {n: f for n, (_, f) in self.functions.items()}, extremes, stats)
 
     def parse(self, text: str) -> Node:
-        return parse(text, self.config)
+        return parse(text, self.config, {n: kinds for n, (kinds, _) in self.functions.items()})
 
-    def evaluate(self, text: str | Node, start: int, step: int, end: int) -> Vector | Scalar:
+    def evaluate(self, text: str | Node, start: int, step: int, end: int, compiler: Compiler | None = None) -> Vector | Scalar:
         if step and step < self.config.min_step_ms:
             raise QueryError(f"the step is at least {self.config.min_step_ms} ms")
         node = self.parse(text) if isinstance(text, str) else text
-        return self.compiler().run(node, Grid(start, step, end))
+        return (compiler or self.compiler()).run(node, Grid(start, step, end))
+
+    def _answer(self, text: str | Node, start: int, step: int, end: int, extremes: bool, stats: Stats | None = None) -> DataFrame:
+        compiler = self.compiler(extremes, stats)
+        df = self._rows(self.evaluate(text, start, step, end, compiler), Grid(start, step, end))
+        return enforce(df, compiler.probes, self.config) if self.config.enforce and stats is None else df
 
-    def query_range(self, text: str | Node, start: int, end: int, step: int) -> DataFrame:
-        """Results at start, start + step, ... end (epoch ms)."""
-        return self._rows(self.evaluate(text, start, step, end), Grid(start, step, end))
+    def query_range(self, text: str | Node, start: int, end: int, step: int, extremes: bool = False) -> DataFrame:
+        """Results at start, start + step, ... end (epoch ms). extremes: histograms come with the columns max and min, where their schema has them."""
+        return self._answer(text, start, step, end, extremes)
 
-    def query(self, text: str | Node, time: int) -> DataFrame:
+    def query(self, text: str | Node, time: int, extremes: bool = False) -> DataFrame:
         """Results at one instant; a range selector or subquery gives its samples."""
-        return self._rows(self.evaluate(text, time, 0, time), Grid(time, 0, time))
+        return self._answer(text, time, 0, time, extremes)
+
+    def with_stats(self, text: str | Node, start: int, end: int, step: int) -> tuple[DataFrame, Stats]:
+        """The result and its figures, which are there after an action on it. Limits are reported as warnings, not enforced."""
+        stats = Stats(self.config)
+        return stats.returning(self._answer(text, start, step, end, False, stats)), stats
 
     def checked(self, df: DataFrame) -> DataFrame:
         """The result, or an error if it has more rows than a client should get. This runs the query up to the limit."""
         if df.limit(self.config.sample_limit + 1).count() > self.config.sample_limit:
-            raise QueryError(f"the result has more than {self.config.sample_limit} samples")
+            raise LimitError(f"the result has more than {self.config.sample_limit} samples")
         return df
 
     def _rows(self, got: Vector | Scalar, grid: Grid) -> DataFrame:
@@ -125,11 +144,16 @@ class Engine:
         return v.df
 
     def response(self, df: DataFrame, instant: bool = False) -> str:
-        """A result as JSON: NaN left out, times in seconds. For results that a client can hold; rows are streamed."""
-        labels = [c for c in df.columns if c not in (TS, VALUE)]
+        """A result as JSON: NaN left out, times in seconds; a histogram is an object of counts by bound. For results that a client can hold; rows are streamed."""
+        histogram = "counts" in df.columns
+        labels = [c for c in df.columns if c not in (TS, VALUE, "les", "counts", "max", "min")] if histogram else [c for c in df.columns if c not in (TS, VALUE)]
         series: dict[tuple, list] = {}
         for r in df.orderBy(*labels, TS).toLocalIterator():
-            if r[VALUE] == r[VALUE]:
+            if histogram:
+                if r["les"]:
+                    counts = {"+Inf" if le == INF else repr(le): n for le, n in zip(r["les"], r["counts"], strict=True)}
+                    series.setdefault(tuple(r[c] for c in labels), []).append([r[TS] / 1000, counts])
+            elif r[VALUE] == r[VALUE]:
                 series.setdefault(tuple(r[c] for c in labels), []).append([r[TS] / 1000, repr(r[VALUE])])
         out = [{"metric": {c: v for c, v in zip(labels, k, strict=True) if v is not None}, **({"value": s[-1]} if instant else {"values": s})} for k, s in series.items()]
         return json.dumps({"status": "success", "data": {"resultType": "vector" if instant else "matrix", "result": out}})

@@ -31,6 +31,8 @@ class RangeFunction:
     stages: Callable[[dict], list[dict[str, Column]]] | None = None
     #: how aggregates of parts of a window become those of the window, if they can: from a part's columns by name
     merges: Callable[[Callable[[str], Column]], dict[str, Column]] | None = None
+    #: takes the latest sample only; its aggregates then have that one's time as t
+    latest: bool = False
 
 
 def _c(name: str) -> Column:
@@ -58,6 +60,7 @@ def _last(stale: bool) -> RangeFunction:
         keeps_nan=stale,
         histogram=True,
         merges=lambda p: {"t": F.max(p("t")), "x": F.max_by(p("x"), p("t"))},
+        latest=True,
     )
 
 

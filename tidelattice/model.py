@@ -35,6 +35,10 @@ class QueryError(ValueError):
     """A query that is malformed or not allowed."""
 
 
+class LimitError(QueryError):
+    """A query that goes beyond a limit of the settings."""
+
+
 @dataclass(frozen=True)
 class ColumnDef:
     name: str
@@ -130,6 +134,11 @@ class Config:
     regex_limit: int = 1_000
     regex_or_limit: int = 10_000
     count_values_limit: int = 1_000
+    join_limit: int = 25_000
+    group_limit: int = 1_000
+    scan_bytes_limit: int | None = None
+    #: whether queries are refused beyond sample, join, group and byte limits; that needs jobs before the result
+    enforce: bool = False
     subquery_step_ms: int = 60_000
 
 
@@ -152,7 +161,7 @@ class MetricTable:
 
 @dataclass(frozen=True)
 class Vector:
-    """Rows (labels..., ts, value); for histograms one row per bucket, its upper bound in __le."""
+    """Rows (labels..., ts, value); for histograms one row per bucket, its upper bound in __le, and the histogram's extremes in __max and __min if they were asked for."""
 
     df: DataFrame
     labels: tuple[str, ...]
@@ -163,6 +172,10 @@ class Vector:
     def keys(self) -> tuple[str, ...]:
         return (*self.labels, "__le") if self.histogram else self.labels
 
+    @property
+    def extremes(self) -> tuple[str, ...]:
+        return tuple(c for c in ("__max", "__min") if self.histogram and c in self.df.columns)
+
     def with_df(self, df: DataFrame) -> Vector:
         return Vector(df, self.labels, self.histogram, self.exponential)
 

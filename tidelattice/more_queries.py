@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Engine
-from .model import INF, TS, QueryError
+from .model import INF, TS, Config, LimitError, QueryError
 from .operators import downsample as ds
-from .operators.select import raw
+from .operators import metadata
+from .operators.select import FilterMap, raw
+from .plans.parser import Matcher
 from .queries import _DELTA, _EV, _HIST, _HW, _K, _P, _RESETS, _SER, DAY, END, LES, START, W3, _g, _over, _r, _table, _win, add, engine, read, rounded
 from .sources import readers
 from .sources.readers import series_table
+from .streaming import ingest
 
 # syntax: what the text means is checked by the values that come out
 _ONE = f"WITH {_g()} SELECT ts, "
@@ -217,3 +220,78 @@ def _hist(spark: SparkSession, d: str) -> DataFrame:
 
 _CELLS = ", ".join(f"(count(*) FILTER (value <= {'1e999' if x == INF else x}))::DOUBLE AS b{k}" for k, x in enumerate(LES))
 add("downsample_histogram", _hist, f"SELECT event_type, {_P} AS period, {_CELLS} FROM (SELECT event_type, value, (epoch_us(date_trunc('hour', ts)) // 1000) AS t FROM events) GROUP BY ALL")
+
+
+# limits, figures, maps and quotas
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    """Which queries go beyond their limits: 5 event types, more users."""
+    rows = []
+    for k, (text, limits) in enumerate(_LIMITED):
+        e = engine(spark, d)
+        e.config = Config(enforce=True, **limits)
+        try:
+            e.query_range(text, START, START + DAY, DAY)
+            rows.append((k, False))
+        except LimitError:
+            rows.append((k, True))
+    return spark.createDataFrame(rows, "k int, refused boolean")
+
+
+_SUMS = "sum by (event_type) (sum_over_time(events_value[1d]))"
+_LIMITED = [(_SUMS, {"group_limit": 5}), (_SUMS, {"group_limit": 4}), (f"{_SUMS} + {_SUMS}", {"join_limit": 5}), (f"{_SUMS} + {_SUMS}", {"join_limit": 4}), (_SUMS, {"sample_limit": 10}), (_SUMS, {"sample_limit": 9}), (_SUMS, {"scan_bytes_limit": 1})]
+_PAIRS = f"{_EV}, {_g(START, START + DAY)}, {_win(DAY)}, c AS (SELECT count(DISTINCT event_type) AS kinds, count(DISTINCT (event_type, ts)) AS n FROM w)"
+add("limits", _limited, f"WITH {_PAIRS} SELECT k::INTEGER AS k, refused FROM (SELECT unnest([struct_pack(k := 0, refused := kinds > 5), struct_pack(k := 1, refused := kinds > 4), struct_pack(k := 2, refused := kinds > 5), struct_pack(k := 3, refused := kinds > 4), struct_pack(k := 4, refused := n > 10), struct_pack(k := 5, refused := n > 9), struct_pack(k := 6, refused := true)], recursive := true) FROM c)")
+
+
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    df, stats = engine(spark, d).with_stats(_SUMS, START, START + DAY, DAY)
+    df.write.format("noop").mode("overwrite").save()
+    got = stats.figures()
+    return spark.createDataFrame([(got["samples_scanned"], got["result_samples"])], "samples_scanned long, result_samples long")
+
+
+add("query_statistics", _figures, f"WITH {_PAIRS} SELECT (SELECT count(*) FROM s WHERE t BETWEEN {START - DAY} AND {START + DAY}) AS samples_scanned, n AS result_samples FROM c")
+
+
+def _two_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A metric whose samples lie in two tables, some in both: one series at an instant, stitched in a join."""
+    e = Engine(spark)
+    users = _daily(spark, d)
+    e.register("m", users.filter("n % 3 <> 0"), ["user_id"])
+    e.register("m", users.filter("n % 3 <> 1").withColumn("value", F.col("value") + F.when(F.col("n") % 2 == 0, 1).otherwise(0)), ["user_id"])
+    return rounded(e.query_range("sum_over_time(m[1h]) + sum_over_time(m[1h])", START, END, DAY))
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    day = F.unix_millis(F.date_trunc("day", F.col("ts").cast("timestamp")))
+    return read(spark, d, "events").groupBy("user_id", day.alias("ts")).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("n"))
+
+
+_DAILY = "u AS (SELECT CAST(user_id AS VARCHAR) AS user_id, (epoch_us(date_trunc('day', ts)) // 1000) AS ts, count(*) AS n FROM events GROUP BY ALL)"
+add("join_stitched", _two_tables, f"""WITH {_DAILY}, p AS (SELECT user_id, ts, n::DOUBLE AS v FROM u WHERE n % 3 <> 0 UNION ALL SELECT user_id, ts, n + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END FROM u WHERE n % 3 <> 1)
+ SELECT user_id, ts, {_r('2 * min(v)')} FROM p WHERE ts BETWEEN {START} AND {END} GROUP BY user_id, ts HAVING min(v) = max(v)""")
+add("histogram_sum_extremes", lambda spark, d: engine(spark, d).query_range("sum(sum_over_time(latency[1d]))", START, END, DAY, extremes=True).select("ts", F.round("max", 5).alias("max"), F.round("min", 5).alias("min"), F.element_at("counts", -1).alias("n")), f"WITH h AS (SELECT (epoch_us(date_trunc('hour', ts)) // 1000) AS t, value FROM events), {_g()} SELECT ts, round(max(value), 5) AS max, round(min(value), 5) AS min, count(*)::DOUBLE AS n FROM h JOIN g ON t BETWEEN ts - {DAY} AND ts GROUP BY ts")
+
+
+def _own(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d)
+    e.function("scaled", lambda v, k, c: v * k + c, 2)
+    return rounded(e.query_range(f"scaled({_SUMS}, 2, 1)", START, END, DAY))
+
+
+add("own_function", _own, _over(_EV, "event_type", "2 * sum(v) + 1", DAY))
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    rules = FilterMap([([Matcher("event_type", "=", "click"), Matcher("user_id", "=~", "1.*")], "8"), ([Matcher("event_type", "=~", "click|view")], "4"), ([Matcher("user_id", "!=", "7")], "2")])
+    t = _table(spark, d)
+    return t.df.select("event_type", "user_id", rules.column(t.labels).alias("spread")).distinct()
+
+
+add("filter_map", _mapped, "SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'click' AND user_id::VARCHAR LIKE '1%' THEN '8' WHEN event_type IN ('click', 'view') THEN '4' WHEN user_id <> 7 THEN '2' END AS spread FROM events")
+add("quota_tree", lambda spark, d: metadata.quota_tree(_table(spark, d), ["event_type"], {("click",): 10, (): 4}, 1000), f"""WITH {_SER}, a AS (SELECT event_type, count(*) AS n FROM ser GROUP BY 1),
+ l AS (SELECT 1 AS depth, event_type, n AS series, n AS children, CASE event_type WHEN 'click' THEN 10 ELSE 1000 END::BIGINT AS quota FROM a UNION ALL SELECT 0, NULL, sum(n)::BIGINT, count(*), 4 FROM a) SELECT *, children > quota AS breached FROM l""")
+add("publish_interval", lambda spark, d: metadata.publish_interval(_table(spark, d).df, "user_id").select("user_id", "publish_ms").distinct(), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, user_id::BIGINT * 1000 AS publish_ms FROM events")
+add("session_windows", lambda spark, d: ingest.sessions(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", None, ["event_type"], "value").select("event_type", "start_ts", "end_ts", "n", F.round("sum", 4).alias("sum")), """WITH o AS (SELECT event_type, ts, value, CASE WHEN ts - lag(ts) OVER k < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW k AS (PARTITION BY event_type ORDER BY ts)),
+ x AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM o)
+ SELECT event_type, epoch_us(min(ts)) // 1000 AS start_ts, epoch_us(max(ts) + INTERVAL 6 HOUR) // 1000 AS end_ts, count(*) AS n, round(sum(value), 4) AS sum FROM x GROUP BY event_type, k""")

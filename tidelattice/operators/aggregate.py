@@ -44,7 +44,8 @@ def aggregate(v: Vector, op: str, by: tuple[str, ...] | None = None, without: tu
         if op == "count":  # histograms, not buckets
             top = v.df.groupBy(*v.labels, TS).agg(F.max(VALUE).alias(VALUE))
             return Vector(top.groupBy(*keys, TS).agg(F.count(VALUE).cast("double").alias(VALUE)), keys)
-        return Vector(monotonic(v.df.groupBy(*keys, "__le", TS).agg(F.sum(VALUE).alias(VALUE)), keys), keys, True, v.exponential)
+        more = [(F.max if c == "__max" else F.min)(c).alias(c) for c in v.extremes]
+        return Vector(monotonic(v.df.groupBy(*keys, "__le", TS).agg(F.sum(VALUE).alias(VALUE), *more), keys), keys, True, v.exponential)
     df = v.df.filter(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
     if op in SIMPLE:
         return Vector(df.groupBy(*keys, TS).agg(SIMPLE[op](F.col(VALUE)).alias(VALUE)), keys)

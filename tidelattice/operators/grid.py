@@ -9,6 +9,8 @@ range series are cut into stretches of time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -44,7 +46,7 @@ def far(grid: Grid, reach: int) -> bool:
     return min(reach // grid.each, grid.n) >= FAR
 
 
-def by_panes(df: DataFrame, keys: tuple[str, ...], grid: Grid, reach: int, function, aggregates: dict[str, Column]) -> DataFrame:
+def by_panes(df: DataFrame, keys: tuple[str, ...], grid: Grid, reach: int, merges: Callable, aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates by series and instant (__i), at a cost that does not grow with window / step.
 
     A pane is the samples of a series that lie in the same windows: those of instants lo to hi, which are q or q + 1 with q = reach div step.
@@ -59,7 +61,7 @@ def by_panes(df: DataFrame, keys: tuple[str, ...], grid: Grid, reach: int, funct
     panes = rows.groupBy(*keys, "__lo", "__hi").agg(*[c.alias(f"__p_{n}") for n, c in aggregates.items()]).withColumn("__block", F.expr(f"__lo div {q}L"))
     block = Window.partitionBy(*keys, "__block")
     onward, back = block.orderBy("__lo", "__hi"), block.orderBy(F.desc("__lo"), F.desc("__hi"))
-    first = function.merges(lambda n: F.col(f"__p_{n}"))
+    first = merges(lambda n: F.col(f"__p_{n}"))
     running = {f"__f_{n}": c.over(onward.rowsBetween(Window.unboundedPreceding, 0)) for n, c in first.items()}
     running |= {f"__b_{n}": c.over(back.rowsBetween(Window.unboundedPreceding, 0)) for n, c in first.items()}
     panes = panes.withColumns(running | {"__next": F.lead("__lo").over(onward), "__before": F.lag("__hi").over(onward)})
@@ -75,7 +77,7 @@ def by_panes(df: DataFrame, keys: tuple[str, ...], grid: Grid, reach: int, funct
     rows = panes.withColumn("__is", F.explode(F.concat(begins, ends)))
     side = F.col("__is") % 2 == 0
     parts = rows.select(*keys, F.expr(f"__is div 2L - {shift}L").alias(I), *[F.when(side, F.col(f"__f_{n}")).otherwise(F.col(f"__b_{n}")).alias(f"__p_{n}") for n in first])
-    return parts.groupBy(*keys, I).agg(*[c.alias(f"__a_{n}") for n, c in function.merges(lambda n: F.col(f"__p_{n}")).items()])
+    return parts.groupBy(*keys, I).agg(*[c.alias(f"__a_{n}") for n, c in first.items()])
 
 
 #: A series is split into stretches of so many windows, where a query covers at least two of them.
@@ -101,6 +103,15 @@ def with_previous(v: Vector, grid: Grid, window: int) -> DataFrame:
     return df.filter("__own = __stretch").drop("__own", "__stretch") if split else df
 
 
+def extremes_over(v: Vector, part: Callable[[str], Column], latest: bool, at: str) -> dict[str, Column]:
+    """The largest and least observation of a window's histograms, or those of the latest one."""
+    out = {}
+    for c in v.extremes:
+        x = F.nanvl(part(c), F.lit(None).cast("double"))
+        out[c] = F.max_by(x, part(at)) if latest else (F.max if c == "__max" else F.min)(x)
+    return out
+
+
 def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, inclusive: bool = True, args: tuple[float, ...] = (), counter: bool | None = None) -> Vector:
     """Apply a range function (functions.range_functions.RangeFunction) over the look-back window of every instant.
 
@@ -112,8 +123,13 @@ def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, i
     if function.prepare is not None:
         df = function.prepare(df)
     aggregates, reach = function.aggregates(window, args), window if inclusive else window - 1
-    if function.merges is not None and far(at, reach):
-        grouped = by_panes(df, v.keys, at, reach, function, aggregates)
+    merges = function.merges
+    if v.extremes:
+        aggregates = aggregates | extremes_over(v, F.col, function.latest, TS)
+        if merges is not None:
+            merges = lambda p: function.merges(p) | extremes_over(v, p, function.latest, "t")
+    if merges is not None and far(at, reach):
+        grouped = by_panes(df, v.keys, at, reach, merges, aggregates)
     else:
         grouped = assign(df, at, window, inclusive).groupBy(*v.keys, I).agg(*[c.alias(f"__a_{n}") for n, c in aggregates.items()])
     # bounds of the window, for extrapolation
@@ -122,14 +138,14 @@ def resample(v: Vector, grid: Grid, window: int, function, *, offset: int = 0, i
     for stage in function.stages(bounds) if function.stages else ():
         grouped = grouped.withColumns({f"__a_{n}": c for n, c in stage.items()})
     out = function.finish(bounds, args, counter)
-    result = grouped.select(*v.keys, (t + offset).cast("long").alias(TS), out.cast("double").alias(VALUE))
+    result = grouped.select(*v.keys, (t + offset).cast("long").alias(TS), out.cast("double").alias(VALUE), *[F.col(f"__a_{c}").alias(c) for c in v.extremes])
     return v.with_df(result.filter(F.col(VALUE).isNotNull() & ~F.isnan(VALUE)))
 
 
 def repeat(v: Vector, grid: Grid) -> Vector:
     """A single instant's values at every instant of the grid."""
     times = F.explode(F.sequence(F.lit(grid.start), F.lit(grid.end), F.lit(grid.each)))
-    return v.with_df(v.df.drop(TS).withColumn(TS, times).select(*v.keys, TS, VALUE))
+    return v.with_df(v.df.drop(TS).withColumn(TS, times).select(*v.keys, TS, VALUE, *v.extremes))
 
 
 def stitch(parts: list[Vector], equal_within: float | None = None) -> Vector:

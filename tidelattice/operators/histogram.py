@@ -30,7 +30,8 @@ def buckets(v: Vector) -> tuple[DataFrame, tuple[str, ...]]:
     else:
         raise QueryError("a histogram function needs a histogram or an le label")
     pair = F.struct(F.col("__le").alias("le"), F.coalesce(F.nanvl(VALUE, F.lit(None).cast("double")), double(-INF)).alias("v"))
-    grouped = df.groupBy(*labels, TS).agg(F.array_sort(F.collect_list(pair)).alias("b"))
+    more = [(F.max if c == "__max" else F.min)(c).alias(c) for c in v.extremes]
+    grouped = df.groupBy(*labels, TS).agg(F.array_sort(F.collect_list(pair)).alias("b"), *more)
     return grouped.withColumn("b", rising(F.col("b"))), labels
 
 
@@ -77,10 +78,12 @@ def histogram_quantile(q: float, v: Vector) -> Vector:
     return _result(df, labels, quantile_of(F.col("b"), double(q), v.exponential, need_inf=not v.histogram))
 
 
-def histogram_max_quantile(q: float, v: Vector, maxima: Vector, even: bool = False) -> Vector:
-    """maxima: the largest observation of each histogram, as bound of its last bucket."""
+def histogram_max_quantile(q: float, v: Vector, even: bool = False) -> Vector:
+    """The largest observation of each histogram, read with it, bounds the bucket it lies in."""
+    if "__max" not in v.extremes:
+        raise QueryError("this quantile needs histograms with a column max")
     df, labels = buckets(v)
-    df = df.join(maxima.df.select(*[F.col(x) for x in maxima.labels], TS, F.col(VALUE).alias("__max")), [*[x for x in labels if x in maxima.labels], TS])
+    df = df.filter(F.col("__max").isNotNull())
     return _result(df, labels, quantile_of(F.col("b"), double(q), v.exponential, F.col("__max"), even=even))
 
 
@@ -136,6 +139,6 @@ def to_le_series(v: Vector) -> Vector:
 
 
 def collect(v: Vector) -> DataFrame:
-    """(labels, ts, les, counts): histograms as arrays again."""
+    """(labels, ts, les, counts), and max and min if they were read: histograms as arrays again."""
     df, labels = buckets(v)
-    return df.select(*labels, TS, F.transform("b", lambda x: x["le"]).alias("les"), F.transform("b", lambda x: x["v"]).alias("counts"))
+    return df.select(*labels, TS, F.transform("b", lambda x: x["le"]).alias("les"), F.transform("b", lambda x: x["v"]).alias("counts"), *[F.col(c).alias(c[2:]) for c in v.extremes])

@@ -31,11 +31,21 @@ def _keys(names: list[str]) -> list[str]:
     return [f"__k{i}" for i in range(len(names))]
 
 
-def unique(df: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Fail where two series of the side have one key at one instant."""
-    n = F.count("*").over(Window.partitionBy(*keys, TS))
+def unique(df: DataFrame, keys: list[str], side: str, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Fail where two series of the side have one key at one instant. Rows of one and the same series (all labels equal) are stitched:
+    values that agree are one sample, NaN gives way, and values that differ are no value."""
+    each = Window.partitionBy(*keys, TS).orderBy(VALUE)
+    all_ = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     problem = F.raise_error(F.lit(f"several series on the {side} side match one key"))
-    return df.withColumn("__n", n).filter(F.when(F.col("__n") == 1, F.lit(True)).otherwise(problem.cast("boolean"))).drop("__n")
+    series = F.struct(*labels) if labels else F.lit(0)
+    known = F.nanvl(VALUE, F.lit(None).cast("double"))
+    same = F.col("__n") == 1 if not labels else (F.col("__n") == 1) | F.col("__first").eqNullSafe(F.col("__last"))
+    rows = df.withColumns({"__n": F.count("*").over(all_), "__row": F.row_number().over(each), "__low": F.min(known).over(all_), "__high": F.max(known).over(all_)})
+    if labels:
+        rows = rows.withColumns({"__first": F.min(series).over(all_), "__last": F.max(series).over(all_)})
+    one = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(F.lit(float("nan")).cast("double"))
+    checked = rows.filter(F.when(same, F.col("__row") == 1).otherwise(problem.cast("boolean")))
+    return checked.withColumn(VALUE, F.when(F.col("__n") == 1, F.col(VALUE)).otherwise(one)).drop("__n", "__row", "__low", "__high", "__first", "__last")
 
 
 def apply(op: str, a: Column, b: Column, bool_: bool) -> Column:
@@ -50,9 +60,9 @@ def combine(left: Vector, right: Vector, op: str, *, on: tuple[str, ...] | None
         raise QueryError("a histogram and a plain vector have no operator in common")
     l, r = keyed(left, names), keyed(right, names)
     if group != "left":
-        l = unique(l, keys, "left")
+        l = unique(l, keys, "left", left.labels)
     if group != "right":
-        r = unique(r, keys, "right")
+        r = unique(r, keys, "right", right.labels)
     many, one = (right, left) if group == "right" else (left, right)
     if group:
         labels = tuple(dict.fromkeys((*many.labels, *include)))

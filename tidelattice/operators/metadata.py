@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import METRIC, MetricTable, QueryError
+from ..model import METRIC, LimitError, MetricTable, QueryError
 from ..plans.parser import Matcher
 from .select import series
 
@@ -70,6 +72,40 @@ def check_quota(table: MetricTable, by: Iterable[str], quota: int) -> DataFrame:
     return series(table).groupBy(*by).agg(F.count("*").alias("series")).filter(F.col("series") > quota)
 
 
+def quota_tree(table: MetricTable, by: Iterable[str], quotas: Mapping[tuple[str, ...], int] | None = None, default: int | None = None) -> DataFrame:
+    """Every prefix of the labels `by` with its series, its children (next-level values, or series at the last level), its quota of children, and
+    whether they exceed it. quotas: by values of a prefix; default: for all other prefixes. One aggregation of the series, then sums of sums."""
+    by = list(by)
+    level = series(table).groupBy(*by).agg(F.count("*").alias("series")).withColumn("children", F.col("series"))
+    levels = [level]
+    for d in range(len(by) - 1, -1, -1):
+        level = level.groupBy(*by[:d]).agg(F.sum("series").alias("series"), F.count("*").alias("children")) if d else level.agg(F.coalesce(F.sum("series"), F.lit(0)).alias("series"), F.count("*").alias("children"))
+        levels.append(level)
+    out = None
+    for d, df in zip(range(len(by), -1, -1), levels, strict=True):
+        quota = F.lit(default).cast("long")
+        for prefix, n in (quotas or {}).items():
+            if len(prefix) == d:
+                quota = F.when(reduce(and_, [F.col(b) == v for b, v in zip(by, prefix, strict=False)], F.lit(True)), F.lit(n).cast("long")).otherwise(quota)
+        part = df.select(F.lit(d).alias("depth"), *[F.col(b) if b in by[:d] else F.lit(None).cast("string").alias(b) for b in by], "series", "children", quota.alias("quota"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("breached", F.coalesce(F.col("children") > F.col("quota"), F.lit(False)))
+
+
+def enforce_quotas(tree: DataFrame) -> DataFrame:
+    """The tree, or LimitError with some of its breaches."""
+    bad = tree.filter("breached").orderBy("depth", *[c for c in tree.columns if c not in ("depth", "series", "children", "quota", "breached")]).limit(5).collect()
+    if bad:
+        raise LimitError("quota exceeded: " + "; ".join(str(tuple(r)) for r in bad))
+    return tree
+
+
+def publish_interval(df: DataFrame, label: str = "_pi_") -> DataFrame:
+    """The interval in ms at which a series is published, from a label that gives it in seconds; null without one."""
+    seconds = F.expr(f"try_cast(`{label}` as bigint)") if label in df.columns else F.lit(None).cast("long")
+    return df.withColumn("publish_ms", seconds * 1000)
+
+
 def metering(table: MetricTable, by: Iterable[str], now: int) -> DataFrame:
     """Cardinalities as gauge samples at the time `now`."""
     by = list(by)

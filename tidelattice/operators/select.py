@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,28 @@ def within(values: Iterable[str]):
     return lambda label: F.coalesce(label, F.lit("")).isin(listed)
 
 
+class FilterMap:
+    """Values by label matchers: the first rule all of whose labels are there and match decides. For settings, shard counts, schemas by series."""
+
+    def __init__(self, rules: Iterable[tuple[Iterable[Matcher], str]]):
+        self.rules = [(tuple(matchers), value) for matchers, value in rules]
+
+    def get(self, labels: Mapping[str, str]) -> str | None:
+        for matchers, value in self.rules:
+            if all(m.label in labels and holds(labels[m.label], m.op, m.value) for m in matchers):
+                return value
+        return None
+
+    def column(self, labels: Iterable[str]) -> Column:
+        """The value for every row of a table with these label columns, as one expression."""
+        labels, out = set(labels), F.lit(None).cast("string")
+        for matchers, value in reversed(self.rules):
+            if all(m.label in labels for m in matchers):
+                tests = [F.col(m.label).isNotNull() & (F.lit(True) if (t := matches(F.col(m.label), m.op, m.value)) is None else t) for m in matchers]
+                out = F.when(reduce(and_, tests, F.lit(True)), F.lit(value)).otherwise(out)
+        return out
+
+
 def filtered(df: DataFrame, labels: Iterable[str], matchers: Iterable[Matcher]) -> DataFrame:
     for m in matchers:
         test = matches(F.col(m.label) if m.label in labels else F.lit(None).cast("string"), m.op, m.value)

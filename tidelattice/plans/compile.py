@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.instant import ARITHMETIC, BINARY, DATES, UNARY, compared, fold
 from ..functions.range_functions import RANGE
 from ..model import INF, METRIC, SCHEMAS, TS, VALUE, Config, Grid, MetricTable, QueryError, Vector
+from ..limits import Probe, Stats
 from ..operators import aggregate as agg
 from ..operators import histogram as hist
 from ..operators import join, labels
@@ -21,6 +23,9 @@ from .rewrite import AggregationRule, folded, histogram_names, preaggregated
 
 __all__ = ["AGGREGATES", "Compiler", "Scalar"]
 
+#: Columns of a histogram's largest and least observation.
+EXTREMES = ("max", "min")
+
 
 @dataclass(frozen=True)
 class Scalar:
@@ -30,8 +35,10 @@ class Scalar:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, tables: dict[str, list[MetricTable]], config: Config, rules: list[AggregationRule] = ()):
+    def __init__(self, spark: SparkSession, tables: dict[str, list[MetricTable]], config: Config, rules: list[AggregationRule] = (), functions: dict[str, Callable] | None = None, extremes: bool = False, stats: Stats | None = None):
         self.spark, self.tables, self.config, self.rules = spark, tables, config, list(rules)
+        self.functions, self.extremes, self.stats = functions or {}, extremes, stats
+        self.probes: list[Probe] = []
 
     def prepared(self, n: Node) -> Node:
         n = preaggregated(n, self.rules)
@@ -101,7 +108,12 @@ class Compiler:
 
     def read(self, n: Selector, table: MetricTable, start: int, end: int) -> Vector:
         bucket = [m for m in n.matchers if m.label == "_bucket_"]
-        v = raw(table, [m for m in n.matchers if m.label != "_bucket_"], start, end, n.column)
+        schema = SCHEMAS[table.schema]
+        held = {c.name for c in schema.columns} & set(EXTREMES)
+        wanted = [c for c in EXTREMES if self.extremes and n.column in (None, schema.value_column) and c in held and table.source(c) in table.df.columns]
+        v = raw(table, [m for m in n.matchers if m.label != "_bucket_"], start, end, n.column, wanted)
+        if self.stats is not None:
+            v = self.stats.reading(table.name, v)
         for m in bucket:
             v = hist.histogram_bucket(INF if m.value in ("+Inf", "Inf") else float(m.value), v)
         return v
@@ -204,7 +216,10 @@ class Compiler:
 
     def aggregate(self, n: Aggregate, grid: Grid) -> Vector:
         param = n.param.value if isinstance(n.param, Text) else None if n.param is None else self.number(n.param, grid)
-        return agg.aggregate(self.vector(n.inner, grid), n.op, n.by, n.without, param, self.config.count_values_limit)
+        got = agg.aggregate(self.vector(n.inner, grid), n.op, n.by, n.without, param, self.config.count_values_limit)
+        if n.op not in ("topk", "bottomk") and got.labels:
+            self.probes.append(Probe("groups of an aggregation", got, self.config.group_limit))
+        return got
 
     def binary(self, n: Binary, grid: Grid) -> Vector | Scalar:
         if is_scalar(n.left) and is_scalar(n.right):
@@ -222,7 +237,10 @@ class Compiler:
         left, right = self.vector(n.left, grid), self.vector(n.right, grid)
         if n.op in SET_OPS:
             return join.set_operation(left, right, n.op, n.on, n.ignoring)
-        return join.combine(left, right, n.op, on=n.on, ignoring=n.ignoring, group=n.group, include=n.include, bool_=n.bool_)
+        got = join.combine(left, right, n.op, on=n.on, ignoring=n.ignoring, group=n.group, include=n.include, bool_=n.bool_)
+        sides = [("series of a join's result", got)] if n.group else [("series on the left of a join", left), ("series on the right of a join", right)]
+        self.probes += [Probe(what, v, self.config.join_limit) for what, v in sides]
+        return got
 
     def frame(self, value: float | DataFrame, grid: Grid) -> DataFrame:
         return value if isinstance(value, DataFrame) else grid.frame(self.spark).withColumn(VALUE, F.lit(float(value)).cast("double"))
@@ -252,6 +270,9 @@ class Compiler:
             ranged = next(a for a in args if isinstance(a, Subquery) or isinstance(a, Selector) and a.window is not None)
             rest = tuple(self.number(a, grid) for a in args if a is not ranged)
             return self.ranged(ranged, grid, name, rest)
+        if name in self.functions:
+            v = self.vector(args[0], grid)
+            return self.mapped(v, self.functions[name](F.col(VALUE), *[F.lit(self.number(a, grid)).cast("double") for a in args[1:]]))
         if name in UNARY:
             v = self.vector(args[0], grid)
             return self.mapped(v, UNARY[name](F.col(VALUE)))
@@ -313,7 +334,9 @@ class Compiler:
             case "hist_to_prom_vectors":
                 return hist.to_le_series(last())
             case "histogram_max_quantile" | "histogram_max_quantile_even":
-                return hist.histogram_max_quantile(self.number(args[0], grid), last(), self.vector(maxima(args[-1]), grid), name.endswith("even"))
+                before, self.extremes = self.extremes, True
+                v, self.extremes = last(), before
+                return hist.histogram_max_quantile(self.number(args[0], grid), v, name.endswith("even"))
             case "chunk_meta":
                 return self.chunk_meta(args[0], grid)
         raise QueryError(f"no function {name}")
@@ -329,17 +352,6 @@ class Compiler:
         return unioned(parts) if parts else self.empty()
 
 
-def maxima(n: Node) -> Node:
-    """The same selection of the column max, its largest value where a function covers a window."""
-    if isinstance(n, Selector):
-        return replace(n, column="max")
-    if isinstance(n, Aggregate):
-        return replace(n, op="max", inner=maxima(n.inner))
-    if isinstance(n, Call) and isinstance(n.args[0], Selector):
-        return Call("max_over_time", (replace(n.args[0], column="max"),))
-    raise QueryError("this quantile needs a histogram selection")
-
-
 def unioned(parts: list[Vector]) -> Vector:
     names = tuple(dict.fromkeys(x for p in parts for x in p.labels))
     if len({p.histogram for p in parts}) > 1:
@@ -348,7 +360,8 @@ def unioned(parts: list[Vector]) -> Vector:
     for p in parts[1:]:
         df = df.unionByName(p.df, allowMissingColumns=True)
     bucket = ["__le"] if parts[0].histogram else []
-    return Vector(df.select(*names, *bucket, TS, VALUE), names, parts[0].histogram, any(p.exponential for p in parts))
+    more = [c for c in parts[0].extremes if all(c in p.extremes for p in parts)]
+    return Vector(df.select(*names, *bucket, TS, VALUE, *more), names, parts[0].histogram, any(p.exponential for p in parts))
 
 
 def stitched(parts: list[Vector]) -> Vector:

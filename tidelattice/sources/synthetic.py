@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import exponential
+
 
 def _base(spark: SparkSession, n_series: int, n_samples: int, start: int, interval: int) -> DataFrame:
     rows = spark.range(n_series * n_samples)
@@ -32,3 +34,8 @@ def histograms(spark: SparkSession, n_series: int, n_samples: int, les: list[flo
     top = F.get(counts, F.lit(len(les) - 1))
     h = F.struct(bounds.alias("les"), counts.alias("counts")).alias("h")
     return _base(spark, n_series, n_samples, start, interval).select("instance", "dc", "ts", (top * 2).alias("sum"), top.alias("count"), h, F.lit(0.5).alias("min"), F.lit(float(les[-2])).alias("max"))
+
+
+def exponential_histograms(spark: SparkSession, n_series: int, n_samples: int, scale: int, first: int, positive: int, start: int = 0, interval: int = 10_000) -> DataFrame:
+    """Histograms over exponential buckets of a scale, the first one for zeros."""
+    return histograms(spark, n_series, n_samples, exponential(scale, first, positive), start, interval)

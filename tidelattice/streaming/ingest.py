@@ -50,6 +50,13 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, partition: tuple[str,
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
+def sessions(df: DataFrame, time: str, gap: str, delay: str | None, keys: list[str], value: str) -> DataFrame:
+    """Sums and counts by session: rows of a key that follow each other within the gap. For streams with a watermark, and for tables."""
+    rows = df.withWatermark(time, delay) if df.isStreaming and delay else df
+    grouped = rows.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.sum(value).alias("sum"), F.count("*").alias("n"))
+    return grouped.select(*keys, F.unix_millis("w.start").alias("start_ts"), F.unix_millis("w.end").alias("end_ts"), "sum", "n")
+
+
 def windowed(stream: DataFrame, time: str, window: str, slide: str | None, delay: str, keys: list[str], value: str) -> DataFrame:
     """Tumbling or sliding event-time sums and counts, late rows dropped by a watermark."""
     each = F.window(time, window, slide) if slide else F.window(time, window)
