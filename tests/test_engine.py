@@ -112,6 +112,18 @@ def test_histograms(spark):
     assert e.query("sum(h)", T).first()["counts"] == [1.0, 3.0, 8.0, 10.0]
 
 
+def test_counts_that_fall_are_raised_and_scalars_read_once(spark, e):
+    falling = spark.createDataFrame([("a", "1", T, 5.0), ("a", "2", T, 3.0), ("a", "+Inf", T, 6.0)], "x string, le string, ts long, value double")
+    e.register("b_bucket", falling, ["x", "le"])
+    assert values(e.query("histogram_quantile(0.5, b_bucket)", T), "x") == {("a",): pytest.approx(0.6)}
+    e.register("f", spark.read.parquet("/root/testdata/sf0.001/events.parquet"), ["event_type"])
+    assert e.explain("scalar(sum(f))", T, T, 0).count("- Scan parquet") == 1
+    e.register("far", spark.createDataFrame([("a", None, T, 1.0), (None, "a", T + 60_000_000, 2.0)], "x string, y string, ts long, value double"), ["x", "y"])
+    assert e.query_range("scalar(far)", T, T + 60_000_000, 60_000_000).count() == 2
+    assert [r["value"] for r in e.query_range("vector(scalar(far))", T, T + 60_000_000, 60_000_000).collect()] == []
+    assert [r["value"] for r in e.query_range('vector(scalar(far{x="a"}))', T, T + 60_000_000, 60_000_000).collect()] == [1.0]
+
+
 def test_exponential_buckets():
     les = model.exponential(3, -5, 20)
     assert les[0] == 0.0 and les[1] == pytest.approx(2 ** (-4 / 8)) and len(les) == 21

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.instant import ARITHMETIC, BINARY, DATES, UNARY, compared, fold
 from ..functions.range_functions import RANGE
@@ -301,11 +302,12 @@ class Compiler:
 
     def single(self, v: Vector, grid: Grid) -> DataFrame:
         """The values of a vector with one series, else NaN at every instant."""
-        key = F.struct(*v.labels) if v.labels else F.lit(0)
-        n = v.df.agg(F.count_distinct(key).alias("__n"))
-        rows = v.df.groupBy(TS).agg(F.first(VALUE).alias(VALUE))
-        joined = grid.frame(self.spark).join(rows, TS, "left").join(F.broadcast(n), how="cross")  # n is a single row
-        return joined.select(TS, F.when(F.col("__n") == 1, F.coalesce(VALUE, F.lit(math.nan))).otherwise(F.lit(math.nan)).alias(VALUE))
+        series = F.xxhash64(*[F.coalesce(x, F.lit("")) for x in v.labels], F.lit(0))
+        rows = v.df.groupBy(TS).agg(F.first(VALUE).alias(VALUE), F.min(series).alias("__lo"), F.max(series).alias("__hi"))
+        # the vector is computed once: what meets in one task is a row an instant
+        all_ = Window.partitionBy(F.lit(0))
+        joined = grid.frame(self.spark).join(rows, TS, "left").withColumn("__one", F.min("__lo").over(all_) == F.max("__hi").over(all_))
+        return joined.select(TS, F.when(F.col("__one"), F.coalesce(VALUE, F.lit(math.nan))).otherwise(F.lit(math.nan)).alias(VALUE))
 
     @staticmethod
     def equalities(n: Node) -> tuple[Matcher, ...]:
