@@ -32,6 +32,8 @@ for _b in range(128):
     if not (65 <= _b <= 90 or 97 <= _b <= 122):
         _CLASS[_b] = 32
 ROUNDS = 12
+#: Bytes whose trigrams are counted at once.
+PIECE = 1 << 20
 
 
 def trigrams(raw: np.ndarray) -> np.ndarray:
@@ -64,26 +66,32 @@ class LanguageModel:
         self._table = None
 
     @property
-    def table(self) -> np.ndarray:
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Features in two small levels: where the row of a trigram's first two bytes begins (0: in no feature), and in that row the feature by the third."""
         if self._table is None:
-            self._table = np.zeros(1 << 24, np.int16)
-            self._table[self.grams] = np.arange(1, len(self.grams) + 1)
+            heads, row = np.unique(self.grams >> 8, return_inverse=True)
+            rows, cells = np.zeros(1 << 16, np.int32), np.zeros((len(heads) + 1) << 8, np.int32)
+            rows[heads] = np.arange(1, len(heads) + 1) << 8
+            cells[((row + 1) << 8) | (self.grams & 255)] = np.arange(1, len(self.grams) + 1)
+            self._table = rows, cells
         return self._table
 
     def __getstate__(self):
         return {"langs": self.langs, "grams": self.grams, "prob": self.prob, "_table": None}
 
     def counts(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Feature counts of each text."""
+        """Feature counts of each text, PIECE bytes at a time."""
         n, width = len(off) - 1, len(self.grams) + 1
-        if len(raw) < 3:
-            return np.zeros((n, width), np.float32)
-        f = self.table[trigrams(raw)].astype(np.int64)
-        doc = np.repeat(np.arange(n), np.diff(off))[: len(f)]
-        inside = np.ones(len(f), bool)  # trigrams that end in the text they begin in
-        for o in off[1:-1]:
-            inside[max(0, o - 2) : o] = False
-        return np.bincount((doc * width + f)[inside], minlength=n * width).reshape(n, width).astype(np.float32)
+        out = np.zeros(n * width, np.float32)
+        rows, cells = self.table
+        for lo in range(0, len(raw) - 2, PIECE):
+            g = trigrams(raw[lo : lo + PIECE + 2])
+            doc = np.repeat(np.arange(n), np.diff(np.clip(off, lo, lo + len(g))))
+            inside = np.ones(len(g), bool)  # trigrams that end in the text they begin in
+            for o in off[1:-1][(off[1:-1] > lo) & (off[1:-1] < lo + len(g) + 2)]:
+                inside[max(0, o - 2 - lo) : o - lo] = False
+            out += np.bincount((doc * width + cells[rows[g >> 8] | (g & 255)])[inside], minlength=n * width)
+        return out.reshape(n, width)
 
     def _em(self, c: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions and log likelihood of each row over the languages in use (rows x languages, boolean)."""
