@@ -444,3 +444,20 @@ def test_secrets_of_repeated_rows(spark):
     m = secretscan.fit({}, {})
     rows = spark.createDataFrame([(1, "token=abcdef1")] * 2 + [(1, None)], "doc_id long, text string")
     assert sorted(len(r["spans"]) for r in secretscan.scan(rows, m).collect()) == [0, 1, 1]
+
+
+def test_long_credentials_do_not_train(spark):
+    long = "0123456789abcdef" * 20000
+    rows = spark.createDataFrame([(1, f"é {long} password=hunter22"), (2, "token=abcdefgh1")], "doc_id long, text string")
+    m = secretscan.train(rows)
+    assert len(m.automata["hex"].moves) < 10000 and m.automata["assign"].log_likelihood("abcdefgh1") > secretscan.FLOOR * 9
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secretscan.scan(rows, m).collect()}
+    assert got == {1: [("hex", 2, 320002), ("assign", 320012, 320020)], 2: [("assign", 6, 15)]}
+
+
+def test_long_values_train_fewer(spark, monkeypatch):
+    r = __import__("random").Random(3)
+    values = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=4096)) for _ in range(300)]
+    monkeypatch.setattr(secretscan, "fit", lambda got, pairs: got)
+    got = secretscan.train(spark.createDataFrame([(i, f"token={v}") for i, v in enumerate(values)], "doc_id long, text string"))
+    assert got.keys() == {"assign"} and got["assign"] < set(values) and 40_000 < sum(map(len, got["assign"])) < 300_000
