@@ -243,3 +243,24 @@ def test_label_maps_become_columns(spark):
     rows = [("p", {"a": "1"}, T, 1.0), ("p", {"b": "2"}, T, 2.0), ("q", {}, T, 3.0)]
     e.register_samples(spark.createDataFrame(rows, "metric string, labels map<string,string>, ts long, value double"))
     assert values(e.query("p", T), "a", "b") == {("1", None): 1.0, (None, "2"): 2.0} and values(e.query("sum(q)", T)) == {(): 3.0}
+
+
+def test_sums_do_not_hang_on_the_order(spark):
+    r = __import__("random").Random(9)
+    cents = [round(r.uniform(-50, 500), 2) for _ in range(20000)] + [0.1] * 1000
+    sums = []
+    for rows in (cents, sorted(cents), sorted(cents, reverse=True)):
+        e = Engine(spark)
+        e.register("c", spark.createDataFrame([("a", str(i), T, v) for i, v in enumerate(rows)], "x string, i string, ts long, value double").coalesce(1), ["x", "i"])
+        sums.append(values(e.query("sum by (x) (c)", T), "x")[("a",)])
+    assert sums == [math.fsum(cents)] * 3
+
+
+def test_sums_of_large_and_infinite_values(spark):
+    # infinities of both signs and NaN have no sum
+    rows = [("a", 1e300), ("a", 1.5), ("a", -1e300), ("b", INF), ("b", 0.1), ("c", INF), ("c", -INF), ("d", 2.0**40), ("d", 0.5), ("e", 1e308), ("e", 1e308), ("f", 1e-300), ("f", 2e-300), ("g", float("nan")), ("g", 0.25)]
+    e = Engine(spark)
+    e.register("c", spark.createDataFrame([(x, str(i), T, v) for i, (x, v) in enumerate(rows)], "x string, i string, ts long, value double"), ["x", "i"])
+    got = {k[0]: v for k, v in values(e.query("sum by (x) (c)", T), "x").items()}
+    assert got.pop("a") in (0.0, 1.5)
+    assert got == {"b": INF, "d": 2.0**40 + 0.5, "e": INF, "f": 1e-300 + 2e-300, "g": 0.25}
