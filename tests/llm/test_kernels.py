@@ -2,6 +2,7 @@
 
 import re
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -333,3 +334,17 @@ def test_language_sets_keep_the_main_language_and_grow_beyond_three():
     m = _model_of([[1, *(200 if j == k else 1 for j in range(5))] for k in range(5)])
     top, share = m.predict(np.array([[10.0, 400, 200, 200, 200, 0]]))
     assert top[0] == 0 and 0.35 < share[0] < 0.45
+
+
+def test_dense_regions_of_many_shingles_are_open(monkeypatch):
+    """A dense region is compared in one task, or slice by slice if its sets are large; either way each of its members is listed."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 1))
+    n = 40
+    for size, agree in ((10, -1), (neardup.SLICE_SHINGLES // 8, -2 - neardup.SLICE_SHINGLES // 8)):
+        row = [pa.array([t], pa.int32()) for t in (3, size)]
+        columns = [row[0].take([0] * n), pa.array([b"k" * 2 * neardup.DEPTH] * n), pa.array([b"s" * neardup.SKETCH] * n), row[1].take([0] * n), pa.array(range(n), pa.int64())]
+        got = list(neardup._compare(40)([pa.RecordBatch.from_arrays(columns, ["tree", "key", "sketch", "n", "id"])]))
+        rows = [r for b in got for r in b.to_pylist()]
+        edge = [r for r in rows if r["a"] != rows[0]["a"]]  # the run at the edge of the chunk is open besides
+        assert [r["b"] for r in rows if r["agree"] == agree][:n] == list(range(n)) and len({r["a"] for r in rows}) == 2
+        assert [(r["b"], r["agree"]) for r in edge] == [(i, -2 - size) for i in range(n)]

@@ -112,6 +112,32 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 61)) and got[101] == 100 and got[250] == got[300] == 200 and all(got[x] == 400 for x in range(400, 450))
 
 
+def test_components_on_the_driver_and_by_stars_agree(spark):
+    edges = [(x, 3 * x % 101) for x in range(-50, 50)] + [(1000 + i, 1001 + i) for i in range(90)] + [(-(2**63), 2**63 - 1), (5, None), (2000, 2000)]
+    made = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b and b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    for small in (0, 100, graph.SMALL):
+        assert sorted(tuple(r) for r in graph.components(made, small=small).collect()) == sorted(label.items())
+
+
+def test_near_duplicates_takes_few_stages(spark):
+    """On many partitions the time is that of starting tasks: a chain of links must not cost a round of joins for each of its doublings."""
+    base = _words(41, 400).split()
+    rows = [(i, " ".join([f"c{i}x{j}" if i <= j < i + 3 else w for j, w in enumerate(base[3 * i : 3 * i + 60])])) for i in range(100)]
+    sc = spark.sparkContext
+    sc.setJobGroup("few-stages", "near duplicates")
+    try:
+        neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=70).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few-stages")]
+    assert 0 < sum(len(j.stageIds) for j in jobs if j) < 100
+
+
 def test_join_by_size_keeps_all_rows(spark):
     left = spark.createDataFrame([(1, i) for i in range(3000)] + [(2, 0), (3, 0)], "k long, x long")
     right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k < 3")

@@ -9,7 +9,8 @@
    still larger at full depth is cut into runs of REGION rows by its order. Regions that were cut in this way, or by the edge
    of a chunk or a partition, are open: their members are listed as well.
 4. A region with few pairs of agreeing sketches emits them. In a dense one their number would grow with its square: there all
-   pairs are compared exactly, on full sets, inside one bounded task, and a spanning forest of the true links is emitted.
+   pairs are compared exactly, on full sets, inside one bounded task, and a spanning forest of the true links is emitted. One with
+   more shingles than two slices is open instead.
 5. Of the emitted pairs, the best for each class are confirmed on full sets and joined to components; the others are
    confirmed afterwards where they would still connect two components (all of them, without a cap).
 6. Open regions that share members are one family. In a family all pairs in different components are compared exactly, on full
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .membership import hashes, maybe_members, member_filter
-from .store import join_by_size, lean, materialise, small_batches
+from .store import if_small, join_by_size, lean, materialise, small_batches
 from .text import LOWER, NOT_SPACE, blocks, shingle_hashes, span_hashes, string_bytes, word_bounds
 
 TREES, DEPTH, LEAST, REGION = 24, 8, 4, 1024
@@ -106,25 +107,25 @@ def _describe(k: int):
     return run
 
 
-_MEMBER = "tree int, key binary, sketch binary, id long"
+_MEMBER = "tree int, key binary, sketch binary, n int, id long"
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over (id, __sig): one row per tree, its key the tree's minhashes in byte order."""
+    """Map over (id, n_shingles, __sig): one row per tree, its key the tree's minhashes in byte order."""
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
             part = b.slice(lo, 2000)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
+            sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
             n = len(sig)
             # 16 bits of each: mixed, as a minimum's high bits are mostly 0
             short = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
             sketch = (short.astype(np.uint16)[:, :: TREES * DEPTH // SKETCH] & 0xFF).astype(np.uint8)
             sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), n, [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())
-            ids = part.column(0)
+            ids, size = part.column(0), part.column(1).cast(pa.int32())
             for t in range(TREES):
                 key = np.ascontiguousarray(short[:, t * DEPTH : (t + 1) * DEPTH])
                 keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), n, [None, pa.py_buffer(key)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), keys, sketches, ids], ["tree", "key", "sketch", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), keys, sketches, size, ids], ["tree", "key", "sketch", "n", "id"])
 
 
 def _regions(key: np.ndarray, lo: int, hi: int, depth: int) -> Iterator[tuple[int, int]]:
@@ -159,14 +160,19 @@ def _pairs_of(sketch: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _compare(need: int):
-    """Map over sorted members: candidate pairs (a, b, agree), the members of dense regions as (region, id, -1), and those of open ones as (region, id, -2)."""
+    """Map over sorted members: candidate pairs (a, b, agree), the members of dense regions as (region, id, -1), and those of open ones as (region, id, -2 - size of the set).
+
+    A dense region with more shingles than two slices is none for one task, and is an open one."""
+
+    def name(x: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True)
 
     def chunk(rows: pa.Table, region: int) -> tuple[pa.RecordBatch, int]:
         n = rows.num_rows
         tree = rows.column(0).to_numpy()
         key = np.frombuffer(b"".join(rows.column(1).to_pylist()), ">u2").reshape(n, DEPTH)
         sketch = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(n, SKETCH)
-        ids = rows.column(3).to_numpy()
+        sizes, ids = rows.column(3).to_numpy(), rows.column(4).to_numpy()
         same = (tree[1:] == tree[:-1]) & (key[1:, :LEAST] == key[:-1, :LEAST]).all(1)
         cut = np.flatnonzero(~same) + 1
         lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
@@ -194,17 +200,17 @@ def _compare(need: int):
                     s.append(agree)
                 else:
                     inside = np.unique(np.concatenate([i, j])) + p
-                    a.append(np.full(len(inside), region))
+                    heavy = sizes[inside].sum(dtype=np.int64) > 2 * SLICE_SHINGLES
+                    a.append(np.full(len(inside), name(b"dense %d" % region) if heavy else region))
                     b.append(ids[inside])
-                    s.append(np.full(len(inside), -1))
+                    s.append(-2 - sizes[inside] if heavy else np.full(len(inside), -1))
                     region += 1
         large = hi - lo > REGION
         large[[0, -1]] = True  # may go on in the chunk before or after
         for x, y in zip(lo[large], hi[large], strict=True):
-            name = int.from_bytes(hashlib.blake2b(b"%d " % tree[x] + key[x, :LEAST].tobytes(), digest_size=8).digest(), "big", signed=True)
-            a.append(np.full(y - x, name))
+            a.append(np.full(y - x, name(b"%d " % tree[x] + key[x, :LEAST].tobytes())))
             b.append(ids[x:y])
-            s.append(np.full(y - x, -2))
+            s.append(-2 - sizes[x:y])
         columns = [np.concatenate(a), np.concatenate(b), np.concatenate(s).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "agree"]), region
 
@@ -314,27 +320,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(open_: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links of the pairs of each family of open regions (region, id) that are in different components; None if there is no such pair."""
-    marked = open_.join(joined, "id", "left").select("region", "id", F.coalesce("component", "id").alias("c"))
+    """Links of the pairs of each family of open regions (region, id, n) that are in different components; None if there is no such pair."""
+    marked = open_.join(joined, "id", "left").select("region", "id", "n", F.coalesce("component", "id").alias("c"))
     # a region whose members are linked already needs nothing
     mixed = marked.groupBy("region").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.min("id").alias("hub")).filter("__lo != __hi").select("region", "hub")
-    marked = materialise(marked.join(mixed, "region"), "near-open")
-    if marked.isEmpty():
+    mixed = materialise(mixed, "near-mixed")
+    if mixed.isEmpty():
         return None
+    marked = materialise(marked.join(if_small(mixed), "region"), "near-open")
     family = components(marked.select("id", "hub"), "id", "hub").withColumnRenamed("component", "family")
-    rows = marked.select("id", "c").distinct().join(family, "id").join(sets.select("id", F.octet_length("s").alias("__b")), "id")
-    by = rows.groupBy("family", "c").agg(F.count("*").alias("n"), F.sum("__b").alias("__b"))
+    rows = materialise(marked.select("id", "n", "c").distinct().join(family, "id"), "near-families")
+    by = rows.groupBy("family", "c").agg(F.count("*").alias("n"), F.sum(8 * F.col("n").cast("long")).alias("__b"))
     total = by.groupBy("family").agg(F.max(F.struct("n", "c", "__b")).alias("top"), F.sum("n").alias("n"), F.sum("__b").alias("__b"))
     slices = lambda n, b: F.ceil(F.greatest(n / SLICE, b / (8 * SLICE_SHINGLES))).cast("int")
     # slices 0 .. others - 1 hold the members outside the most common component, the next ones its own
     total = total.select("family", F.col("top.c").alias("__top"), slices(F.col("n") - F.col("top.n"), F.col("__b") - F.col("top.__b")).alias("others"), slices(F.col("top.n"), F.col("top.__b")).alias("own"))
-    rows = materialise(rows.select("id", "c", "family").join(total, "family").withColumn("__is", F.col("c") == F.col("__top")), "near-families")
+    total = if_small(materialise(total, "near-slices"))
+    rows = rows.select("id", "c", "family").join(total, "family").withColumn("__is", F.col("c") == F.col("__top"))
     at = F.pmod(F.xxhash64("id"), F.when(F.col("__is"), F.col("own")).otherwise(F.col("others")).cast("long")).cast("int")
     rows = rows.withColumn("x", at + F.when(F.col("__is"), F.col("others")).otherwise(0))
     meets = F.when(F.col("__is"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("own") - 1))
     placed = rows.select("family", "id", "x", F.explode(meets).alias("y")).select("family", "id", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    links = placed.join(sets, "id").groupBy("family", "i", "j").applyInArrow(_dense(percent), "a long, b long")
-    return materialise(links.distinct(), "near-across")
+    return placed.join(sets, "id").groupBy("family", "i", "j").applyInArrow(_dense(percent), "a long, b long")
 
 
 def _same_document(described: DataFrame, classes: DataFrame) -> DataFrame:
@@ -354,7 +361,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     rows = described.count()
     # a class per distinct set, named by its smallest id
     classes = materialise(described.filter("__set is not null and doc_id is not null").groupBy("__set").agg(F.min("doc_id").alias("id"), F.count("*").alias("__n"), F.first("n_shingles").alias("n_shingles"), F.first("__sig").alias("__sig")), "near-classes")
-    members = classes.select("id", "__sig").mapInArrow(lean(_plant), _MEMBER)
+    members = classes.select("id", "n_shingles", "__sig").mapInArrow(lean(_plant), _MEMBER)
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = members.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     # 0.8 less four standard deviations of a sketch's agreement
@@ -362,16 +369,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     found = ordered.mapInArrow(lean(_compare(need)), "a long, b long, agree int")
     found = materialise(found, "near-found")
     members = found.filter("agree = -1").select(F.col("a").alias("region"), F.col("b").alias("id"))
-    pairs = materialise(found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
-    marked = found.filter("agree = -2").select(F.col("a").alias("region"), F.col("b").alias("id"))
-    several = marked.groupBy("region").count().filter("count > 1").select("region")
-    marked = marked.join(several, "region")
-    # a dense region with more shingles than two slices is none for one task
-    sizes = members.join(classes.select("id", "n_shingles"), "id").groupBy("region").agg(F.sum("n_shingles").alias("__n"))
-    heavy = materialise(sizes.filter(F.col("__n") > 2 * SLICE_SHINGLES).select("region"), "near-heavy")
-    marked = materialise(marked.unionByName(members.join(heavy, "region", "left_semi").select(F.xxhash64(F.lit("dense"), "region").alias("region"), "id")), "near-marked")
-    members = materialise(members.join(heavy, "region", "left_anti"), "near-members")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).union(marked.select("id")).distinct()
+    marked = found.filter("agree <= -2").select(F.col("a").alias("region"), F.col("b").alias("id"), (-2 - F.col("agree")).alias("n"))
+    ids = found.select(F.explode(F.when(F.col("agree") >= 0, F.array("a", "b")).otherwise(F.array("b"))).alias("id")).distinct()
     # several rows may repeat an id: the class's own text is one whose set is the class's
     wanted = materialise(classes.select("id", "__set").join(ids, "id"), "near-wanted")
     held = spark.sparkContext.broadcast(member_filter(wanted, "id", wanted.count()))
@@ -380,21 +379,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, best:
     sets = texts.mapInArrow(lean(_sets(shingle, held)), "id long, s binary, __set binary").join(wanted, ["id", "__set"], "left_semi").dropDuplicates(["id", "__set"]).drop("__set")
     sets = materialise(sets, "near-sets")
     dense = members.join(sets, "id").groupBy("region").applyInArrow(_dense(percent), "a long, b long")
-    dense = materialise(dense.distinct(), "near-dense")
+    pairs = found.filter("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     by = lambda c: Window.partitionBy(c).orderBy(F.desc("agree"), "a", "b")
     ranked = pairs.withColumn("ra", F.row_number().over(by("a"))).withColumn("rb", F.row_number().over(by("b")))
-    ranked = materialise(ranked.withColumn("first", (F.col("ra") <= best) | (F.col("rb") <= best)).drop("ra", "rb"), "near-ranked")
-    links = dense.unionByName(_confirmed(ranked.filter("first").select("a", "b"), sets, percent)).unionByName(_same_document(described, classes))
-    links = materialise(links.distinct(), "near-links")
-    joined = components(links)
+    ranked = materialise(ranked.select("a", "b", ((F.col("ra") <= best) | (F.col("rb") <= best)).alias("first")), "near-ranked")
+    joined = components(dense.unionByName(_confirmed(ranked.filter("first").select("a", "b"), sets, percent)).unionByName(_same_document(described, classes)))
+    linked = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
     at = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = ranked.filter("not first").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-    more = materialise(_confirmed(rest, sets, percent), "near-more")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    rest = materialise(rest, "near-rest")
+    if not rest.isEmpty():
+        joined = components(linked.unionByName(_confirmed(rest, sets, percent)))
+        linked = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
     across = _across(marked, joined, sets, percent)
-    if across is not None and not across.isEmpty():
-        joined = components(links.unionByName(more).unionByName(across))
+    if across is not None:
+        joined = components(linked.unionByName(across))
     component = classes.join(joined, "id", "left").select("__set", "__n", F.coalesce("component", "id").alias("component_id"))
     alone = described.filter("__set is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = join_by_size(described.filter("__set is not null and doc_id is not null").select("doc_id", "n_shingles", "__set"), component, ["__set"], "__n", rows)
