@@ -35,11 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents; from the others cut the spans that occur in the benchmark, and correct n_chars."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), "text")
-    found = decontam.contamination(rows, benchmark, key="row", carry_text=True)
-    kept = found.filter(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
-    return decontam.cut_spans(kept, "row", docs.schema)
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

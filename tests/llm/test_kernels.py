@@ -348,3 +348,18 @@ def test_dense_regions_of_many_shingles_are_open(monkeypatch):
         edge = [r for r in rows if r["a"] != rows[0]["a"]]  # the run at the edge of the chunk is open besides
         assert [r["b"] for r in rows if r["agree"] == agree][:n] == list(range(n)) and len({r["a"] for r in rows}) == 2
         assert [(r["b"], r["agree"]) for r in edge] == [(i, -2 - size) for i in range(n)]
+
+
+def test_a_shard_leaves_in_the_batches_it_came_in(monkeypatch):
+    """A worker and the JVM never hold the rows of a whole shard as one batch; hits are at their rows, across batches and shards."""
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 5000)
+    w = decontam.Windows([("1", b"p q r s")])
+    texts = [f"{'z ' * 100}p q r s" if i % 3 == 0 else None if i % 7 == 0 else "z " * 100 for i in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 6)), pa.array(texts[i : i + 6], pa.string())], ["__key", "text"]) for i in range(0, 60, 6)]
+    out = list(decontam._scan(w, True)(iter(batches)))
+    assert [b.num_rows for b in out] == [6] * 10
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["__key"] for r in rows] == list(range(60)) and [r["text"] for r in rows] == texts
+    for i, r in enumerate(rows):
+        hit = i % 3 == 0
+        assert (r["span_starts"], r["span_ends"], r["items"]) == (([100], [104], ["1"]) if hit else ([], [], [])) and r["n_words"] == (0 if texts[i] is None else 100 + 4 * hit)

@@ -336,6 +336,21 @@ def test_contamination_in_blocks_keeps_every_row(docs, spark):
     assert len(got[0]) == rows.count() and got[0] == got[1] == got[2] == got[3]
 
 
+def test_decontaminated_rows_are_those_judged_and_cut_one_by_one(docs, spark):
+    """One map over the texts, or passes by blocks, give what contamination(), the 5 % rule and cut_spans() give apart."""
+    item = " ".join(f"p{i}" for i in range(10, 40))
+    items = spark.createDataFrame([(1, item), (2, _words(2, 20000)[:200]), (3, "a b"), (10, _words(3, 20))], "item_id long, text string")
+    rows = docs.unionByName(docs.filter("doc_id in (12, 16)")).withColumn("row", F.lit("mine"))
+    packed = rows.select(F.struct(*[c for c in rows.columns if c != "text"]).alias("row"), "text")
+    found = decontam.contamination(packed, items, key="row", carry_text=True)
+    light = found.filter("not (n_hit > 0 and 20 * n_hit >= n_words)")
+    want = sorted(map(str, decontam.cut_spans(light, "row", rows.schema).collect()))
+    assert 0 < len(want) < rows.count() and light.filter("n_hit > 0").count() > 0
+    for size in (4 << 20, 10):
+        got = decontam.decontaminate(rows, items, block_bytes=size)
+        assert got.columns == rows.columns and sorted(map(str, got.collect())) == want
+
+
 def test_secrets_without_digits_and_short_ones(spark):
     key, short, long = "qWxZRtYpLkJhGfDsAqZxCvBnMwErTyUiOpLkJhGf", "zQ9x7Kp2Wv", "Zq9xKpWv" * 40
     m = secretscan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))

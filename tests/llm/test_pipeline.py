@@ -80,3 +80,16 @@ def test_run_leaves_only_what_its_result_reads(spark):
     left = [p for _, p in store._written[start:] if p]
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "text", "lang", "source", "shard", "slot"}
     assert all(p.split("/")[-1].startswith(("shard-", "pipeline-mix-")) for p in left)
+
+
+def test_a_task_of_decontamination_has_one_python_worker(spark):
+    """Two operators in one stage are two workers a core, which an executor then keeps, with the texts between them in the JVM once more."""
+    plan = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{D}/documents.parquet"), D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_sharding_starts_no_workers_for_rows_of_a_list(spark, monkeypatch):
+    """They would be of another kind, with a daemon of their own that an executor keeps."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_, **__: 1 / 0)
+    out = corpus_pipeline.shard(spark, spark.read.parquet(f"{D}/documents.parquet"), D)
+    assert out.count() > 0

@@ -103,7 +103,8 @@ def _placed(docs: DataFrame, extra: list, shards: int, bits: int) -> DataFrame:
         total += r["count"]
     if not total:
         return ordered.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    offsets = docs.sparkSession.createDataFrame(before, "__p long, __before long")
+    # an Arrow table: rows of a list would go through Python workers of another kind, whose daemon an executor then keeps beside the others
+    offsets = docs.sparkSession.createDataFrame(pa.table({"__p": pa.array([p for p, _ in before], pa.int64()), "__before": pa.array([n for _, n in before], pa.int64())}))
     ranked = ordered.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn("__rank", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1))
     number = F.expr(f"(__rank * {shards}) div {total}L")
     # the least rank of a shard is ceil(shard * total / shards)
